@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import overlap, splits
+from metrolith.llm import overlap, packing, splits, tokens
 from metrolith.session import Workspace
 
 
@@ -33,5 +33,28 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "file_list")).withColumn("least_coverage", F.round("least_coverage", 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p5_found, p5_report)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, d, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by language, their tokens, and those whose ids decode to another text."""
+    docs = table(spark, d, "documents")
+    ids = tokens.encode_documents(docs)
+    back = tokens.decode_documents(ids).withColumnRenamed("text", "decoded").join(ids.select("doc_id", F.size("ids").alias("n")), "doc_id")
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return docs.join(back, "doc_id").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum((~same).cast("long")).alias("changed"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.token_counts(table(spark, d, "documents")), Workspace(spark, "p8"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by their number of texts, with their unused tokens."""
+    bins = p8_pack(spark, d).groupBy("container").agg(F.count("*").alias("texts"), F.sum("tokens").alias("used"))
+    return bins.groupBy("texts").agg(F.count("*").alias("containers"), F.sum(F.lit(packing.CAPACITY) - F.col("used")).alias("unused"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill)}
 ORACLES: dict[str, str] = {}
