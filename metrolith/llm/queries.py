@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import overlap, packing, splits, tokens
+from metrolith.llm import mojibake, overlap, packing, splits, tokens
 from metrolith.session import Workspace
 
 
@@ -56,5 +56,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy("texts").agg(F.count("*").alias("containers"), F.sum(F.lit(packing.CAPACITY) - F.col("used")).alias("unused"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents"), Workspace(spark, "p9"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_documents(table(spark, d, "documents"), Workspace(spark, "p9"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
