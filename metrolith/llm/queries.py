@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import mojibake, overlap, packing, splits, tokens
+from metrolith.llm import clusters, mojibake, overlap, packing, splits, tokens
 from metrolith.session import Workspace
 
 
@@ -25,6 +25,15 @@ def p3_bars(spark: SparkSession, d: str) -> DataFrame:
     return splits.bar_splits(table(spark, d, "bars"), p3_splits(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_bars(table(spark, d, "bars"), Workspace(spark, "p4")).select("bar_id", "cluster_bar_id")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    bars, ws = table(spark, d, "bars"), Workspace(spark, "p4")
+    return clusters.describe_clusters(ws.keep(clusters.cluster_bars(bars, ws)), bars, table(spark, d, "rhythms"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_pairs(table(spark, d, "file_list"))
 
@@ -64,5 +73,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_documents(table(spark, d, "documents"), Workspace(spark, "p9"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p4_found, p4_clusters, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
