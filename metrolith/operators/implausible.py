@@ -217,13 +217,12 @@ def implausible_times(beats: DataFrame, chunk: int = CHUNK, overlap: int = OVERL
 def implausible_numbers(beats: DataFrame) -> DataFrame:
     """Beats whose number is below 1 or more than twice the highest usual one: file_id, beat_idx, beat_no, usual, reason.
 
-    A number is usual in a file when it is 1, when its predecessor occurs in the file as well,
-    or when it is at least a fifth as frequent as the most frequent one.
+    A number is usual in a file when it is 1 or its predecessor occurs in the file as well.
     """
     rows = beats.where("file_id is not null and beat_idx is not null and beat_no is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("beat_idx").cast("int").alias("beat_idx"), F.col("beat_no").cast("long").alias("beat_no"))
-    hist = rows.groupBy("file_id", "beat_no").agg(F.count("*").alias("n"))
+    hist = rows.select("file_id", "beat_no").distinct()
     per_file = Window.partitionBy("file_id")
-    usual = (F.col("beat_no") == 1) | (F.lag("beat_no").over(per_file.orderBy("beat_no")) == F.col("beat_no") - 1) | (F.col("n") * 5 >= F.max("n").over(per_file))
+    usual = (F.col("beat_no") == 1) | (F.lag("beat_no").over(per_file.orderBy("beat_no")) == F.col("beat_no") - 1)
     marked = hist.withColumn("is_usual", F.coalesce(usual, F.lit(False)) & (F.col("beat_no") >= 1))
     bad = (
         marked.withColumn("usual", F.max(F.when(F.col("is_usual"), F.col("beat_no"))).over(per_file))
