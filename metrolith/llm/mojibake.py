@@ -44,6 +44,8 @@ RATIO, LEAST = 5, 3
 
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _JAPANESE = re.compile("[぀-ヿ㐀-鿿]")
+#: From one byte of a kana's first half on, whatever may follow in a garbled Japanese stretch.
+_STRETCH = re.compile("[\x81-\xfc‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€][!-\xff‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€]{5,}")
 #: Marks that stand between words in any language.
 _BETWEEN = "‐-‖‘-‚“-„…«»‹›"
 #: A word: letters and whatever else beyond ASCII hangs on to them.
@@ -91,7 +93,7 @@ def _kind(seq: str, enc: str, original: str) -> int:
     if any("\x80" <= c <= "\x9f" for c in seq):
         return SURE
     if all("─" <= c <= "▟" for c in seq):
-        return INSIDE
+        return RUN if seq[0] in "╨╤" else INSIDE
     if all(unicodedata.category(c)[0] == "L" for c in seq):
         if len(seq) == 2 and seq[0] in "ÂÃÄÅ" and enc in ("cp1252", "latin-1"):
             return SURE
@@ -146,18 +148,18 @@ class _Automaton:
                 j += 1
             run = hits[i:j]
             enough = 3 if "/" in run[0][4] else 2
-            weak = [h for h in run if h[3] == RUN]
+            sure = any(h[3] == SURE for h in run)
             japanese = any("/" in h[4] for h in run)
             for h in run:
                 s, e, _, kind, _ = h
                 before, after = text[s - 1 : s], text[e : e + 1]
                 if kind == SURE:
                     keep.append(h)
-                elif kind == INSIDE and (len(run) > 1 and any(x[3] == SURE for x in run) or (before.isalpha() and (before.islower() or not before.isascii())) or after.isalpha()):
+                elif kind == INSIDE and (sure or (before.isalpha() and (before.islower() or not before.isascii())) or after.isalpha()):
                     keep.append(h)
                 elif kind == RUN and not japanese and text[s] >= "Ͱ" and ((before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha())):
                     keep.append(h)  # letters of two scripts in one word
-                elif kind == RUN and len(weak) >= enough and (not japanese or any("぀" <= x[2] <= "ヿ" for x in run)):
+                elif kind == RUN and (sure or len(run) >= enough) and (not japanese or any("぀" <= x[2] <= "ヿ" for x in run)):
                     keep.append(h)
             i = j
         return keep
@@ -179,6 +181,8 @@ def repair_sequences(text: str, rounds: int = 3) -> tuple[str, bool]:
     if text.isascii():
         return text, False
     auto = automaton()
+    whole = _japanese_stretches(text)
+    evident, text = evident or whole != text, whole
     for _ in range(rounds):
         if not auto.may.search(text):
             break
@@ -194,6 +198,35 @@ def repair_sequences(text: str, rounds: int = 3) -> tuple[str, bool]:
     return text, evident
 
 
+def _japanese_stretches(text: str) -> str:
+    """Stretches that a Japanese encoding explains as a whole (single characters would not tell where one begins)."""
+    if not _STRETCH.search(text):
+        return text
+
+    def fix(m: re.Match) -> str:
+        raw = m[0]
+        for true, wrong in WRONG_FOR_JAPANESE:
+            try:
+                new = b"".join(_byte(c, wrong) for c in raw).decode(true)
+            except (UnicodeDecodeError, KeyError):
+                continue
+            if 3 * len(_JAPANESE.findall(new)) >= len(new) and re.search("[぀-ヿ]", new) and len(_JAPANESE.findall(new)) >= 3:
+                return new
+        return raw
+
+    return _STRETCH.sub(fix, text)
+
+
+def _byte(ch: str, enc: str) -> bytes:
+    """The byte that reads as a character; KeyError for none."""
+    if enc not in _byte_tables:
+        _byte_tables[enc] = {_read(bytes([x]), enc): bytes([x]) for x in range(256)}
+    return _byte_tables[enc][ch]
+
+
+_byte_tables: dict[str, dict[str | None, bytes]] = {}
+
+
 def inside_evidence(text: str) -> bool:
     """Whether single characters stand where no text has them, so that their encoding must be wrong."""
     if _INSIDE.search(text):
