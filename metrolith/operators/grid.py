@@ -18,7 +18,7 @@ LONGEST_FRAME_S = 0.1
 
 def canonical_type(c: Column) -> Column:
     """Feature types are the same when they differ only in case and outer blanks."""
-    return F.lower(F.trim(c))
+    return F.lower(F.btrim(c, F.lit(" \t\r\n\u00a0")))
 
 
 def frame_seconds(c: Column) -> Column:

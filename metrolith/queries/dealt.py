@@ -43,7 +43,7 @@ def p6_meters(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P1_SRC = """
-r AS (SELECT file_id, lower(trim(feat_type)) AS feat_type,
+r AS (SELECT file_id, lower(trim(feat_type, ' ' || chr(9) || chr(13) || chr(10) || chr(160))) AS feat_type,
         CASE WHEN frame_length > 0.1 THEN frame_length / 1000.0 ELSE frame_length END AS fl0,
         CASE WHEN isfinite(t) THEN t END AS t, CASE WHEN isfinite(act) THEN act END AS act
       FROM frames WHERE file_id IS NOT NULL AND feat_type IS NOT NULL),
