@@ -44,14 +44,15 @@ class Workspace:
     """Tables written into the shared folder, so that a lost executor costs no lineage.
 
     ``keep`` writes a frame as parquet and returns it read back; ``drop`` deletes what an
-    iteration no longer needs. What the returned result still reads stays until the
-    folder's owner clears it.
+    iteration no longer needs and ``finish`` what a result was made from. What a returned
+    result still reads stays until the folder's owner clears it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -59,6 +60,14 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._metrolith_path = path
+        self.kept.append(out)
+        return out
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Keeps a result and drops every table it was made from."""
+        made, self.kept = self.kept, []
+        out = self.keep(df)
+        self.drop(*made)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
