@@ -327,7 +327,7 @@ def garbled_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     scanned = _scanned(docs, ws)
     bad = ws.keep(garbled_words(scanned))
     by_word = scanned.where("not hit").select("doc_id", F.explode("words").alias("word")).join(bad, "word", "left_semi").select("doc_id")
-    return scanned.where("hit").select("doc_id").unionByName(by_word).where("doc_id is not null").distinct()
+    return ws.finish(scanned.where("hit").select("doc_id").unionByName(by_word).where("doc_id is not null").distinct())
 
 
 def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:

@@ -125,7 +125,7 @@ def pack(sized: DataFrame, ws: Workspace, capacity: int = CAPACITY, batch: int =
     while left := rest(packed[-1]).count():
         round_, parts = len(packed), max(1, -(-left // fan_in))
         # A hash mixes the containers of all partitions, so that small and large rooms meet.
-        mixed = rest(packed[-1]).repartition(parts, F.xxhash64("container"))
+        mixed = rest(packed[-1]).repartition(parts, F.xxhash64("container")).sortWithinPartitions("used", "container")
         packed.append(ws.keep(mixed.mapInArrow(again(round_, parts == 1 or round_ == rounds), SCHEMA)))
     out = packed[0].where("done")
     for p in packed[1:]:

@@ -30,8 +30,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    bars, ws = table(spark, d, "bars"), Workspace(spark, "p4")
-    return clusters.describe_clusters(ws.keep(clusters.cluster_bars(bars, ws)), bars, table(spark, d, "rhythms"))
+    bars = table(spark, d, "bars")
+    return clusters.describe_clusters(clusters.cluster_bars(bars, Workspace(spark, "p4")), bars, table(spark, d, "rhythms"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,4 +74,36 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p4_found, p4_clusters, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_restored)}
-ORACLES: dict[str, str] = {}
+
+_NOBODY = ", ".join(f"'{x}'" for x in sorted(splits.NOBODY))
+_REMARKS = "|".join(sorted(overlap.REMARKS))
+
+ORACLES = {
+    "p3_found": rf"""WITH RECURSIVE k AS (
+SELECT file_id, 'p' AS kind, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(strip_accents(performer)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')), ' ') AS v FROM file_list WHERE performer IS NOT NULL
+UNION ALL SELECT file_id, 's', lower(trim(session_id)) FROM file_list WHERE session_id IS NOT NULL
+UNION ALL SELECT DISTINCT bar2file, 'b', CAST(bar_id AS VARCHAR) FROM bars WHERE bar2file IS NOT NULL AND bar2file IN (SELECT file_id FROM file_list)),
+g AS (SELECT DISTINCT * FROM k WHERE kind = 'b' OR trim(regexp_replace(v, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) NOT IN ({_NOBODY})),
+m AS (SELECT kind, v, min(file_id) AS r FROM g GROUP BY ALL HAVING count(DISTINCT file_id) > 1),
+e AS (SELECT file_id AS a, r AS b FROM g JOIN m USING (kind, v) WHERE file_id <> r UNION SELECT r, file_id FROM g JOIN m USING (kind, v) WHERE file_id <> r),
+c AS (SELECT DISTINCT a AS file_id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.file_id)
+SELECT file_id, min(root) AS group_file_id FROM c GROUP BY file_id""",
+    "p4_found": """WITH d AS (SELECT DISTINCT bar_id, features_per_bar AS f FROM bars WHERE bar_id IS NOT NULL AND features_per_bar IS NOT NULL),
+z AS (SELECT bar_id, len(f) AS n, generate_subscripts(f, 1) AS p, unnest(f) AS x FROM d),
+l AS (SELECT bar_id, n, p, ln(x) AS z FROM z WHERE x > 0 AND isfinite(x)),
+o AS (SELECT bar_id FROM l GROUP BY bar_id, n HAVING count(*) >= greatest(2, 0.5 * n)),
+e AS (SELECT a.bar_id AS a, b.bar_id AS b FROM l a JOIN l b ON a.n = b.n AND a.p = b.p AND a.bar_id <> b.bar_id WHERE a.bar_id IN (FROM o) AND b.bar_id IN (FROM o)
+  GROUP BY a.bar_id, b.bar_id, a.n HAVING count(*) >= greatest(2, 0.5 * a.n) AND avg((a.z - b.z) * (a.z - b.z)) - avg(a.z - b.z) * avg(a.z - b.z) <= 0.16::DOUBLE),
+m0 AS (SELECT a AS bar, least(a, min(b)) AS m FROM e GROUP BY a),
+"""
+    + ",\n".join(f"m{i} AS (SELECT e.a AS bar, least(min(p.m), min(q.m)) AS m FROM e JOIN m{i - 1} p ON p.bar = e.b JOIN m{i - 1} q ON q.bar = e.a GROUP BY e.a)" for i in range(1, 6))
+    + " SELECT bar AS bar_id, m AS cluster_bar_id FROM m5",
+    "p5_found": rf"""WITH a AS (SELECT file_id, lower(strip_accents(regexp_replace(regexp_extract(trim(url_decode(path)), '[^/\\]*$'), '\.[A-Za-z][A-Za-z0-9]{{0,4}}$', ''))) AS s,
+  regexp_extract(regexp_replace(lower(lab_fln), '\.lab\s*$', ''), '([a-z]+)[^a-z]*$', 1) AS w FROM file_list WHERE path IS NOT NULL AND lab_fln IS NOT NULL),
+b AS (SELECT file_id, CASE WHEN w IN ('train', 'training') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev', 'test', 'testing', 'eval') THEN 'eval' END AS split, list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda x: x <> '') AS t FROM a),
+c AS (SELECT file_id, split, CASE WHEN len(t) > 1 AND regexp_full_match(t[1], '[0-9]+') THEN t[2:] ELSE t END AS t FROM b WHERE split IS NOT NULL),
+d AS (SELECT file_id, split, array_to_string(list_filter(t, lambda x: NOT regexp_full_match(x, '(take|mvt|var)[0-9]+|{_REMARKS}|[0-9]+(k|khz|hz|bit|kbps)')), '') AS name,
+  array_to_string(list_sort(list_transform(list_filter(t, lambda x: regexp_full_match(x, '(take|mvt|var)[0-9]+')), lambda x: regexp_replace(x, '([a-z])0+([0-9])', '\1\2'))), ' ') AS nums FROM c),
+lim AS (SELECT *, CASE WHEN length(name) >= 13 THEN 2 WHEN length(name) >= 8 THEN 1 ELSE 0 END AS m FROM d WHERE name <> '')
+SELECT DISTINCT least(x.file_id, y.file_id) AS file_id_a, greatest(x.file_id, y.file_id) AS file_id_b FROM lim x JOIN lim y ON x.split = 'train' AND y.split = 'eval' AND x.nums = y.nums AND abs(length(x.name) - length(y.name)) <= 2 AND damerau_levenshtein(x.name, y.name) <= least(x.m, y.m)""",
+}
