@@ -46,6 +46,8 @@ _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _JAPANESE = re.compile("[぀-ヿ㐀-鿿]")
 #: From one byte of a kana's first half on, whatever may follow in a garbled Japanese stretch.
 _STRETCH = re.compile("[\x81-\xfc‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€][!-\xff‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ€]{5,}")
+#: A kana of a Japanese encoding, read a byte at a time.
+_KANA = re.compile("[\x82‚][\x9f-\xf1Ÿ]|[\x83ƒ][@-\x96€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–]|[¤¥][¡-ö]")
 #: Marks that stand between words in any language.
 _BETWEEN = "‐-‖‘-‚“-„…«»‹›"
 #: A word: letters and whatever else beyond ASCII hangs on to them.
@@ -122,8 +124,13 @@ class _Automaton:
         for seq, x in found.items():
             self.auto.add_word(seq, (len(seq), seq, *x))
         self.auto.make_automaton()
-        # Any match holds one of these, so most texts need no search.
-        self.may = re.compile("[" + "".join(sorted({re.escape(s[0]) for s in found})) + "]")
+        # Any evidence holds one of these pairs, so most texts need no search: the first two characters of a sequence of
+        # its encoding, or a garbled kana.
+        pairs = []
+        for wrong in WRONG_FOR_UTF8:
+            own = [s for s, x in found.items() if x[2] == wrong]
+            pairs.append("".join("[" + "".join(map(re.escape, sorted({s[k] for s in own}))) + "]" for k in (0, 1)))
+        self.may = re.compile("|".join([*pairs, _KANA.pattern]))
 
     def matches(self, text: str) -> list[tuple[int, int, str, int, str]]:
         """(start, end, original, kind, encodings) of the leftmost longest matches, only those that are evidence."""
@@ -200,7 +207,7 @@ def repair_sequences(text: str, rounds: int = 3) -> tuple[str, bool]:
 
 def _japanese_stretches(text: str) -> str:
     """Stretches that a Japanese encoding explains as a whole (single characters would not tell where one begins)."""
-    if not _STRETCH.search(text):
+    if len(_KANA.findall(text)) < 3:
         return text
 
     def fix(m: re.Match) -> str:
