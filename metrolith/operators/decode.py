@@ -63,6 +63,26 @@ def model_from_tables(edges: DataFrame, init: DataFrame, cells: DataFrame) -> Mo
     return Model(e.i.to_numpy() - 1, e.j.to_numpy() - 1, e.p.to_numpy(), i.p.to_numpy(), c.gmm.to_numpy() - 1)
 
 
+def model_faults(model: Model, columns: int, tolerance: float = 1e-4) -> list[str]:
+    """What does not fit together in a model whose frames have so many likelihood columns; nothing for a sound one."""
+    out = []
+    if not len(model.p):
+        return ["no transitions"]
+    if max(model.src.max(), model.dst.max()) >= model.n or min(model.src.min(), model.dst.min()) < 0:
+        out.append("transitions of states that do not exist")
+    else:
+        total = np.bincount(model.src, model.p, model.n)
+        if (np.abs(total[total > tolerance] - 1) > tolerance).any():
+            out.append("chances that do not sum to 1")
+    if len(model.obs) != model.n:
+        out.append("not one likelihood column a state")
+    elif model.obs.max() >= columns or model.obs.min() < 0:
+        out.append("likelihood columns that do not exist")
+    if abs(model.init.sum() - 1) > tolerance:
+        out.append("initial chances that do not sum to 1")
+    return out
+
+
 def _scaled(d: np.ndarray) -> np.ndarray:
     s = d.sum()
     # No state can explain the frame: all are alike again.

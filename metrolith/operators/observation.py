@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.session import Workspace
+
 REGULARISATION = 1e-10
 
 
@@ -39,11 +41,12 @@ def fit_mixtures(values: DataFrame, key: list[str], steps: int = 20, floor: floa
     are as many as the keys (patterns times cells), which the model bounds. They start a
     deviation below and above the mean. Null and NaN values are left out.
     """
-    data = values.select(*key, F.col("x").cast("double").alias("x")).where("x is not null and not isnan(x)")
+    spark = values.sparkSession
+    ws = Workspace(spark, "em")
+    data = ws.keep(values.select(*key, F.col("x").cast("double").alias("x")).where("x is not null and not isnan(x)"))  # read once a step
     s = data.groupBy(*key).agg(F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
     sd = F.sqrt("v")
     par = s.select(*key, F.lit(0.5).alias("w1"), (F.col("m") - sd).alias("m1"), (F.col("v") + floor).alias("v1"), F.lit(0.5).alias("w2"), (F.col("m") + sd).alias("m2"), (F.col("v") + floor).alias("v2"))
-    spark = values.sparkSession
     rows = [tuple(r) for r in par.collect()]
     for _ in range(steps):
         now = spark.createDataFrame(rows, par.schema)
@@ -68,6 +71,7 @@ def fit_mixtures(values: DataFrame, key: list[str], steps: int = 20, floor: floa
                 else:
                     new += [n / r.n, a / n, max(b / n - (a / n) ** 2, 0.0) + floor]
             rows.append((*k, *new))
+    ws.drop(data)
     out = spark.createDataFrame(rows, par.schema)
     return out.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("comp"), F.col(f"w{i}").alias("weight"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var")) for i in (1, 2)])).alias("c")).select(*key, "c.*")
 

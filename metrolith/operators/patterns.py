@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.session import Workspace
+
 
 def transition_counts(bars: DataFrame, order: tuple[str, ...] = ("bar_no",)) -> DataFrame:
     """i, j, n: how often a bar of pattern j follows one of pattern i in a file (file_id, pattern and the order's columns)."""
@@ -103,6 +105,7 @@ def spread_centres(points: DataFrame, dims: list[str], k: int, seed: int = 1) ->
 
 def kmeans_per_meter(points: DataFrame, dims: list[str], k: int, mode: str = "data", steps: int = 20, dataset: str = "set") -> DataFrame:
     """Points (with num, den) with pattern and name: k-means within each meter, the clusters shared out by ``cluster_budget``."""
+    points = Workspace(points.sparkSession, "kmeans").keep(points)  # read once a step
     counts = {(r.num, r.den): r.n for r in points.groupBy("num", "den").agg(F.count("*").alias("n")).collect()}
     budget, first, out = cluster_budget(counts, k, mode), 0, None
     for (num, den), n in sorted(budget.items()):

@@ -19,7 +19,8 @@ def beat_times(path: DataFrame, frame_length: float, frame_shift: float = 0.0) -
     rows, own = blocked(path, 0, 1)
     w = Window.partitionBy("file_id", "_block").orderBy("frame")
     m, nxt, f = F.col("position"), F.col("_next"), F.col("frame")
-    rows = rows.withColumn("_next", F.lead("position").over(w)).where(own & F.col("_next").isNotNull())
+    # Beside a frame of silence, which the path lacks, there is no next position.
+    rows = rows.withColumn("_next", F.when(F.lead("frame").over(w) == f + 1, F.lead("position").over(w))).where(own & F.col("_next").isNotNull())
 
     def place(j):
         b = 1.0 + (j - 1) * (F.col("bar") / F.col("n_beats"))

@@ -21,15 +21,24 @@ from metrolith.plans import transitions as tr
 
 @dataclass
 class Tables:
-    """A trained model: patterns (with tempo limits), pattern transitions (i, j, p) and mixtures (null for activations)."""
+    """A trained model: patterns (with tempo limits), pattern transitions (i, j, p), mixtures (null for activations) and those of silence (dim, comp, weight, mean, var)."""
 
     patterns: DataFrame
     pr: DataFrame
     gmm: DataFrame | None
+    silence: DataFrame | None = None
 
 
-def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dataset: str = "set") -> Tables:
-    """A model with a pattern per meter from frames (file_id, frame, dim, value), dense beats and meters (file_id, num, den)."""
+def _fixed(df: DataFrame) -> DataFrame:
+    """A table of a model as it is now: a few rows a pattern, so that decoding does not compute the training again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dataset: str = "set", silent: DataFrame | None = None) -> Tables:
+    """A model with a pattern per meter from frames (file_id, frame, dim, value), dense beats and meters (file_id, num, den).
+
+    ``silent`` has frames of silence (dim, value), from which its mixture is fitted.
+    """
     usable = br.beats_within(beats, frames, p.frame_length).join(br.files_with_bars(beats), "file_id", "left_semi")
     full = br.full_bars(usable)
     grid = meters.select("file_id", br.grid_size(F.col("num"), F.col("den"), p.whole_note_div).alias("cells"))
@@ -44,14 +53,15 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
     pr = pt.complete_matrix(pt.transition_matrix(labelled, ("beat_idx",)), pt.pattern_prior(labelled))
     values = cells.join(labelled.select("file_id", "beat_idx", "pattern"), ["file_id", "beat_idx"]).select("pattern", "cell", "dim", F.col("value").alias("x"))
     gmm = ob.fit_mixtures(values, ["pattern", "cell", "dim"]) if p.observation_model == "MOG" else None
-    return Tables(patterns, pr, gmm)
+    quiet = ob.fit_mixtures(silent.select("dim", F.col("value").alias("x")), ["dim"]) if silent is not None else None
+    return Tables(_fixed(patterns), _fixed(pr), gmm, quiet)
 
 
-def likelihood_arrays(lik: DataFrame, n_patterns: int, max_cells: int) -> DataFrame:
-    """file_id, frame, lik: likelihoods of all cells, pattern by pattern; 0 for cells that a pattern has not."""
+def likelihood_arrays(lik: DataFrame, n_patterns: int, max_cells: int, extra: int = 0) -> DataFrame:
+    """file_id, frame, lik: likelihoods of all cells, pattern by pattern; 0 for cells that a pattern has not. ``extra`` columns follow, as cells of one more pattern."""
     at = ((F.col("pattern") - 1) * max_cells + F.col("cell")).cast("int")
     m = lik.groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), "lik"))).alias("m"))
-    return m.select("file_id", "frame", F.transform(F.sequence(F.lit(1), F.lit(n_patterns * max_cells)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("lik"))
+    return m.select("file_id", "frame", F.transform(F.sequence(F.lit(1), F.lit(n_patterns * max_cells + extra)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("lik"))
 
 
 def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, int]:
@@ -61,23 +71,34 @@ def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, int]:
     if p.observation_model == "RNN":
         lik = ob.activation_likelihood(frames.where("dim = 1").select("file_id", "frame", F.col("value").alias("x")), cells)
     else:
-        lik = ob.mixture_likelihood(frames, t.gmm)
-    return likelihood_arrays(lik, count, most), most
+        gmm = t.gmm
+        if p.use_silence_state:
+            if t.silence is None:
+                raise ValueError("a silence state needs frames of silence in training")
+            gmm = gmm.unionByName(t.silence.withColumns({"pattern": F.lit(count + 1), "cell": F.lit(1)}).select(gmm.columns))
+        lik = ob.mixture_likelihood(frames, gmm)
+    return likelihood_arrays(lik, count, most, int(p.use_silence_state)), most
 
 
 def hidden_model(t: Tables, p: Params, max_cells: int) -> tuple[dc.Model, DataFrame]:
     """The decoder's arrays and the state table."""
     if p.transition_model_type == "2015":
         states = ss.states_2015(t.patterns, p.frame_length, p.n_tempi)
-        edges = tr.transitions_2015(states, t.pr, p.tempo_lambda)
+        edges = tr.transitions_2015(states, t.pr, p.tempo_lambda, p.p2s, p.pfs, p.use_silence_state)
         placed = states
+    elif p.use_silence_state:
+        raise ValueError("the silence state belongs to the 2015 model")
     else:
         states = ss.states_2006(t.patterns, p.frame_length, p.max_positions)
         edges = tr.transitions_2006(t.patterns, t.pr, p.frame_length, p.max_positions, p.pn)
         placed = states.withColumn("position", (F.col("position") - 1) / F.col("positions") * F.col("bar") + 1)
     prior = t.patterns.select("pattern", (1.0 / F.count("*").over(ss.Window.partitionBy(F.lit(1)))).alias("p")) if p.use_meter_prior else None
     cells = ss.state_cells(placed, p.whole_note_div, max_cells)
-    return dc.model_from_tables(edges, ss.initial_distribution(states, prior), cells), placed
+    if p.use_silence_state:
+        last = states.agg((F.max("state") + 1).cast("int").alias("state"))
+        extra = t.patterns.agg((F.count("*") * max_cells + 1).cast("int").alias("gmm"))
+        cells = cells.unionByName(last.crossJoin(extra).select("state", F.lit(None).cast("int").alias("pattern"), F.lit(1).alias("cell"), "gmm"))
+    return dc.model_from_tables(edges, ss.initial_distribution(states, prior, p.use_silence_state), cells), placed
 
 
 def decode(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, DataFrame]:
@@ -109,6 +130,6 @@ def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1) -> Tables:
         placed = path.select("file_id", "frame", "pattern", cell.alias("cell")).join(frames, ["file_id", "frame"])
         gmm = ob.fit_mixtures(placed.select("pattern", "cell", "dim", F.col("value").alias("x")), ["pattern", "cell", "dim"]) if t.gmm is not None else None
         runs = rs.segments(path).select("file_id", F.col("seg").alias("bar_no"), "pattern")
-        pr = pt.complete_matrix(pt.transition_matrix(runs), pt.pattern_prior(runs)) if t.patterns.count() > 1 else t.pr
-        t = Tables(t.patterns, pr, gmm)
+        pr = _fixed(pt.complete_matrix(pt.transition_matrix(runs), pt.pattern_prior(runs))) if t.patterns.count() > 1 else t.pr
+        t = Tables(t.patterns, pr, gmm, t.silence)
     return t

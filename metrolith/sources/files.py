@@ -69,6 +69,27 @@ def parse_meters(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"num": part[0].try_cast("int"), "den": F.coalesce(F.nullif(den, F.lit(0)), F.lit(4))}).drop("value")
 
 
+def meters_of(files: DataFrame, meters: DataFrame, pattern_size: str = "bar") -> DataFrame:
+    """file_id, num, den of every file: its first annotated meter, 4/4 without one, 1/4 for patterns of a beat."""
+    if pattern_size == "beat":
+        return files.select("file_id").distinct().select("file_id", F.lit(1).alias("num"), F.lit(4).alias("den"))
+    first = meters.where("num is not null").groupBy("file_id").agg(F.min(F.struct("section_no", "num", F.coalesce(F.nullif("den", F.lit(0)), F.lit(4)).alias("den"))).alias("m"))
+    return files.select("file_id").distinct().join(first, "file_id", "left").select("file_id", F.coalesce("m.num", F.lit(4)).alias("num"), F.coalesce("m.den", F.lit(4)).alias("den"))
+
+
+def load_features(cache: DataFrame, names: list[str], compute=None) -> DataFrame:
+    """(file_id, frame, dim, value) of several features, each from a cache (file_id, feat_type, frame, y) where it has the file, else
+    from ``compute(name)`` (file_id, frame, y); a frame needs all features."""
+    parts = []
+    for name in names:
+        kept = cache.where(F.col("feat_type") == name).select("file_id", "frame", "y")
+        if compute is not None:
+            made = compute(name).select("file_id", "frame", "y")
+            kept = kept.unionByName(made.join(kept.select("file_id").distinct(), "file_id", "left_anti"))
+        parts.append(kept)
+    return align_features(*parts)
+
+
 def parse_sections(lines: DataFrame) -> DataFrame:
     """One row a number of a comma-separated line: pos (from 1), section."""
     return lines.select(*[c for c in lines.columns if c != "value"], F.posexplode(F.split("value", ",")).alias("pos", "section")).withColumn("pos", F.col("pos") + 1).withColumn("section", F.trim("section").try_cast("int"))

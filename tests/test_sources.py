@@ -108,3 +108,14 @@ def test_features(spark):
             signal.feature(df, bad)
     assert signal.moving_average(df, 200).count() == 0
     assert signal.change_frame_rate(df, 50.0, 50.0).count() == 129
+
+
+def test_meters_and_cached_features(spark):
+    f = spark.createDataFrame([(1,), (2,), (3,)], "file_id long")
+    m = spark.createDataFrame([(1, 2, 3, 8), (1, 1, 6, None), (2, 1, None, 4)], "file_id long, section_no int, num int, den int")
+    assert {tuple(r) for r in files.meters_of(f, m).collect()} == {(1, 6, 4), (2, 4, 4), (3, 4, 4)}
+    assert {(r.num, r.den) for r in files.meters_of(f, m, "beat").collect()} == {(1, 4)}
+    cache = spark.createDataFrame([(1, "a", k, 1.0) for k in (1, 2)] + [(1, "b", 1, 2.0)], "file_id long, feat_type string, frame long, y double")
+    made = spark.createDataFrame([(1, 1, 9.0), (2, 1, 9.0)], "file_id long, frame long, y double")
+    got = {(r.file_id, r.frame, r.dim, r.value) for r in files.load_features(cache, ["a", "b"], lambda n: made).collect()}
+    assert got == {(1, 1, 1, 1.0), (1, 1, 2, 2.0), (2, 1, 1, 9.0), (2, 1, 2, 9.0)}

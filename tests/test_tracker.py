@@ -104,6 +104,29 @@ def test_correction_and_sinks(spark, clicks, trained, tmp_path):
     assert sinks.load_tables(spark, str(tmp_path / "m"), ["patterns"])["patterns"].count() == 2
 
 
+def test_silence(spark, clicks):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    quiet = spark.createDataFrame([(1, 0.1 + 0.05 * (i % 9)) for i in range(200)], "dim int, value double")
+    t = tracker.train(*clicks, P, silent=quiet)
+    q = replace(P, use_silence_state=True, p2s=1e-3, pfs=1e-3)
+    before = spark.range(1, 101).select(F.lit(1).cast("long").alias("file_id"), F.col("id").alias("frame"), F.lit(1).alias("dim"), (0.1 + 0.05 * (F.col("id") % 9)).alias("value"))
+    late = before.unionByName(clicks[0].where("file_id = 1").withColumn("frame", F.col("frame") + 100))
+    beats, path = tracker.decode(late, t, q)
+    assert path.agg(F.min("frame")).first()[0] > 90
+    first = beats.agg(F.min("t"), F.count("*")).first()
+    assert first[0] > 4.5 and first[1] >= 34
+    lik, most = tracker.observe(late, t, q)
+    model, _ = tracker.hidden_model(t, q, most)
+    from metrolith.operators.decode import model_faults
+
+    assert model_faults(model, len(lik.first().lik)) == [] and "likelihood columns that do not exist" in model_faults(model, 3)
+    with pytest.raises(ValueError):
+        tracker.observe(late, tracker.Tables(t.patterns, t.pr, t.gmm), q)
+
+
 def test_systematic_draws():
     rng = np.random.default_rng(2)
     for _ in range(50):
