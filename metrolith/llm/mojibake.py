@@ -341,7 +341,7 @@ def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """doc_id, restored of every document whose text changes: sequences replaced, then garbled words; all other text as it was."""
     scanned = _scanned(docs, ws)
     bad = ws.keep(garbled_words(scanned))
-    swaps = scanned.select("doc_id", F.explode("words").alias("word")).join(bad, "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("swaps"))
+    swaps = scanned.select("doc_id", F.explode("words").alias("word")).join(bad, "word").distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("swaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,8 +356,9 @@ def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
                     texts.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "restored"])
 
+    touched = scanned.where("hit").select("doc_id").distinct().join(swaps, "doc_id", "full")
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(swaps, "doc_id", "left").mapInArrow(run, "doc_id long, restored string")
+    return texts.join(touched, "doc_id").mapInArrow(run, "doc_id long, restored string")
 
 
 def _keep_edges(word: str, fixed: str) -> str:
