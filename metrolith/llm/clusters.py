@@ -5,7 +5,8 @@ are compared with those near them in the order of a random-hyperplane code, in b
 size, which gives a sparse graph of mutual reachability with the links of every block's own
 spanning tree. Bars that are alone in their block, and some of each group that is not, meet
 again under further sets of hyperplanes, which links the groups of different blocks. Its minimum spanning forest comes from
-distributed Borůvka rounds. The condensed hierarchy starts with the components at the tolerance
+distributed Borůvka rounds. What the blocks have missed is found exactly: the groups are cut into balls, all balls and lone bars
+are compared by a lower bound on the distance of their members, and only those it cannot part are compared bar by bar. The condensed hierarchy starts with the components at the tolerance
 (splits below it are no splits) and joins them at growing distances; clusters are selected by
 stability, and members that are left only beyond the tolerance are noise.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolith.operators.components import LOCAL_EDGES, connected_components, union_find
-from metrolith.operators.spanning import spanning_forest
+from metrolith.operators.spanning import kruskal, spanning_forest
 from metrolith.session import Workspace
 
 #: Root mean square difference of log profiles up to which deviations are small.
@@ -35,6 +36,8 @@ MIN_SAMPLES = 1
 NEAREST = 1e-3
 #: Share of cells two bars must both have to be compared.
 SHARED = 0.5
+#: Bars that may form one ball, balls and lone bars compared at a time, and what rounding may add to a root mean square.
+BALL, PIECE, SLACK = 512, 1024, 1e-3
 
 
 def profile(cells: np.ndarray) -> np.ndarray:
@@ -69,6 +72,84 @@ def distances(z: np.ndarray) -> np.ndarray:
     return np.maximum(d, NEAREST)
 
 
+def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The ``distances`` of each row of x to each of y."""
+    dim = x.shape[1]
+    okx, oky = np.isfinite(x), np.isfinite(y)
+    v, u = np.where(okx, x, 0.0), np.where(oky, y, 0.0)
+    d2 = ((v * v).sum(1)[:, None] + (u * u).sum(1)[None, :] - 2 * v @ u.T) / dim
+
+    def part(v, okv, u, oku):
+        m, n = okv.astype(float), oku.astype(float)
+        shared = m @ n.T
+        s2 = (v * v) @ n.T + m @ (u * u).T - 2 * v @ u.T
+        s1 = v @ n.T - m @ u.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(shared >= max(SHARED * dim, 2), s2 / shared - (s1 / shared) ** 2, np.inf)
+
+    rows, cols = np.flatnonzero(~okx.all(1)), np.flatnonzero(~oky.all(1))
+    if len(rows):
+        d2[rows] = part(v[rows], okx[rows], u, oky)
+    if len(cols):
+        d2[:, cols] = part(v, okx, u[cols], oky[cols])
+    return np.maximum(np.sqrt(np.maximum(d2, 0.0)), NEAREST)
+
+
+def balls(z: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+    """Rows divided into balls: positions, centre, radius and cells a member may lack.
+
+    The radius is the root of the largest sum of squares of a member's differences from the
+    centre over its own cells, their mean taken out; over any fewer cells the sum is no larger.
+    """
+    d, left, out = distances(z), np.ones(len(z), bool), []
+    for i in range(len(z)):
+        if not left[i]:
+            continue
+        rows = np.flatnonzero(left & ((d[i] <= reach) | (np.arange(len(z)) == i)))
+        left[rows] = False
+        if len(rows) == 1:
+            out.append((rows, z[i], 0.0, 0))
+            continue
+        ok = np.isfinite(z[rows])
+        n = ok.sum(0)
+        c = np.where(n > 0, np.where(ok, z[rows], 0.0).sum(0) / np.maximum(n, 1), np.nan)
+        c = (c - np.nanmean(c)).astype(np.float32).astype(float)
+        e = np.where(ok, z[rows] - np.where(n > 0, c, 0.0), 0.0)
+        size = ok.sum(1)
+        r2 = (e * e).sum(1) - e.sum(1) ** 2 / size
+        out.append((rows, c, float(np.sqrt(max(r2.max(), 0.0))), int((n > 0).sum() - size.min())))
+    return out
+
+
+def may_meet(u: np.ndarray, lack: np.ndarray, radius: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether members of two balls may lie within the tolerance; false only where none can.
+
+    ``u`` has the differences of two centres, NaN where one has no cell. Two members share all of those cells but ``lack``
+    at most. The least sum of squares (mean taken out) over s of the cells is that of neighbours in sorted order.
+    """
+    dim = u.shape[1]
+    count, out = np.isfinite(u).sum(1), np.zeros(len(u), bool)
+    sure = max(int(np.ceil(SHARED * dim)), 2)
+    for n, k in np.unique(np.stack([count, lack], 1), axis=0).tolist() if len(u) else []:
+        if n < sure:
+            continue
+        rows = np.flatnonzero((count == n) & (lack == k))
+        x = np.sort(u[rows], axis=1)[:, :n]
+        c1, c2 = (np.concatenate([np.zeros((len(rows), 1)), np.cumsum(y, axis=1)], axis=1) for y in (x, x * x))
+
+        def least(at, s):
+            a = c1[at, s:] - c1[at, : n + 1 - s]
+            return np.sqrt(np.maximum((c2[at, s:] - c2[at, : n + 1 - s] - a * a / s).min(1), 0.0))
+
+        low = max(n - k, sure)
+        at = np.flatnonzero(least(slice(None), low) <= (tolerance + SLACK) * np.sqrt(n) + radius[rows])
+        open_ = np.zeros(len(at), bool)
+        for s in range(low, n + 1):
+            open_ |= least(at, s) <= (tolerance + SLACK) * np.sqrt(s) + radius[rows[at]]
+        out[rows[at[open_]]] = True
+    return out
+
+
 def block_tree(z: np.ndarray, min_samples: int = MIN_SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends and mutual reachability of the edges of a block's minimum spanning forest (Prim)."""
     n = len(z)
@@ -102,6 +183,8 @@ def _planes(dim: int, rounds: int, bits: int, seed: int) -> np.ndarray:
 
 
 def _profiles(rounds: int, bits: int, seed: int):
+    """Profiles of usable bars with their codes; ``lacks`` is the number of missing cells, in powers of two."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
         planes: dict[int, np.ndarray] = {}
@@ -126,7 +209,8 @@ def _profiles(rounds: int, bits: int, seed: int):
                     pa.array(ids[rows], pa.int64()), pa.array(np.full(len(rows), dim, np.int32)),
                     pa.array([x.tobytes() for x in half], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, rounds, dtype=np.int32)), pa.array(code.ravel())),
-                ], names=["bar_id", "dim", "z", "codes"])
+                    pa.array(np.ceil(np.log2((~np.isfinite(z)).sum(1) + 1)).astype(np.int32)),
+                ], names=["bar_id", "dim", "z", "codes", "lacks"])
 
     return run
 
@@ -188,7 +272,7 @@ def _block_links(block: int, min_samples: int, tolerance: float, most: int):
 
 def neighbour_graph(bars: DataFrame, ws: Workspace, rounds: int = ROUNDS, bits: int = BITS, block: int = BLOCK, min_samples: int = MIN_SAMPLES, tolerance: float = TOLERANCE, most: int = DELEGATES, seed: int = 7) -> DataFrame:
     """a, b, w: links of mutual reachability between bars (bar_id, cells) of one length. Bars with several equal rows count once."""
-    prof = bars.mapInArrow(_profiles(rounds, bits, seed), "bar_id long, dim int, z binary, codes array<bigint>")
+    prof = bars.mapInArrow(_profiles(rounds, bits, seed), "bar_id long, dim int, z binary, codes array<bigint>, lacks int").drop("lacks")
     # Equal codes are put in another order each round, so that copies meet in other blocks.
     order = ["dim", "round", "code", F.xxhash64("bar_id", "round"), "bar_id"]
     cols = ["dim", "round", "bar_id", "z", "codes"]
@@ -199,6 +283,115 @@ def neighbour_graph(bars: DataFrame, ws: Workspace, rounds: int = ROUNDS, bits:
     return links.where("b is not null").select("a", "b", "w").unionByName(more.select("a", "b", "w"))
 
 
+_ITEMS = "dim int, comp long, n int, radius double, lack int, centre binary, ids array<bigint>, z binary"
+
+
+def _items(tolerance: float):
+    """Balls of the bars of one group (dim, comp, lacks) that stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+
+        def emit(key, ids, z):
+            x = np.frombuffer(b"".join(z), np.float16).reshape(len(ids), -1).astype(float)
+            found = balls(x, tolerance / 2)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([key[0]] * len(found), pa.int32()), pa.array([key[1]] * len(found), pa.int64()), pa.array([len(b[0]) for b in found], pa.int32()),
+                pa.array([b[2] for b in found], pa.float64()), pa.array([b[3] for b in found], pa.int32()), pa.array([b[1].astype(np.float32).tobytes() for b in found], pa.binary()),
+                pa.array([ids[b[0]].tolist() for b in found], pa.list_(pa.int64())), pa.array([b"".join(z[i] for i in b[0]) for b in found], pa.binary()),
+            ], names=["dim", "comp", "n", "radius", "lack", "centre", "ids", "z"])
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("dim", "comp", "lacks")]
+            ids, z = batch.column("bar_id").to_numpy(), batch.column("z").to_pylist()
+            change = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(ids) else []
+            for lo, hi in zip(change, [*change[1:], len(ids)]):
+                key, part = tuple(k[lo] for k in keys), (ids[lo:hi], z[lo:hi])
+                if held is not None and held[0] != key:
+                    yield from emit(*held)
+                    held = None
+                if held is not None:
+                    part = np.concatenate([held[1], part[0]]), held[2] + part[1]
+                while len(part[0]) > BALL:
+                    yield from emit(key, *(x[:BALL] for x in part))
+                    part = tuple(x[BALL:] for x in part)
+                held = (key, *part)
+        if held is not None:
+            yield from emit(*held)
+
+    return run
+
+
+def _meetings(tolerance: float):
+    """Pairs of items of different groups that may hold a link."""
+
+    def run(key, t):
+        dim, i, j = (int(k.as_py()) for k in key)
+        item, comp, n, radius, lack, piece = (t.column(c).to_numpy() for c in ("item", "comp", "n", "radius", "lack", "piece"))
+        z = np.frombuffer(b"".join(t.column("centre").to_pylist()), np.float32).reshape(-1, dim).astype(float)
+        x, y = np.flatnonzero(piece == i), np.flatnonzero(piece == j)
+        if not len(x) or not len(y):
+            return pa.table({"item_a": pa.array([], pa.int64()), "item_b": pa.array([], pa.int64())})
+        d, other = between(z[x], z[y]), comp[x][:, None] != comp[y][None, :]
+        if i == j:
+            other &= x[:, None] < y[None, :]
+        ok = np.isfinite(z).astype(float)
+        k = lack[x][:, None] + lack[y][None, :]
+        far = (radius[x][:, None] + radius[y][None, :]) / np.sqrt(np.maximum(ok[x] @ ok[y].T, 1.0))
+        hit = other & (k == 0) & (d <= tolerance + SLACK + far)
+        # Only where cells may be lacking is the order of the differences needed.
+        a, b = np.nonzero(other & (k > 0))
+        for lo in range(0, len(a), 65536):
+            p, q = a[lo : lo + 65536], b[lo : lo + 65536]
+            hit[p, q] = may_meet(z[x[p]] - z[y[q]], k[p, q], radius[x[p]] + radius[y[q]], tolerance)
+        a, b = np.nonzero(hit)
+        return pa.table({"item_a": pa.array(item[x[a]]), "item_b": pa.array(item[y[b]])})
+
+    return run
+
+
+def _members(tolerance: float):
+    """Links (a, b, w) within the tolerance between the bars of two items, as a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+            for dim, ia, za, ib, zb in zip(*(t.column(c).to_pylist() for c in ("dim", "ids_a", "z_a", "ids_b", "z_b"))):
+                d = between(*(np.frombuffer(z, np.float16).reshape(-1, dim).astype(float) for z in (za, zb)))
+                p, q = np.nonzero(d <= tolerance)
+                a, b, w = np.array(ia, np.int64)[p], np.array(ib, np.int64)[q], d[p, q]
+                keep = kruskal(a, b, w, a, b)
+                for o, v in zip(out, (a, b, w)):
+                    o.append(v[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b", "w"])
+
+    return run
+
+
+def missing_links(bars: DataFrame, tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, local_limit: int = LOCAL_EDGES, piece: int = PIECE, seed: int = 7) -> DataFrame:
+    """a, b, w: links within the tolerance between groups that ``tree`` (a, b, w) leaves apart, enough of them to join all groups that any link joins.
+
+    No pair of bars is left out: groups are cut into balls of up to 512 bars, and two of them are
+    passed over only where the lower bound says that no bars of theirs can be within the
+    tolerance. Lone bars are balls of one. The number of balls and lone bars is what counts squared.
+    """
+    base = connected_components(tree.where(F.col("w") <= tolerance).select("a", "b"), ws, local_limit)
+    prof = bars.mapInArrow(_profiles(1, BITS, seed), "bar_id long, dim int, z binary, codes array<bigint>, lacks int")
+    placed = prof.join(base.withColumnRenamed("node", "bar_id"), "bar_id", "left").select("dim", F.coalesce("component", "bar_id").alias("comp"), "lacks", F.col("codes")[0].alias("code"), "bar_id", "z")
+    order = ["dim", "comp", "lacks", "code", "bar_id"]
+    made = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_items(tolerance), _ITEMS)
+    items = ws.keep(made.withColumn("item", F.monotonically_increasing_id()))
+    pieces = F.greatest(F.ceil(F.col("count") / piece), F.lit(1)).cast("int")
+    sizes = items.groupBy("dim").count().select("dim", pieces.alias("pieces"))
+    cut = items.join(F.broadcast(sizes), "dim").withColumn("piece", F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int"))
+    each = cut.select("dim", "item", "comp", "n", "radius", "lack", "centre", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
+    keyed = each.select("dim", F.least("piece", "k").alias("i"), F.greatest("piece", "k").alias("j"), "item", "comp", "n", "radius", "lack", "centre", "piece")
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = ws.keep(keyed.repartition(parts, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(_meetings(tolerance), "item_a long, item_b long"))
+    held = [items.select(F.col("item").alias(f"item_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("z").alias(f"z_{x}"), *(["dim"] if x == "a" else [])) for x in "ab"]
+    return pairs.join(held[0], "item_a").join(held[1], "item_b").select("dim", "ids_a", "z_a", "ids_b", "z_b").mapInArrow(_members(tolerance), "a long, b long, w double")
+
+
 def density_clusters(tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, growth: float = 2**0.5, local_limit: int = LOCAL_EDGES) -> DataFrame:
     """bar_id, cluster (its smallest bar), persistence (1 / distance at which the bar leaves its cluster) of all clustered bars.
 
@@ -264,8 +457,11 @@ def cluster_bars(bars: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, l
     rows differ belongs with all of them; bars with different ids and the same array are two. An
     empty table gives no rows.
     """
-    edges = neighbour_graph(bar_cells(bars), ws, tolerance=tolerance, **graph)
-    tree = spanning_forest(edges, ws, local_limit)
+    cells = bar_cells(bars)
+    tree = ws.keep(spanning_forest(neighbour_graph(cells, ws, tolerance=tolerance, **graph), ws, local_limit))
+    more = ws.keep(missing_links(cells, tree, ws, tolerance, local_limit))
+    if not more.isEmpty():
+        tree = spanning_forest(tree.unionByName(more), ws, local_limit)
     return ws.finish(density_clusters(tree, ws, tolerance, local_limit=local_limit).withColumnRenamed("cluster", "cluster_bar_id"))
 
 

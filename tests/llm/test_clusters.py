@@ -1,6 +1,6 @@
 import numpy as np
 
-from metrolith.llm.clusters import block_tree, cluster_bars, describe_clusters, distances, profile
+from metrolith.llm.clusters import TOLERANCE, balls, between, block_tree, cluster_bars, describe_clusters, distances, may_meet, profile
 from metrolith.session import Workspace
 
 BARS = "bar_id long, bar2file long, bar_no int, bar2cluster int, features_per_bar array<double>, w double, cluster string"
@@ -81,6 +81,37 @@ def test_hot_group_of_copies(spark):
     assert got == {r[0]: 1 for r in rows}
 
 
+def test_no_link_within_the_tolerance_is_missed(spark):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for g in range(150):
+        base = rnd.normal(0, 0.9, 32)
+        for _ in range(2 if g < 140 else 20):
+            c = np.exp(base + rnd.normal(0, 0.2, 32))
+            c[rnd.random(32) < 0.3 * (g % 2)] = np.nan
+            rows.append((len(rows) + 1, None, c.tolist()))
+    d = distances(profile(np.array([r[2] for r in rows])).astype(np.float16).astype(float))
+    a, b = np.nonzero(d <= TOLERANCE)
+    for kw in ({"block": 4, "rounds": 1}, {}):
+        got = {r.bar_id: r.cluster_bar_id for r in cluster_bars(bars(spark, rows), Workspace(spark, "t"), **kw).collect()}
+        assert set(got) == {int(i) + 1 for i in a}
+        assert all(got[i + 1] == got[j + 1] for i, j in zip(a.tolist(), b.tolist()))
+
+
+def test_bound_parts_no_near_bars():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        x, y = (np.exp(rnd.normal(0, 0.3, 24) + rnd.normal(0, 0.1, (9, 24))) for _ in "xy")
+        for v in (x, y):
+            v[rnd.random(v.shape) < 0.2] = np.nan
+        x, y = profile(x), profile(y)
+        assert np.allclose(between(x, y), distances(np.vstack([x, y]))[:9, 9:], atol=1e-6)
+        for rx, cx, r, k in balls(x, 0.3):
+            for ry, cy, s, m in balls(y, 0.3):
+                near = between(x[rx], y[ry]).min() <= TOLERANCE
+                assert not near or may_meet((cx - cy)[None], np.array([k + m]), np.array([r + s]), TOLERANCE)[0]
+
+
 def test_description(spark):
     rows, truth = made(sizes=(10, 4), lonely=2)
     df = bars(spark, rows)
