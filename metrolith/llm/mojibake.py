@@ -6,12 +6,14 @@ Two kinds of evidence are used.
   sequences of all characters of the supported scripts under all pairs of encodings are
   computed once a process and matched with an automaton; runs of them are replaced, nothing else.
 * Single-byte encodings read as one another turn letters into other letters. Words are counted
-  over the whole corpus; a word is garbled when one pair of encodings turns it into a word that
-  is many times as frequent. This is a join of distinct words, so it needs no word list.
+  over the distinct texts of the corpus; a word is garbled when one pair of encodings turns it into a word that
+  is many times as frequent, or into a word known outside the source that has it most whose pairs of letters
+  are many times as common there. This is a join of distinct words, so it needs no word list.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -39,7 +41,7 @@ SINGLE_BYTE = tuple(
     )
     for w in ws
 )
-#: A word is garbled when its restored form is at least so many times as frequent, and occurs in so many texts.
+#: A word is garbled when its restored form is at least so many times as frequent (or its letters are), and occurs in so many texts.
 RATIO, LEAST = 5, 3
 
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
@@ -294,35 +296,69 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fixed, evident = repair_sequences(t)
             hit.append(evident or inside_evidence(t))
             words.append(words_of(fixed))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hit, pa.bool_()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "hit", "words"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "source")), pa.array(hit, pa.bool_()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "text_key", "source", "hit", "words"])
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        w, n, f = [], [], []
-        for word, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
+        at, own, f = [], [], []
+        for i, word in enumerate(b.column("word").to_pylist()):
             for x in restored_forms(word):
-                w.append(word)
-                n.append(k)
+                at.append(i)
+                own.append(bare(word))
                 f.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(f, pa.string())], names=["word", "n", "fixed"])
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("word", "n", "docs", "top")), pa.array(own, pa.string()), pa.array(f, pa.string())], names=["word", "n", "docs", "top", "own", "fixed"])
 
 
 def _bare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([bare(w) for w in b.column("word").to_pylist()], pa.string()), b.column("n")], names=["fixed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([bare(w) for w in b.column("word").to_pylist()], pa.string()), *(b.column(c) for c in ("source", "n", "docs"))], names=["fixed", "source", "n", "docs"])
+
+
+def _letter_pairs(word: str):
+    """Pairs of neighbouring letters of a column of words, both ends marked; case does not count."""
+    w = F.concat(F.lit("^"), F.lower(word), F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
 
 
 def garbled_words(scanned: DataFrame) -> DataFrame:
-    """word, fixed of the distinct words that one pair of encodings turns into a far more frequent one."""
-    counts = scanned.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    common = counts.mapInArrow(_bare_words, "fixed string, n long").groupBy("fixed").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST)
-    forms = counts.mapInArrow(_forms, "word string, n long, fixed string")
-    return forms.join(common, "fixed").where(F.col("m") >= RATIO * F.col("n")).groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
+    """word, fixed of the distinct words that one pair of encodings turns into a far more frequent one, or a far likelier one.
+
+    Copies of a text count once. Where the garbled form is not rare, because a whole source or many texts have it,
+    the restored form must occur in ``LEAST`` texts outside the source that has the garbled one most, and the pairs of
+    letters in which the two differ must, in geometric mean, be in ``RATIO`` times as many distinct words found outside that source.
+    """
+    once = scanned.where(F.size("words") > 0).groupBy("text_key").agg(F.min("source").alias("source"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    by_source = once.select("source", "copies", F.explode("words").alias("word")).groupBy("word", "source").agg(F.count("*").alias("n"), F.sum("copies").alias("docs"))
+    # A text without a source belongs to none that could be left out.
+    counts = by_source.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("source", F.struct("n", "source")).alias("top"))
+    known = by_source.mapInArrow(_bare_words, "fixed string, source string, n long, docs long").groupBy("fixed", "source").agg(F.sum("n").alias("m"), F.sum("docs").alias("m_docs"))
+    common = known.groupBy("fixed").agg(F.sum("m").alias("m"), F.sum("m_docs").alias("m_docs")).where(F.col("m_docs") >= LEAST)
+    forms = counts.mapInArrow(_forms, "word string, n long, docs long, top string, own string, fixed string").join(common, "fixed")
+    # Documents tell where texts are too few to, but copies of the restored form must not outweigh more texts with the other.
+    rare = ((F.col("m") >= LEAST) & (F.col("m") >= RATIO * F.col("n"))) | ((F.col("m_docs") >= RATIO * F.col("docs")) & (F.col("m") >= F.col("n")))
+    frequent = forms.where(rare).select("word", "fixed", "m")
+    left_out = known.select("fixed", F.col("source").alias("top"), F.col("m").alias("inside"))
+    rest = forms.where(~rare & (F.length("fixed") >= 3) & (F.length("fixed") == F.length("own"))).join(left_out, ["fixed", "top"], "left").where(F.col("m") - F.coalesce("inside", F.lit(0)) >= LEAST)
+    # Distinct words with a pair of letters, and those of them that only one source has.
+    words = known.groupBy("fixed").agg(F.when(F.count("*") == 1, F.first("source")).alias("only"))
+    pairs = words.select(F.explode(F.array_distinct(_letter_pairs("fixed"))).alias("pair"), "only").groupBy("pair", "only").agg(F.count("*").alias("k"))
+    total = pairs.groupBy("pair").agg(F.sum("k").alias("k"))
+    alone = pairs.where("only is not null").select("pair", F.col("only").alias("top"), F.col("k").alias("inside"))
+    new, old = _letter_pairs("fixed"), _letter_pairs("own")
+    sides = F.flatten(F.array(F.transform(F.array_except(new, old), lambda x: F.struct(x.alias("pair"), F.lit(1).alias("side"))), F.transform(F.array_except(old, new), lambda x: F.struct(x.alias("pair"), F.lit(-1).alias("side")))))
+    told = rest.select("word", "fixed", "m", "top", F.explode(sides).alias("x")).select("word", "fixed", "m", "top", "x.*").join(total, "pair", "left").join(alone, ["pair", "top"], "left")
+    weight = F.log(F.coalesce("k", F.lit(0)) - F.coalesce("inside", F.lit(0)) + 0.5)
+    mean = lambda side: F.avg(F.when(F.col("side") == side, weight))
+    likelier = told.groupBy("word", "fixed", "m").agg((mean(1) - mean(-1)).alias("gain")).where(F.col("gain") >= float(math.log(RATIO))).select("word", "fixed", "m")
+    return frequent.unionByName(likelier).groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
 
 
 def _scanned(docs: DataFrame, ws: Workspace) -> DataFrame:
-    return ws.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, "doc_id long, hit boolean, words array<string>"))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
+    return ws.keep(read.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scan, "doc_id long, text_key long, source string, hit boolean, words array<string>"))
 
 
 def garbled_documents(docs: DataFrame, ws: Workspace) -> DataFrame:

@@ -63,5 +63,18 @@ def test_words_by_frequency(spark):
     assert fixed[24] == "přišla domù" and fixed[25].endswith("модель голос") and fixed[30] == "café x" and fixed[31] == "přišla\u00a0domù, «přišla» ok"
 
 
+def test_copies_and_garbled_sources(spark):
+    clean = ["Zvláštní přízvuk přišla", "přišla řada přímo", "příběh při řece přišla došla vyšší", "přišel přišli číšník přišla šli tišší přinesl"]
+    rows = [(i, clean[i % 4] + f" {i}", "ab"[i % 2]) for i in range(30)]
+    copies = [(100 + i, "pøi¹la domù", "b") for i in range(40)]  # one garbled text, copied
+    whole = [(200 + i, f"pøi¹la {i}", "c") for i in range(40)]  # a source garbled throughout
+    foreign = [(300 + i, f"père très, ère {i}", "d") for i in range(40)]
+    for bad in (copies, whole):
+        df = spark.createDataFrame(rows + bad + foreign, "doc_id long, text string, source string")
+        assert {r.doc_id for r in garbled_documents(df, Workspace(spark, "t")).collect()} == {r[0] for r in bad}
+        fixed = {r.doc_id: r.restored for r in restored_documents(df, Workspace(spark, "t")).collect()}
+        assert set(fixed) == {r[0] for r in bad} and all(v.startswith("přišla") for v in fixed.values())
+
+
 def test_empty(spark):
     assert garbled_documents(docs(spark, ["x"]).limit(0), Workspace(spark, "t")).count() == 0
