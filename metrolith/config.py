@@ -45,6 +45,7 @@ class Params:
     cluster_type: str = "meter"  # meter, rhythm, none or kmeans
     dist_cluster: str = "data"  # or "equal"
     n_clusters: int = 1
+    pattern_scope: str = "bar"  # or "song": k-means over the means of a file's bars
     validation: str = "holdout"  # cross_validation or leave_one_out
     max_shift: int = 1
     update_interval: int = 200
@@ -55,9 +56,12 @@ class Params:
     def __post_init__(self):
         for name, allowed in (
             ("inference_method", ("HMM_viterbi", "HMM_forward", "PF")), ("pattern_size", ("bar", "beat")), ("transition_model_type", ("2015", "2006")), ("observation_model", ("MOG", "RNN")),
-            ("cluster_type", ("meter", "rhythm", "none", "kmeans")), ("dist_cluster", ("data", "equal")), ("validation", ("holdout", "cross_validation", "leave_one_out")), ("resampling_scheme", (0, 1, 2, 3)),
+            ("cluster_type", ("meter", "rhythm", "none", "kmeans")), ("dist_cluster", ("data", "equal")), ("pattern_scope", ("bar", "song")), ("validation", ("holdout", "cross_validation", "leave_one_out")), ("resampling_scheme", (0, 1, 2, 3)),
         ):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
+        for name, only in (("max_shift", 1), ("update_interval", 200), ("obs_lik_floor", 1e-7)):
+            if getattr(self, name) != only:
+                raise ValueError(f"{name} is not implemented; it can only be {only}")
         if not 0 < self.min_tempo <= self.max_tempo or self.frame_length <= 0:
             raise ValueError("tempi and frame length must be positive, and the tempi in order")

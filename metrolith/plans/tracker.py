@@ -34,8 +34,34 @@ def _fixed(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def bar_labels(cells: DataFrame, items: DataFrame, grid: DataFrame, p: Params, dataset: str = "set") -> DataFrame:
+    """Bars (file_id, beat_idx, meter, num, den, and rhythm where bars go by it) with pattern and name, by ``cluster_type``.
+
+    k-means takes the means of a bar's cells (or of a song's bars), missing ones filled, each feature over its deviation.
+    """
+    if p.cluster_type == "rhythm":
+        if "rhythm" not in items.columns:
+            raise ValueError("patterns by rhythm need a rhythm beside each file's meter")
+        if not items.groupBy("rhythm").agg(F.count_distinct("num", "den").alias("n")).where("n > 1").isEmpty():
+            raise ValueError("each rhythm must have one meter")
+    if p.cluster_type != "kmeans":
+        return pt.label_clusters(items, p.cluster_type, dataset)
+    means = br.impute_cells(br.cell_means(cells.where("value is not null and not isnan(value)")), grid)
+    key = ["file_id", "beat_idx"] if p.pattern_scope == "bar" else ["file_id"]
+    z = br.zscore_cells(means if p.pattern_scope == "bar" else br.song_average(means)).withColumn("at", F.concat_ws("_", F.lit("x"), "dim", "cell"))
+    # The starting centres are spread over the first cell, so the one that varies most comes first.
+    dims = [r["at"] for r in z.groupBy("at").agg(F.round(F.coalesce(F.var_pop("value"), F.lit(0.0)), 9).alias("v")).orderBy(F.desc("v"), "at").collect()]
+    points = z.groupBy(*key).pivot("at", dims).agg(F.first("value")).join(items.select(*key, "num", "den").distinct(), key)
+    found = pt.kmeans_per_meter(points, dims, p.n_clusters, p.dist_cluster, dataset=dataset).select(*key, F.col("pattern").alias("_p"), "name")
+    # Patterns without items would leave gaps in the numbers.
+    used = [r["_p"] for r in found.select("_p").distinct().orderBy("_p").collect()]
+    found = found.withColumn("pattern", F.array_position(F.array(*[F.lit(u) for u in used]), F.col("_p")).cast("int")).drop("_p") if used else found.withColumnRenamed("_p", "pattern")
+    return items.join(found, key) if p.pattern_scope == "bar" else pt.song_clusters_to_bars(items, found).join(found.select("pattern", "name").distinct(), "pattern")
+
+
 def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dataset: str = "set", silent: DataFrame | None = None) -> Tables:
-    """A model with a pattern per meter from frames (file_id, frame, dim, value), dense beats and meters (file_id, num, den).
+    """A model from frames (file_id, frame, dim, value), dense beats and meters (file_id, num, den, and rhythm for patterns by
+    rhythm), with a pattern per meter, per rhythm, for all bars, or per k-means cluster of the bars of a meter.
 
     ``silent`` has frames of silence (dim, value), from which its mixture is fitted.
     """
@@ -43,7 +69,8 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
     full = br.full_bars(usable)
     grid = meters.select("file_id", br.grid_size(F.col("num"), F.col("den"), p.whole_note_div).alias("cells"))
     cells = br.bar_cells(usable, full, frames, grid, p.frame_length)
-    labelled = pt.label_clusters(full.join(meters, "file_id").select("file_id", "beat_idx", "meter", "num", "den"), "none" if p.cluster_type == "none" else "meter", dataset)
+    items = full.join(meters, "file_id").select("file_id", "beat_idx", "meter", "num", "den", *(c for c in meters.columns if c == "rhythm"))
+    labelled = bar_labels(cells, items, grid, p, dataset)
     ranges = tm.restrict(tm.tempo_range(beats, p.tempo_outlier_percentile), p.min_tempo, p.max_tempo) if p.learn_tempo_ranges else beats.select("file_id").distinct().withColumns({"min_bpm": F.lit(p.min_tempo), "max_bpm": F.lit(p.max_tempo)})
     limits = tm.cluster_tempo(ranges, labelled.select("file_id", F.col("pattern").alias("cluster")))
     shape = labelled.groupBy("pattern").agg(F.first("num").alias("num"), F.first("den").alias("den"), F.max("meter").alias("n_beats"), F.first("name").alias("name"))

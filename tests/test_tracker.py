@@ -41,6 +41,34 @@ def trained(spark, clicks):
     return t
 
 
+@pytest.mark.parametrize("scope", ["bar", "song"])
+def test_training_by_kmeans(clicks, scope):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    frames, beats, meters = clicks
+    turned = frames.withColumn("value", F.when(F.col("file_id") > 2, 1.05 - F.col("value")).otherwise(F.col("value")))
+    t = tracker.train(turned, beats, meters, replace(P, cluster_type="kmeans", n_clusters=4, dist_cluster="equal", pattern_scope=scope))
+    rows = t.patterns.orderBy("pattern").collect()
+    assert [(r.pattern, r.num, r.n_beats, r.name) for r in rows] == [(1, 3, 3, "set-3-4_1"), (2, 3, 3, "set-3-4_2"), (3, 4, 4, "set-4-4_1"), (4, 4, 4, "set-4-4_2")]
+    assert {(r.i, r.j): r.p for r in t.pr.collect()} == {(i, i): 1.0 for i in range(1, 5)}
+    assert t.gmm.select("pattern").distinct().count() == 4
+
+
+def test_training_by_rhythm(spark, clicks):
+    from dataclasses import replace
+
+    rhythms = spark.createDataFrame([(1, 3, 4, "waltz"), (2, 4, 4, "samba"), (3, 3, 4, "minuet"), (4, 4, 4, "samba")], "file_id long, num int, den int, rhythm string")
+    q = replace(P, cluster_type="rhythm")
+    t = tracker.train(clicks[0], clicks[1], rhythms, q)
+    assert [(r.num, r.name) for r in t.patterns.orderBy("pattern").collect()] == [(3, "set-minuet"), (4, "set-samba"), (3, "set-waltz")]
+    with pytest.raises(ValueError):
+        tracker.train(*clicks, q)
+    with pytest.raises(ValueError):
+        replace(P, max_shift=2)
+
+
 def check(beats, truth, share):
     got = {}
     for r in beats.collect():
