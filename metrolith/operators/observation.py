@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import math
+import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolith.session import Workspace
 
 REGULARISATION = 1e-10
+#: Starts of a fit, steps of each at most, and the relative gain of the log likelihood below which it has converged.
+STARTS, STEPS, GAIN = 5, 200, 1e-6
+#: Rows of one mixture read at a time, and from which on they are held in a file.
+CHUNK = 1 << 18
 
 
 def gaussian(x: Column, mu: Column, var: Column) -> Column:
@@ -87,6 +95,129 @@ def mixture_likelihood(frames: DataFrame, gmm: DataFrame) -> DataFrame:
     return per_dim.groupBy("file_id", "frame", "pattern", "cell").agg(F.product("d").alias("lik"))
 
 
+def feature_vectors(frames: DataFrame, dims: list[int]) -> DataFrame:
+    """file_id, frame, x: the values of the features in order; null where one is missing or NaN."""
+    one = lambda d: F.max(F.when((F.col("dim") == d) & ~F.isnan("value"), F.col("value").cast("double")))
+    v = frames.groupBy("file_id", "frame").agg(*[one(d).alias(f"_{d}") for d in dims])
+    whole = F.lit(True)
+    for d in dims:
+        whole = whole & F.col(f"_{d}").isNotNull()
+    return v.select("file_id", "frame", F.when(whole, F.array(*[F.col(f"_{d}") for d in dims])).alias("x"))
+
+
+def _log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    out = np.full((len(x), len(weight)), -np.inf)
+    for k in np.flatnonzero(weight > 0):
+        root = np.linalg.cholesky(cov[k])
+        e = np.linalg.solve(root, (x - mean[k]).T)
+        out[:, k] = math.log(weight[k]) - 0.5 * (e * e).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * math.log(2 * math.pi)
+    return out
+
+
+def fit_vectors(x: np.ndarray, seed: int = 1, starts: int = STARTS, steps: int = STEPS, floor: float = REGULARISATION) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, means, full covariances and log likelihood of the best two-component mixture of the rows of x (EM to convergence).
+
+    The first start lies a deviation to both sides of the mean, the others at two rows drawn; all with the deviations of the features.
+    """
+    n, d = x.shape
+    parts = range(0, n, CHUNK)
+    mid = sum(x[i : i + CHUNK].sum(0) for i in parts) / n
+    var = sum(((x[i : i + CHUNK] - mid) ** 2).sum(0) for i in parts) / n
+    rng, best = np.random.default_rng(seed), None
+    for start in range(starts):
+        mean = np.stack([mid - np.sqrt(var), mid + np.sqrt(var)]) if start == 0 else np.array(x[np.sort(rng.choice(n, 2, replace=n < 2))])
+        weight, cov, before = np.full(2, 0.5), np.stack([np.diag(var + floor)] * 2), -np.inf
+        for _ in range(steps):
+            total, s0, s1, s2 = 0.0, np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
+            for i in parts:
+                y = x[i : i + CHUNK]
+                p = _log_densities(y, weight, mean, cov)
+                top = p.max(1, keepdims=True)
+                r = np.exp(p - top)
+                both = r.sum(1, keepdims=True)
+                total += float((top + np.log(both)).sum())
+                r /= both
+                y = y - mid
+                s0, s1, s2 = s0 + r.sum(0), s1 + r.T @ y, s2 + np.einsum("nk,ni,nj->kij", r, y, y)
+            if best is None or total > best[3]:
+                best = (weight, mean, cov, total)
+            if total - before < GAIN * abs(total):
+                break
+            before, weight, mean, cov = total, s0 / n, mean.copy(), cov.copy()
+            for k in np.flatnonzero(s0 > 1e-12):
+                m = s1[k] / s0[k]
+                c = s2[k] / s0[k] - np.outer(m, m)
+                low, axes = np.linalg.eigh((c + c.T) / 2)  # rounding may leave a variance below zero
+                mean[k], cov[k] = m + mid, (axes * np.maximum(low, 1e-12 * max(low[-1], 0.0))) @ axes.T + floor * np.eye(d)
+            weight = np.where(s0 > 1e-12, weight, 0.0)
+    return best
+
+
+def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> DataFrame:
+    """key, comp (1, 2), weight, mean (array), cov (array, row by row), dims: two-component mixtures of the vectors x of each key.
+
+    The rows of a key reach one task in order; above a limit they are held in a file, so a key may be of any size. Null vectors are left out.
+    """
+    d = len(dims)
+    fields = [f for f in vectors.select(*key).schema.fields]
+    names = [f"k{i}" for i in range(len(key))]
+    out = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)) + ", comp int, weight double, mean array<double>, cov array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, file, count = None, [], None, 0
+
+        def emit(types):
+            x = np.concatenate(held) if file is None else np.memmap(file, np.float64, "r", shape=(count, d))
+            w, m, c, _ = fit_vectors(x)
+            return pa.RecordBatch.from_arrays([*(pa.array([v] * 2, t) for v, t in zip(now, types)), pa.array([1, 2], pa.int32()), pa.array(w), pa.array(m.tolist(), pa.list_(pa.float64())), pa.array(c.reshape(2, -1).tolist(), pa.list_(pa.float64()))], names=[*names, "comp", "weight", "mean", "cov"])
+
+        types = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.column(n).type for n in names]
+            keys = list(zip(*(b.column(n).to_pylist() for n in names)))
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if now is not None and keys[lo] != now:
+                    yield emit(types)
+                    held, file, count = [], None, 0
+                now = keys[lo]
+                count += hi - lo
+                held.append(np.array(x[lo:hi]))
+                if file is not None or count > CHUNK:
+                    file = file or tempfile.TemporaryFile()
+                    for part in held:
+                        file.write(part.tobytes())
+                    file.flush()
+                    held = []
+        if now is not None:
+            yield emit(types)
+
+    rows = vectors.where("x is not null").select(*[F.col(k).alias(n) for k, n in zip(key, names)], "x")
+    fitted = rows.repartition(*names).sortWithinPartitions(*names, "x").mapInArrow(run, out)
+    named = fitted.select(*[F.col(n).alias(k) for k, n in zip(key, names)], "comp", "weight", "mean", "cov", F.array(*[F.lit(int(v)) for v in dims]).alias("dims"))
+    return vectors.sparkSession.createDataFrame(named.collect(), named.schema)
+
+
+def joint_likelihood(frames: DataFrame, gmm: DataFrame) -> DataFrame:
+    """file_id, frame, pattern, cell, lik of (file_id, frame, dim, value) under the mixtures of ``fit_joint_mixtures``; 0 where a feature is missing or NaN."""
+    rows, dims = [], None
+    for r in gmm.collect():
+        dims, d = r.dims, len(r.dims)
+        if r.weight > 0:
+            cov = np.array(r.cov).reshape(d, d)
+            scale = math.log(r.weight) - 0.5 * (d * math.log(2 * math.pi) + float(np.linalg.slogdet(cov)[1]))
+            rows.append((r.pattern, r.cell, r.mean, np.linalg.inv(cov).ravel().tolist(), scale))
+    table = frames.sparkSession.createDataFrame(rows, "pattern int, cell int, mean array<double>, inv array<double>, scale double")
+    d = len(dims or [])
+    e = [F.col("x")[i] - F.col("mean")[i] for i in range(d)]
+    form = sum((e[i] * F.col("inv")[i * d + j] * e[j] for i in range(d) for j in range(d)), F.lit(0.0))
+    lik = F.coalesce(F.exp(F.col("scale") - 0.5 * form), F.lit(0.0))
+    return feature_vectors(frames, list(dims or [])).crossJoin(F.broadcast(table)).groupBy("file_id", "frame", "pattern", "cell").agg(F.sum(lik).alias("lik"))
+
+
 def activation_likelihood(frames: DataFrame, cells: DataFrame) -> DataFrame:
     """file_id, frame, pattern, cell, lik of activations x in 0 to 1: x for a pattern's first cell, the rest shared by its others (pattern, cells)."""
     grid = cells.select("pattern", "cells", F.explode(F.sequence(F.lit(1), F.col("cells"))).alias("cell"))

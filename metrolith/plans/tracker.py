@@ -21,7 +21,7 @@ from metrolith.plans import transitions as tr
 
 @dataclass
 class Tables:
-    """A trained model: patterns (with tempo limits), pattern transitions (i, j, p), mixtures (null for activations) and those of silence (dim, comp, weight, mean, var)."""
+    """A trained model: patterns (with tempo limits), pattern transitions (i, j, p), mixtures of feature vectors (pattern, cell, comp, weight, mean, cov, dims; null for activations) and that of silence (the same without pattern and cell)."""
 
     patterns: DataFrame
     pr: DataFrame
@@ -59,11 +59,15 @@ def bar_labels(cells: DataFrame, items: DataFrame, grid: DataFrame, p: Params, d
     return items.join(found, key) if p.pattern_scope == "bar" else pt.song_clusters_to_bars(items, found).join(found.select("pattern", "name").distinct(), "pattern")
 
 
+def feature_dims(frames: DataFrame) -> list[int]:
+    return sorted(r["dim"] for r in frames.where("dim is not null").select("dim").distinct().collect())
+
+
 def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dataset: str = "set", silent: DataFrame | None = None) -> Tables:
     """A model from frames (file_id, frame, dim, value), dense beats and meters (file_id, num, den, and rhythm for patterns by
     rhythm), with a pattern per meter, per rhythm, for all bars, or per k-means cluster of the bars of a meter.
 
-    ``silent`` has frames of silence (dim, value), from which its mixture is fitted.
+    ``silent`` has frames of silence (dim, value; file_id and frame as well if there are several features), from which its mixture is fitted.
     """
     usable = br.beats_within(beats, frames, p.frame_length).join(br.files_with_bars(beats), "file_id", "left_semi")
     full = br.full_bars(usable)
@@ -78,9 +82,22 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
     if p.same_tempo_per_meter:
         patterns = tm.same_per_meter(patterns)
     pr = pt.complete_matrix(pt.transition_matrix(labelled, ("beat_idx",)), pt.pattern_prior(labelled))
-    values = cells.join(labelled.select("file_id", "beat_idx", "pattern"), ["file_id", "beat_idx"]).select("pattern", "cell", "dim", F.col("value").alias("x"))
-    gmm = ob.fit_mixtures(values, ["pattern", "cell", "dim"]) if p.observation_model == "MOG" else None
-    quiet = ob.fit_mixtures(silent.select("dim", F.col("value").alias("x")), ["dim"]) if silent is not None else None
+    gmm = quiet = None
+    if p.observation_model == "MOG":
+        dims = feature_dims(frames)
+        # Vectors take the way of values through the cells.
+        vectors = ob.feature_vectors(frames, dims).select("file_id", "frame", F.lit(0).alias("dim"), F.col("x").alias("value"))
+        placed = br.bar_cells(usable, full, vectors, grid, p.frame_length).join(labelled.select("file_id", "beat_idx", "pattern"), ["file_id", "beat_idx"])
+        gmm = ob.fit_joint_mixtures(placed.select(F.col("pattern").cast("int").alias("pattern"), "cell", F.col("value").alias("x")), ["pattern", "cell"], dims)
+    if silent is not None:
+        dims = feature_dims(silent)
+        if "frame" in silent.columns:
+            x = ob.feature_vectors(silent if "file_id" in silent.columns else silent.withColumn("file_id", F.lit(0)), dims)
+        elif len(dims) == 1:
+            x = silent.where("value is not null and not isnan(value)").select(F.array(F.col("value").cast("double")).alias("x"))
+        else:
+            raise ValueError("silence of several features needs file_id and frame")
+        quiet = ob.fit_joint_mixtures(x.select(F.lit(1).alias("all"), "x"), ["all"], dims).drop("all")
     return Tables(_fixed(patterns), _fixed(pr), gmm, quiet)
 
 
@@ -103,7 +120,7 @@ def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, int]:
             if t.silence is None:
                 raise ValueError("a silence state needs frames of silence in training")
             gmm = gmm.unionByName(t.silence.withColumns({"pattern": F.lit(count + 1), "cell": F.lit(1)}).select(gmm.columns))
-        lik = ob.mixture_likelihood(frames, gmm)
+        lik = ob.joint_likelihood(frames, gmm)
     return likelihood_arrays(lik, count, most, int(p.use_silence_state)), most
 
 
@@ -154,8 +171,11 @@ def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1) -> Tables:
     for _ in range(rounds):
         _, path = decode(frames, t, p)
         cell = (F.floor((F.col("position") - 1) * p.whole_note_div + 1e-9) + 1).cast("int")
-        placed = path.select("file_id", "frame", "pattern", cell.alias("cell")).join(frames, ["file_id", "frame"])
-        gmm = ob.fit_mixtures(placed.select("pattern", "cell", "dim", F.col("value").alias("x")), ["pattern", "cell", "dim"]) if t.gmm is not None else None
+        gmm = t.gmm
+        if gmm is not None:
+            dims = list(gmm.first()["dims"])
+            placed = path.select("file_id", "frame", F.col("pattern").cast("int").alias("pattern"), cell.alias("cell")).join(ob.feature_vectors(frames, dims), ["file_id", "frame"])
+            gmm = ob.fit_joint_mixtures(placed.select("pattern", "cell", "x"), ["pattern", "cell"], dims)
         runs = rs.segments(path).select("file_id", F.col("seg").alias("bar_no"), "pattern")
         pr = _fixed(pt.complete_matrix(pt.transition_matrix(runs), pt.pattern_prior(runs))) if t.patterns.count() > 1 else t.pr
         t = Tables(t.patterns, pr, gmm, t.silence)
