@@ -27,6 +27,8 @@ NOBODY = {
 }
 #: A data set with fewer files than this share is not kept in proportion by itself, so labels are at most twice as many.
 LEAST_SHARE = 1 / 512
+#: Labels of meters begin so; they count however rare they are.
+METER = "meter="
 #: The label of bars, and the mark of components that have some; the label that all files carry.
 BARS, FILES = "bars", "files"
 PROPORTIONS = {"train": 0.80, "val": 0.08, "test": 0.12}
@@ -90,11 +92,11 @@ def related_files(files: DataFrame, bars: DataFrame, ws: Workspace, local_limit:
 
 
 def _labels(files: DataFrame, meters: DataFrame) -> DataFrame:
-    """Labels to keep in proportion: a file's data set, and the meter of its first section. Bars come on top, by number."""
+    """Labels to keep in proportion: a file's data set, and the meters of all its sections, each once. Bars come on top, by number."""
     ds = files.select("file_id", F.concat(F.lit("dataset="), F.coalesce(F.lower(F.trim(F.col("dataset").cast("string"))), F.lit("?"))).alias("label"))
-    first = meters.where("file_id is not null and num between 1 and 32").groupBy("file_id").agg(F.min_by("num", F.coalesce(F.col("section_no"), F.lit(1 << 30))).alias("num"))
+    each = meters.where("file_id is not null and num between 1 and 32").select("file_id", "num").distinct()
     every = files.select("file_id", F.lit(FILES).alias("label"))
-    return ds.unionByName(every).unionByName(first.join(files.select("file_id"), "file_id", "left_semi").select("file_id", F.concat(F.lit("meter="), F.col("num").cast("string")).alias("label")))
+    return ds.unionByName(every).unionByName(each.join(files.select("file_id"), "file_id", "left_semi").select("file_id", F.concat(F.lit(METER), F.col("num").cast("string")).alias("label")))
 
 
 def _fractions(totals: dict[str, int], big: dict, together: dict[tuple[str, str], int], proportions: dict[str, float]) -> tuple[dict, dict[str, list[float]]]:
@@ -152,7 +154,7 @@ def assign_splits(files: DataFrame, bars: DataFrame, meters: DataFrame, ws: Work
     member = ws.keep(listed.join(groups, "file_id", "left").select("file_id", F.coalesce("group_file_id", "file_id").alias("component"), "dataset"))
     total = member.count()
     named = _labels(member, meters)
-    kept = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= total * LEAST_SHARE).select("label")
+    kept = named.groupBy("label").agg(F.count("*").alias("n")).where((F.col("n") >= total * LEAST_SHARE) | F.col("label").startswith(METER)).select("label")
     labelled = named.join(kept, "label", "left_semi").join(member.select("file_id", "component"), "file_id")
     with_bars = bars.where("bar2file is not null").select(F.col("bar2file").cast("long").alias("file_id"), "bar_id").distinct().join(member.select("file_id", "component"), "file_id").groupBy("component").agg(F.lit(BARS).alias("label"), F.count("*").alias("n"))
     vectors = ws.keep(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).unionByName(with_bars))

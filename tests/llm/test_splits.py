@@ -56,6 +56,18 @@ def test_splits(spark):
         assert r.split == split.get(r.bar2file)
 
 
+def test_rare_meters_keep_their_proportions(spark):
+    f = files(spark, [(i, "a", f"solo{i}", None) for i in range(6000)])
+    # Each of these meters has ten files, fewer than 1/512 of all; one of them stands in second sections only.
+    rare = {n: list(range(k * 100, k * 100 + 10)) for k, n in enumerate((5, 7, 10, 13), 1)}
+    rows = [(i, 1, 4, 4) for i in range(0, 6000, 2) if i not in rare[7]] + [(i, 2, 7, 4) for i in rare[7]] + [(i, 1, 4, 4) for i in rare[7]]
+    rows = [r for r in rows if r[0] not in {*rare[5], *rare[10], *rare[13]}] + [(i, 1, n, 8) for n in (5, 10, 13) for i in rare[n]]
+    split = {r.file_id: r.split for r in assign_splits(f, spark.createDataFrame([], BARS), spark.createDataFrame(rows, METERS), Workspace(spark, "t")).collect()}
+    for n, ids in rare.items():
+        got = [sum(split[i] == s for i in ids) for s in ("train", "val", "test")]
+        assert got == [8, 1, 1], (n, got)
+
+
 def test_empty(spark):
     f, b, m = files(spark, []), spark.createDataFrame([], BARS), spark.createDataFrame([], METERS)
     assert related_files(f, b, Workspace(spark, "t")).count() == 0
