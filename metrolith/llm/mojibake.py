@@ -244,8 +244,8 @@ def inside_evidence(text: str) -> bool:
 
 
 def words_of(text: str) -> list[str]:
-    """Distinct words with a character beyond ASCII, none of Japanese or over 40 letters."""
-    return sorted({w for w in _WORD.findall(text) if not w.isascii() and len(w) <= 40 and not _JAPANESE.search(w)})
+    """Distinct words with a character beyond ASCII, none of Japanese."""
+    return sorted({w for w in _WORD.findall(text) if not w.isascii() and not _JAPANESE.search(w)})
 
 
 def bare(word: str) -> str:

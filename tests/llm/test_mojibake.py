@@ -1,6 +1,6 @@
 import pytest
 
-from metrolith.llm.mojibake import garbled_documents, inside_evidence, repair_sequences, restored_documents, restored_forms
+from metrolith.llm.mojibake import garbled_documents, inside_evidence, repair_sequences, restored_documents, restored_forms, words_of
 from metrolith.session import Workspace
 
 CLEAN = [
@@ -49,6 +49,10 @@ def test_restored_forms():
     assert "přišla" in restored_forms("pøi¹la") and "голос" in restored_forms("ЦНКНЯ") and "się" in restored_forms("siê") and restored_forms("né") == []
 
 
+def test_long_words_count():
+    assert words_of("ok " + "nejneobhospodařovávatelnějšími" * 2) == ["nejneobhospodařovávatelnějšími" * 2]
+
+
 def docs(spark, texts):
     return spark.createDataFrame([(i, t, "en", True, ["w"]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, hit boolean, words array<string>")
 
