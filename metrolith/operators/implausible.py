@@ -1,11 +1,12 @@
 """Implausible beat times, beat numbers and meters, against what is normal for their file.
 
 Beat times are forecast by a Kalman filter over (time, period), once forwards and once
-backwards over each file; an innovation beyond a quarter of the local period is withheld from
-the state. A beat is stray when both filters withhold it (or the only one that has a forecast
-does): after a pause or a lasting change of tempo only the filter coming from the other side is
-surprised. A vanishing innovation variance (the same time again and again) shows as a run of
-withheld beats of no advance and is reported as stuck.
+backwards over each file. An innovation is standardised by its forecast deviation; one above the
+threshold, and in fact more than a quarter of the period off, is withheld from the state. A beat
+is stray when both filters withhold it (or the only one that has a forecast does): after a pause
+or a lasting change of tempo only the filter coming from the other side is surprised. Beside it
+runs the filter of a level that does not move; where the variance of its innovations since the
+last advance vanishes against the period's, the beats are stuck.
 
 Files are cut into chunks of beat indices with an overlap on either side that the filters need
 to settle, so that one file may hold any share of the rows.
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Share of the local period beyond which a beat is off its place.
-OFF_PLACE = 0.25
+#: Standardised innovation above which a beat is surprising, and the share of the local period beyond which it is off its place.
+SURPRISE, OFF_PLACE = 4.0, 0.25
 #: Share of the period within which two withheld beats agree with each other.
 AGREE = 0.15
-#: An advance under this share of the period is no advance.
+#: The level's innovations have vanished when their deviation is under this share of the period.
 STUCK = 0.1
 CHUNK, OVERLAP = 4096, 64
 
@@ -59,10 +60,11 @@ def _periods(t: np.ndarray, idx: np.ndarray, n_first: int = 9) -> np.ndarray:
 def _filter(t: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kalman filters in lockstep, a series a row (times ascend with idx; NaN: no time).
 
-    Returns whether each beat was withheld, whether it had a forecast, and the period then.
+    Returns whether each beat was withheld, whether it had a forecast, and whether the level stood still.
     """
     g, n = t.shape
-    out, has, per = np.zeros((g, n), bool), np.zeros((g, n), bool), np.full((g, n), np.nan)
+    out, has, still = (np.zeros((g, n), bool) for _ in range(3))
+    level, var, run = np.full(g, np.nan), np.zeros(g), np.zeros(g)
     p = _periods(t, idx)
     x, k = np.full(g, np.nan), np.zeros(g)
     pxx, pxp, ppp = np.zeros(g), np.zeros(g), np.zeros(g)
@@ -79,7 +81,13 @@ def _filter(t: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         live = np.isfinite(z) & np.isfinite(p)
         fresh = live & ~np.isfinite(x)
         settle(fresh, z, ki, p)
-        per[:, j] = p
+        # Innovations of the level since it last moved, and their variance.
+        u2 = (z - level) ** 2
+        longer = np.where(np.isfinite(u2), (var * run + u2) / (run + 1), var)
+        stays = np.isfinite(u2) & (longer <= (STUCK * p) ** 2)
+        still[:, j] = stays
+        var, run = np.where(np.isfinite(z), np.where(stays, longer, 0.0), var), np.where(np.isfinite(z), np.where(stays, run + 1, 0.0), run)
+        level = np.where(np.isfinite(z), z, level)
         m = live & ~fresh
         if not m.any():
             continue
@@ -91,7 +99,7 @@ def _filter(t: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             axp = pxp + steps * ppp
             app = ppp + _QP * pp * steps
             s = axx + _R * pp
-            off = m & (np.abs(v) > OFF_PLACE * p)
+            off = m & (np.abs(v) > SURPRISE * np.sqrt(s)) & (np.abs(v) > OFF_PLACE * p)
             good = m & ~off
             gx, gp = axx / s, axp / s
             has[m, j] = True
@@ -113,7 +121,7 @@ def _filter(t: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             h2t[held], h2k[held] = h1t[held], h1k[held]
             h1t[held], h1k[held] = z[held], ki[held]
             settle(back, z, ki, np.where(tempo, (d1 + d12) / 2, p))
-    return out, has, per
+    return out, has, still
 
 
 def stray_beats(group: np.ndarray, idx: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +150,12 @@ def stray_beats(group: np.ndarray, idx: np.ndarray, t: np.ndarray) -> tuple[np.n
         cell = np.where(inside, cell, 0)
         tt = np.where(inside, t[cell], np.nan)
         ii = idx[cell].astype(float)
-        fwd, has_f, per = _filter(tt, ii)
+        fwd, has_f, still = _filter(tt, ii)
         bwd, has_b, _ = _filter(-tt[:, ::-1], -ii[:, ::-1])
         bwd, has_b = bwd[:, ::-1], has_b[:, ::-1]
         bad = (fwd | ~has_f) & (bwd | ~has_b) & (fwd | bwd)
-        before = np.full(len(rows), np.nan)
-        still = np.zeros_like(bad)
-        for j in range(width):
-            still[:, j] = bad[:, j] & (np.abs(tt[:, j] - before) <= STUCK * per[:, j])
-            before = np.where(np.isfinite(tt[:, j]), tt[:, j], before)
         stray[cell[inside]] = bad[inside]
-        stuck[cell[inside]] = still[inside]
+        stuck[cell[inside]] = (bad & still)[inside]
         lo = hi
     return stray, stuck
 

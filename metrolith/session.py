@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,14 +45,17 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, n)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
     sc.addPyFile(out)
+    atexit.register(shutil.rmtree, os.path.dirname(out), True)
     _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and this machine is all there is (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _fallback
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="metrolith-")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from metrolith.operators.implausible import implausible, implausible_meters, implausible_numbers, implausible_times, stray_beats
+from metrolith.operators.implausible import _filter, implausible, implausible_meters, implausible_numbers, implausible_times, stray_beats
 
 BEATS = "file_id long, beat_idx int, t double, bar int, beat_no int, reason string, chunk string"
 
@@ -54,6 +54,24 @@ def test_stray_beside_a_pause():
     assert times(t) == [11]
 
 
+def test_surprise_is_measured_by_the_forecast_deviation():
+    # After ten missing beats 0.3 of a period is within what the forecast allows; after none it is not.
+    t = steady(noise=0.002)
+    gap = t[:10] + t[20:]
+    gap[10] += 0.3 * 0.5
+    fwd = _filter(np.array([gap[:11]]), np.array([[*range(1, 11), 21]], float))[0][0]
+    assert not fwd.any()
+    near = t[:11]
+    near[10] += 0.3 * 0.5
+    assert _filter(np.array([near]), np.arange(1.0, 12.0)[None])[0][0].tolist() == [False] * 10 + [True]
+
+
+def test_vanishing_variance_of_the_level():
+    t = np.array([steady(12, noise=0.0)])
+    t[0, 6:9] = t[0, 5] + [0.01, 0.0, 0.02]
+    assert _filter(t, np.arange(1.0, 13.0)[None])[2][0].tolist() == [6 <= j < 9 for j in range(12)]
+
+
 def test_too_short_for_a_forecast():
     assert times([]) == [] and times([1.0]) == [] and times([1.0, 900.0]) == [] and times([None, None]) == []
 
