@@ -2,19 +2,21 @@
 
 Files are related by performer, session or bar. Related files form components; a component is
 placed as a whole, those with the rarest outstanding label first, into the split that needs
-that label most. Components above a share of all files (so at most ``1 / big_share`` of them)
-are placed one by one; the others are placed a label at a time, as shares of a hashed order,
-for which the driver needs no more than the counts of files by label and rarest label.
+it most. Nothing but counts of rows reaches the driver: components are placed by tasks, in
+buckets, those that are rare or large in fewer buckets and before the others.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.operators.components import LOCAL_EDGES, connected_components
@@ -25,12 +27,10 @@ NOBODY = {
     "", "unknown", "a n", "na", "n a", "none", "null", "nil", "nan", "anon", "anonymous", "various", "various artists", "artists various", "va", "a v", "v a",
     "tbd", "tba", "tbc", "unnamed", "nobody", "n n", "nn", "artist unknown", "unknown artist", "missing", "undefined", "not available", "available not", "diverse", "0", "x", "xx", "xxx",
 }
-#: A data set with fewer files than this share is not kept in proportion by itself, so labels are at most twice as many.
-LEAST_SHARE = 1 / 512
-#: Labels of meters begin so; they count however rare they are.
-METER = "meter="
-#: The label of bars, and the mark of components that have some; the label that all files carry.
-BARS, FILES = "bars", "files"
+#: Labels of meters begin so, and the label of bars.
+METER, BARS = "meter=", "bars"
+#: Components of a bucket on the lowest level, components like it that a component's bucket has room for, buckets to a bucket of the level above.
+BUCKET, FINE, FAN = 32_768, 200, 16
 PROPORTIONS = {"train": 0.80, "val": 0.08, "test": 0.12}
 
 _PARTS = re.compile(r"[\W_]+")
@@ -92,110 +92,124 @@ def related_files(files: DataFrame, bars: DataFrame, ws: Workspace, local_limit:
 
 
 def _labels(files: DataFrame, meters: DataFrame) -> DataFrame:
-    """Labels to keep in proportion: a file's data set, and the meters of all its sections, each once. Bars come on top, by number."""
+    """Labels to keep in proportion: a file's data set (so that files are, too), and the meters of all its sections (1 to 32), each once. Bars come on top, by number."""
     ds = files.select("file_id", F.concat(F.lit("dataset="), F.coalesce(F.lower(F.trim(F.col("dataset").cast("string"))), F.lit("?"))).alias("label"))
     each = meters.where("file_id is not null and num between 1 and 32").select("file_id", "num").distinct()
-    every = files.select("file_id", F.lit(FILES).alias("label"))
-    return ds.unionByName(every).unionByName(each.join(files.select("file_id"), "file_id", "left_semi").select("file_id", F.concat(F.lit(METER), F.col("num").cast("string")).alias("label")))
+    return ds.unionByName(each.join(files.select("file_id"), "file_id", "left_semi").select("file_id", F.concat(F.lit(METER), F.col("num").cast("string")).alias("label")))
 
 
-def _fractions(totals: dict[str, int], big: dict, together: dict[tuple[str, str], int], proportions: dict[str, float]) -> tuple[dict, dict[str, list[float]]]:
-    """Splits of the big components, and the cumulated shares of each rarest label's small ones.
+def stratify(vectors: dict[int, dict[str, int]], shares: dict[str, list[float]], proportions: list[float]) -> dict[int, int]:
+    """Split (by number) of each component of label counts, by grouped iterative stratification.
 
-    Components with bars come first and are placed by the need of bars; the others then make up
-    what their labels still lack.
+    ``shares`` tells for each label what part of its items here each split is to get. Components that hold more of a label
+    than the smallest split is to get come first, then the others, both in the same way: after each placement the label with
+    the fewest outstanding items is chosen anew, and of its components the one with most of them is placed next: into that
+    of the splits with room for it under this label that it overfills least under all its labels, of equals the one whose
+    shares of them are least filled; where none has room, the one that lacks most of the label.
     """
-    names = list(proportions)
-    need = {lab: {s: n * proportions[s] for s in names} for lab, n in totals.items()}
-
-    def rarest(labels):
-        return min(labels, key=lambda lab: (lab != BARS, lab == FILES, totals[lab], lab))
-
-    placed = {}
-    for comp, labels in sorted(big.items(), key=lambda x: (rarest(x[1]) != BARS, totals[rarest(x[1])], rarest(x[1]), -x[1][rarest(x[1])], x[0])):
-        key = rarest(labels)
-        # The split whose share is least filled among those that hold the component; if none does, the one that lacks most.
-        room = [s for s in names if need[key][s] >= labels[key]]
-        open_ = {s: sum(need[lab][s] / (totals[lab] * proportions[s]) for lab in (key, FILES)) for s in names}
-        split = max(room, key=open_.__getitem__) if room else max(names, key=lambda s: (need[key][s], proportions[s]))
-        placed[comp] = split
-        for lab, n in labels.items():
-            need[lab][split] -= n
-    shares = {}
-    bars_open = {s: max(v, 0.0) for s, v in need.get(BARS, {}).items()}
-    for key in sorted({k for k, _ in together}, key=lambda k: (not k.startswith(BARS), totals.get(k, 0), k)):
-        open_ = bars_open if key.startswith(BARS) else {s: max(need[key][s], 0.0) for s in names}
-        total = sum(open_.values())
-        f = {s: open_[s] / total if total > 0 else proportions[s] for s in names}
-        for (k, lab), n in together.items():
-            if k == key:
-                for s in names:
-                    need[lab][s] -= n * f[s]
-        cum, acc = [], 0.0
-        for s in names:
-            acc += f[s]
-            cum.append(acc)
-        shares[key] = cum
-    return placed, shares
-
-
-def assign_splits(files: DataFrame, bars: DataFrame, meters: DataFrame, ws: Workspace, proportions: dict[str, float] | None = None, big_share: float = 1 / 2000, buckets: int = 1024) -> DataFrame:
+    totals: dict[str, int] = {}
+    for x in vectors.values():
+        for k, n in x.items():
+            totals[k] = totals.get(k, 0) + n
+    labels = {k: i for i, k in enumerate(sorted(totals))}
+    total = np.array([totals[k] for k in labels], float)
+    need = total[:, None] * np.array([shares[k] for k in labels], float).reshape(len(labels), -1)
+    fill = 1.0 / (total[:, None] * np.array(proportions))
+    left = total.copy()
+    rows = {c: (np.array([labels[k] for k in x]), np.array(list(x.values()), float)) for c, x in vectors.items()}
+    placed: dict[int, int] = {}
+    # What holds more of a label than the smallest split is to get can only fit while the others are open.
+    large = {c for c, (at, n) in rows.items() if (n > min(proportions) * total[at]).any()}
+    for part in (large, rows.keys() - large):
+        carriers: list[list[tuple]] = [[] for _ in labels]
+        for c in part:
+            at, counts = rows[c]
+            for i, n in zip(at.tolist(), counts.tolist()):
+                carriers[i].append((-n, -counts.sum(), c))
+        for of in carriers:
+            of.sort(reverse=True)
+        rarest = [(left[i], i) for i in range(len(left)) if carriers[i]]
+        heapq.heapify(rarest)
+        while rarest:
+            n_left, i = heapq.heappop(rarest)
+            of = carriers[i]
+            while of and of[-1][2] in placed:
+                of.pop()
+            if not of:
+                continue
+            if n_left != left[i]:  # outstanding items have been placed by way of other labels
+                heapq.heappush(rarest, (left[i], i))
+                continue
+            n, _, c = of.pop()
+            at, counts = rows[c]
+            room = need[i] >= -n
+            if room.any():
+                open_, beyond = need[at] * fill[at], np.maximum(counts[:, None] - need[at], 0.0) * fill[at]
+                s = int(np.lexsort((-open_.sum(0), beyond.sum(0), ~room))[0])
+            else:
+                s = int(np.argmax(need[i]))
+            placed[c] = s
+            need[at, s] -= counts
+            left[at] -= counts
+            heapq.heappush(rarest, (left[i], i))
+    return placed
+
+
+def _place(names: list[str], proportions: list[float]):
+    def run(key, t):
+        comps, labels, ns = (t.column(c).to_pylist() for c in ("component", "label", "n"))
+        vectors: dict[int, dict[str, int]] = {}
+        for c, k, n in sorted(zip(comps, labels, ns)):
+            vectors.setdefault(c, {})[k] = n
+        placed = stratify(vectors, dict(zip(labels, t.column("open").to_pylist())), proportions)
+        return pa.table({"component": pa.array(list(placed), pa.int64()), "split": pa.array([names[s] for s in placed.values()], pa.string())})
+
+    return run
+
+
+def assign_splits(files: DataFrame, bars: DataFrame, meters: DataFrame, ws: Workspace, proportions: dict[str, float] | None = None, bucket: int = BUCKET, fine: int = FINE, fan: int = FAN) -> DataFrame:
     """file_id, component, split of every file (each once; null file ids are left out).
 
-    Labels that at least ``LEAST_SHARE`` of the files carry, and meters (32 at most), are counted
-    at the driver. Proportions are met as nearly as whole components allow; a component above
-    them still stays whole.
+    Components are placed bucket by bucket, at ``fan`` times as many buckets a level as on the level above, until one has
+    ``bucket`` components. A component goes to the lowest level on which a bucket has room for at least ``fine`` like it under
+    each of its labels, so what is rare or large is placed first and together, and the splits' needs that it leaves are
+    shared out below. A bucket has at most ``fine * fan`` components a label, or ``bucket``, whatever the size of the data.
+    Proportions are met as nearly as whole components allow; a component above them still stays whole.
     """
     proportions = proportions or PROPORTIONS
-    spark = files.sparkSession
-    names = list(proportions)
+    names, goal = list(proportions), list(proportions.values())
     listed = files.where("file_id is not null").withColumn("file_id", F.col("file_id").cast("long")).dropDuplicates(["file_id"])
     groups = related_files(files, bars, ws)
     member = ws.keep(listed.join(groups, "file_id", "left").select("file_id", F.coalesce("group_file_id", "file_id").alias("component"), "dataset"))
-    total = member.count()
-    named = _labels(member, meters)
-    kept = named.groupBy("label").agg(F.count("*").alias("n")).where((F.col("n") >= total * LEAST_SHARE) | F.col("label").startswith(METER)).select("label")
-    labelled = named.join(kept, "label", "left_semi").join(member.select("file_id", "component"), "file_id")
+    labelled = _labels(member, meters).join(member.select("file_id", "component"), "file_id").groupBy("component", "label").agg(F.count("*").alias("n"))
     with_bars = bars.where("bar2file is not null").select(F.col("bar2file").cast("long").alias("file_id"), "bar_id").distinct().join(member.select("file_id", "component"), "file_id").groupBy("component").agg(F.lit(BARS).alias("label"), F.count("*").alias("n"))
-    vectors = ws.keep(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).unionByName(with_bars))
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    totals = {r.label: r.n for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return member.select("file_id", "component", F.lit(names[0]).alias("split"))
-    big_ids = (
-        sizes.where(F.col("size") > max(1.0, total * big_share)).select("component")
-        .union(vectors.where((F.col("label") == BARS) & (F.col("n") > max(1.0, totals.get(BARS, 0) * big_share))).select("component"))
-        .distinct()
-    )
-    big: dict[int, dict[str, int]] = {}
-    for r in vectors.join(big_ids, "component", "left_semi").collect():
-        big.setdefault(r.component, {})[r.label] = r.n
-    rank = spark.createDataFrame([(lab, i) for i, lab in enumerate(sorted(totals, key=lambda x: (x in (BARS, FILES), totals[x], x)))], "label string, rank int")
-    small = vectors.join(big_ids, "component", "left_anti").join(F.broadcast(rank), "label")
-    n_bars = F.max(F.when(F.col("label") == BARS, F.col("n")))
-    keyed = ws.keep(
-        small.groupBy("component")
-        .agg(F.min_by("label", "rank").alias("key"), F.min_by("n", "rank").alias("n"), n_bars.alias("bars"))
-        .select("component", F.when(F.col("bars").isNotNull(), F.concat(F.lit(BARS + ":"), "key")).otherwise(F.col("key")).alias("key"), F.coalesce("bars", "n").alias("n"))
-    )
-    together = {(r.key, r.label): r.n for r in small.select("component", "label", F.col("n").alias("m")).join(keyed.select("component", "key"), "component").groupBy("key", "label").agg(F.sum("m").alias("n")).collect()}
-    placed, shares = _fractions(totals, big, together, proportions)
-
-    h = F.xxhash64(F.col("component"), F.lit("split"))
-    order = keyed.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    filled = order.groupBy("key", "bucket").agg(F.sum("n").alias("in_bucket"))
-    w = Window.partitionBy("key").orderBy("bucket")
-    offsets = filled.select("key", "bucket", (F.sum("in_bucket").over(w) - F.col("in_bucket")).alias("base"), F.sum("in_bucket").over(Window.partitionBy("key")).alias("of"))
-    v = Window.partitionBy("key", "bucket").orderBy("h", "component")
-    at = order.join(offsets, ["key", "bucket"]).withColumn("pos", (F.col("base") + F.sum("n").over(v) - F.col("n") / 2.0) / F.col("of"))
-    cut = spark.createDataFrame([(k, c) for k, c in shares.items()], "key string, cum array<double>")
-    split = F.lit(names[-1])
-    for i in range(len(names) - 2, -1, -1):
-        split = F.when(F.col("pos") <= F.col("cum")[i], names[i]).otherwise(split)
-    chosen = at.join(F.broadcast(cut), "key").select("component", split.alias("split"))
-    if placed:
-        chosen = chosen.unionByName(spark.createDataFrame(list(placed.items()), "component long, split string"))
-    return member.join(chosen, "component").select("file_id", "component", "split")
+    vectors = ws.keep(labelled.unionByName(with_bars))
+    totals = ws.keep(vectors.groupBy("label").agg(F.sum("n").alias("total")))
+    room = vectors.join(totals, "label").groupBy("component").agg(F.min(F.col("total") / F.col("n")).alias("room"))
+    lowest = 0
+    count = member.select("component").distinct().count()
+    while count > bucket * fan**lowest:
+        lowest += 1
+    level = F.least(F.greatest(F.floor(F.log(F.col("room") / fine) / math.log(fan)), F.lit(0)), F.lit(lowest)).cast("int")
+    placed = ws.keep(vectors.join(room.select("component", level.alias("level")), "component"))
+    done: list[DataFrame] = []
+    need = [F.col("total") * p for p in goal]
+    for j in range(lowest + 1):
+        if done:
+            # What the levels above have left of each label's share.
+            so_far = vectors.join(done[-1], "component").groupBy("label").agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(f"_{i}") for i, s in enumerate(names)])
+            totals = ws.keep(totals.join(so_far, "label", "left").select("label", "total", *[(F.coalesce(f"got{i}", F.lit(0)) + F.coalesce(f"_{i}", F.lit(0))).alias(f"got{i}") for i in range(len(names))]))
+            need = [F.greatest(F.col("total") * p - F.col(f"got{i}"), F.lit(0.0)) for i, p in enumerate(goal)]
+        else:
+            totals = totals.select("label", "total", *[F.lit(0).cast("long").alias(f"got{i}") for i in range(len(names))])
+        lacking = sum(need, F.lit(0.0))
+        shares = totals.select("label", F.when(lacking > 0, F.array(*[x / lacking for x in need])).otherwise(F.array(*map(F.lit, goal))).alias("open"))
+        here = placed.where(F.col("level") == j).join(shares, "label").withColumn("bucket", F.pmod(F.xxhash64("component", F.lit("split")), F.lit(fan**j)))
+        done.append(ws.keep(here.select("bucket", "component", "label", "n", "open").groupBy("bucket").applyInArrow(_place(names, goal), "component long, split string")))
+    chosen = done[0]
+    for d in done[1:]:
+        chosen = chosen.unionByName(d)
+    return ws.finish(member.join(chosen, "component").select("file_id", "component", "split"))
 
 
 def bar_splits(bars: DataFrame, splits: DataFrame) -> DataFrame:

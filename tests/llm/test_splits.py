@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from metrolith.llm.splits import assign_splits, bar_splits, performer_key, related_files, session_key
+from metrolith.llm.splits import assign_splits, bar_splits, performer_key, related_files, session_key, stratify
 from metrolith.session import Workspace
 
 FILES = "file_id long, path string, dataset string, lab_fln string, performer string, session_id string, component long, split string"
@@ -68,6 +68,38 @@ def test_rare_meters_keep_their_proportions(spark):
         assert got == [8, 1, 1], (n, got)
 
 
+def test_rarest_outstanding_label_goes_first():
+    # b's ten items lie in components of a (4) and alone (6): once a is placed, b is judged by what is left.
+    vectors = {i: {"a": 1, "b": 1} for i in range(4)} | {10 + i: {"b": 1} for i in range(6)} | {20 + i: {"c": 1} for i in range(8)}
+    even = {k: [0.5, 0.5] for k in "abc"}
+    got = stratify(vectors, even, [0.5, 0.5])
+    assert set(got) == set(vectors)
+    for k in "abc":
+        own = [got[c] for c, x in vectors.items() if k in x]
+        assert own.count(0) == own.count(1)
+    # The larger component first, and none where there is no room for it.
+    got = stratify({1: {"a": 6}, 2: {"a": 2}, 3: {"a": 2}}, {"a": [0.6, 0.4]}, [0.6, 0.4])
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_every_label_keeps_its_proportions_however_the_buckets_are_cut(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "a", "b", "c"]) if i % 300 else "rare", f"name{i // rnd.choice([1, 1, 2, 5])}x", None) for i in range(6000)]
+    f = files(spark, rows)
+    m = spark.createDataFrame([(i, 1, rnd.choice([3, 4, 4, 4, 5]), 4) for i in range(0, 6000, 2)], METERS)
+    for kw in ({}, {"bucket": 100, "fine": 20, "fan": 4}):
+        split = {r.file_id: r.split for r in assign_splits(f, spark.createDataFrame([], BARS), m, Workspace(spark, "t"), **kw).collect()}
+        assert len(split) == 6000
+        by_label = {}
+        for i, d, _, _ in rows:
+            by_label.setdefault(d, []).append(i)
+        for r in m.collect():
+            by_label.setdefault(r.num, []).append(r.file_id)
+        for k, ids in by_label.items():
+            for s, p in (("train", 0.8), ("val", 0.08), ("test", 0.12)):
+                assert abs(sum(split[i] == s for i in ids) - p * len(ids)) <= max(2, 0.1 * p * len(ids)), (kw, k, s)
+
+
 def test_empty(spark):
     f, b, m = files(spark, []), spark.createDataFrame([], BARS), spark.createDataFrame([], METERS)
     assert related_files(f, b, Workspace(spark, "t")).count() == 0
