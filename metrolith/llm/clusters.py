@@ -2,13 +2,16 @@
 
 A bar's profile is the logarithm of its cells without its mean, so levels do not matter. Bars
 are compared with those near them in the order of a random-hyperplane code, in blocks of a fixed
-size, which gives a sparse graph of mutual reachability with the links of every block's own
-spanning tree. Bars that are alone in their block, and some of each group that is not, meet
-again under further sets of hyperplanes, which links the groups of different blocks. Its minimum spanning forest comes from
-distributed Borůvka rounds. What the blocks have missed is found exactly: the groups are cut into balls, all balls and lone bars
-are compared by a lower bound on the distance of their members, and only those it cannot part are compared bar by bar. The condensed hierarchy starts with the components at the tolerance
-(splits below it are no splits) and joins them at growing distances; clusters are selected by
-stability, and members that are left only beyond the tolerance are noise.
+size, which gives a sparse graph with the links of every block's own spanning tree. Bars that are
+alone in their block, and some of each group that is not, meet again under further sets of
+hyperplanes, which links the groups of different blocks. Links are weighted by mutual
+reachability: the distance, or the core distance of an end where that is larger. The minimum
+spanning forest comes from distributed Borůvka rounds. What the blocks have missed is found
+exactly: the groups are cut into balls, all balls and lone bars are compared by a lower bound on
+the distance of their members, and only those it cannot part are compared bar by bar. The forest
+is condensed from the leaves upwards into a tree of clusters of a least size, of which those
+with the greatest stability are selected; splits below the tolerance are none, and members that
+join only beyond it are noise.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ TOLERANCE = 0.4
 ROUNDS, BITS, BLOCK = 8, 40, 384
 #: Bars of each group of a block that stand for it under the further sets of hyperplanes.
 DELEGATES = 8
-#: Neighbours that make a bar's surroundings dense: one, as two bars are a cluster.
-MIN_SAMPLES = 1
+#: A bar's core distance is that of the neighbour of this rank, or of the last one within the tolerance where there are fewer.
+MIN_SAMPLES = 5
+#: Bars that make a cluster; levels of the hierarchy below the tolerance, and the factor between levels.
+LEAST, BELOW, GROWTH = 2, 6, 2**0.5
 #: Profiles that agree better than this count as this near.
 NEAREST = 1e-3
 #: Share of cells two bars must both have to be compared.
@@ -150,19 +155,24 @@ def may_meet(u: np.ndarray, lack: np.ndarray, radius: np.ndarray, tolerance: flo
     return out
 
 
-def block_tree(z: np.ndarray, min_samples: int = MIN_SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends and mutual reachability of the edges of a block's minimum spanning forest (Prim)."""
+def core_distances(d: np.ndarray, min_samples: int, tolerance: float) -> np.ndarray:
+    """Distance of each row's neighbour of a rank, or of its last one within the tolerance; 0 for rows without one."""
+    near = np.sort(np.where(d <= tolerance, d, np.inf), axis=1)[:, : max(min(min_samples, len(d) - 1), 1)]
+    return np.where(np.isfinite(near), near, 0.0).max(axis=1)
+
+
+def block_tree(z: np.ndarray, min_samples: int = MIN_SAMPLES, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and distances of the edges of a block's minimum spanning forest under mutual reachability (Prim), and the core distances of its rows."""
     n = len(z)
     if n < 2:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(n)
     d = distances(z)
-    k = min(min_samples, n - 1) - 1
-    core = np.partition(d, k, axis=1)[:, k]
+    core = core_distances(d, min_samples, tolerance)
     w = np.maximum(d, np.maximum(core[:, None], core[None, :]))
     best, link, out = w[0].copy(), np.zeros(n, int), np.zeros(n, bool)
     out[0] = True
     best[0] = np.inf
-    a, b, c = [], [], []
+    a, b = [], []
     for _ in range(n - 1):
         j = int(np.argmin(np.where(out, np.inf, best)))
         if out[j]:
@@ -170,12 +180,12 @@ def block_tree(z: np.ndarray, min_samples: int = MIN_SAMPLES) -> tuple[np.ndarra
         if np.isfinite(best[j]):
             a.append(link[j])
             b.append(j)
-            c.append(best[j])
         out[j] = True
         closer = ~out & (w[j] < best)
         best[closer] = w[j][closer]
         link[closer] = j
-    return np.array(a, int), np.array(b, int), np.array(c)
+    a, b = np.array(a, int), np.array(b, int)
+    return a, b, d[a, b], core
 
 
 def _planes(dim: int, rounds: int, bits: int, seed: int) -> np.ndarray:
@@ -230,14 +240,16 @@ def delegates(n: int, a: np.ndarray, b: np.ndarray, near: np.ndarray, most: int)
 
 
 def _block_links(block: int, min_samples: int, tolerance: float, most: int):
-    """Edges of each block's tree (a, b, w) and, where ``most`` is positive, its delegates (a, dim, z, codes) for further orders."""
+    """Edges of each block's tree (a, b, w, the distance), core distances (a, w) and, where ``most`` is positive, its delegates (a, dim, z, codes) for further orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
 
         def emit(key, ids, z, codes):
             x = np.frombuffer(b"".join(z), np.float16).reshape(len(ids), -1).astype(float)
-            a, b, w = block_tree(x, min_samples)
+            a, b, w, core = block_tree(x, min_samples, tolerance)
+            dense = np.flatnonzero(core > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[dense]), pa.nulls(len(dense), pa.int64()), pa.array(core[dense]), pa.nulls(len(dense), pa.int32()), pa.nulls(len(dense), pa.binary()), pa.nulls(len(dense), pa.list_(pa.int64()))], schema=_LINKS_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(w), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.list_(pa.int64()))], schema=_LINKS_ARROW)
             if most:
                 d = delegates(len(ids), a, b, w <= tolerance, most)
@@ -270,17 +282,31 @@ def _block_links(block: int, min_samples: int, tolerance: float, most: int):
     return run
 
 
-def neighbour_graph(bars: DataFrame, ws: Workspace, rounds: int = ROUNDS, bits: int = BITS, block: int = BLOCK, min_samples: int = MIN_SAMPLES, tolerance: float = TOLERANCE, most: int = DELEGATES, seed: int = 7) -> DataFrame:
-    """a, b, w: links of mutual reachability between bars (bar_id, cells) of one length. Bars with several equal rows count once."""
-    prof = bars.mapInArrow(_profiles(rounds, bits, seed), "bar_id long, dim int, z binary, codes array<bigint>, lacks int").drop("lacks")
+def bar_profiles(bars: DataFrame, rounds: int = ROUNDS, bits: int = BITS, seed: int = 7) -> DataFrame:
+    """bar_id, dim, z, codes, lacks of every usable row of (bar_id, cells)."""
+    return bars.mapInArrow(_profiles(rounds, bits, seed), "bar_id long, dim int, z binary, codes array<bigint>, lacks int")
+
+
+def neighbour_graph(prof: DataFrame, ws: Workspace, block: int = BLOCK, min_samples: int = MIN_SAMPLES, tolerance: float = TOLERANCE, most: int = DELEGATES) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, w) of distances between bars of one length, and core distances (bar_id, core) of bars with a neighbour.
+
+    ``prof`` comes from ``bar_profiles``; bars with several equal rows count once.
+    """
     # Equal codes are put in another order each round, so that copies meet in other blocks.
     order = ["dim", "round", "code", F.xxhash64("bar_id", "round"), "bar_id"]
     cols = ["dim", "round", "bar_id", "z", "codes"]
-    first = prof.withColumn("round", F.lit(0)).withColumn("code", F.col("codes")[0])
+    first = prof.drop("lacks").withColumn("round", F.lit(0)).withColumn("code", F.col("codes")[0])
     links = ws.keep(first.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols).mapInArrow(_block_links(block, min_samples, tolerance, most), _LINKS))
-    again = links.where("b is null").select(F.col("a").alias("bar_id"), "dim", "z", "codes", F.posexplode("codes").alias("round", "code")).where("round > 0").withColumn("codes", F.lit(None).cast("array<bigint>"))
+    again = links.where("z is not null").select(F.col("a").alias("bar_id"), "dim", "z", "codes", F.posexplode("codes").alias("round", "code")).where("round > 0").withColumn("codes", F.lit(None).cast("array<bigint>"))
     more = again.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols).mapInArrow(_block_links(block, min_samples, tolerance, 0), _LINKS)
-    return links.where("b is not null").select("a", "b", "w").unionByName(more.select("a", "b", "w"))
+    found = ws.keep(links.where("w is not null").select("a", "b", "w").unionByName(more.select("a", "b", "w")))
+    return found.where("b is not null"), found.where("b is null").groupBy(F.col("a").alias("bar_id")).agg(F.min("w").alias("core"))
+
+
+def reachability(links: DataFrame, cores: DataFrame) -> DataFrame:
+    """Links with their mutual reachability: the distance, or an end's core distance if that is larger."""
+    a, b = (cores.select(F.col("bar_id").alias(x), F.col("core").alias(f"_{x}")) for x in "ab")
+    return links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.greatest("w", "_a", "_b").alias("w"))
 
 
 _ITEMS = "dim int, comp long, n int, radius double, lack int, centre binary, ids array<bigint>, z binary"
@@ -368,15 +394,14 @@ def _members(tolerance: float):
     return run
 
 
-def missing_links(bars: DataFrame, tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, local_limit: int = LOCAL_EDGES, piece: int = PIECE, seed: int = 7) -> DataFrame:
-    """a, b, w: links within the tolerance between groups that ``tree`` (a, b, w) leaves apart, enough of them to join all groups that any link joins.
+def missing_links(prof: DataFrame, tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, local_limit: int = LOCAL_EDGES, piece: int = PIECE) -> DataFrame:
+    """a, b, w: links (by distance) within the tolerance between groups that ``tree`` (a, b, w) leaves apart, enough of them to join all groups that any link joins.
 
     No pair of bars is left out: groups are cut into balls of up to 512 bars, and two of them are
     passed over only where the lower bound says that no bars of theirs can be within the
     tolerance. Lone bars are balls of one. The number of balls and lone bars is what counts squared.
     """
     base = connected_components(tree.where(F.col("w") <= tolerance).select("a", "b"), ws, local_limit)
-    prof = bars.mapInArrow(_profiles(1, BITS, seed), "bar_id long, dim int, z binary, codes array<bigint>, lacks int")
     placed = prof.join(base.withColumnRenamed("node", "bar_id"), "bar_id", "left").select("dim", F.coalesce("component", "bar_id").alias("comp"), "lacks", F.col("codes")[0].alias("code"), "bar_id", "z")
     order = ["dim", "comp", "lacks", "code", "bar_id"]
     made = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_items(tolerance), _ITEMS)
@@ -386,60 +411,178 @@ def missing_links(bars: DataFrame, tree: DataFrame, ws: Workspace, tolerance: fl
     cut = items.join(F.broadcast(sizes), "dim").withColumn("piece", F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int"))
     each = cut.select("dim", "item", "comp", "n", "radius", "lack", "centre", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
     keyed = each.select("dim", F.least("piece", "k").alias("i"), F.greatest("piece", "k").alias("j"), "item", "comp", "n", "radius", "lack", "centre", "piece")
-    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(prof.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = ws.keep(keyed.repartition(parts, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(_meetings(tolerance), "item_a long, item_b long"))
     held = [items.select(F.col("item").alias(f"item_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("z").alias(f"z_{x}"), *(["dim"] if x == "a" else [])) for x in "ab"]
     return pairs.join(held[0], "item_a").join(held[1], "item_b").select("dim", "ids_a", "z_a", "ids_b", "z_b").mapInArrow(_members(tolerance), "a long, b long, w double")
 
 
-def density_clusters(tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, growth: float = 2**0.5, local_limit: int = LOCAL_EDGES) -> DataFrame:
-    """bar_id, cluster (its smallest bar), persistence (1 / distance at which the bar leaves its cluster) of all clustered bars.
+def levels_of(tolerance: float, largest: float, below: int = BELOW, growth: float = GROWTH) -> list[float]:
+    """Distances at which the hierarchy is looked at: the tolerance times powers of the growth, up to the largest link."""
+    out = [tolerance * growth ** (k - below) if k != below else tolerance for k in range(below + 1)]
+    while out[-1] < largest:
+        out.append(out[-1] * growth)
+    return out
+
+
+def condense(nodes: list[tuple], x: np.ndarray, y: np.ndarray, w: np.ndarray, levels: list[float], start: int, least: int, split: float) -> tuple[list, list]:
+    """Owners of the clusters and of the loose nodes of a condensed tree.
+
+    ``nodes`` are (id, size, chain or None, sum of 1 / distance at which members joined, best stability below), the edges x-y
+    join them by id. A chain is a cluster from the level where it comes into being to the one where it merges with another.
+    Returns (chain, owner or None) of the given chains and (node, owner or None, 1 / distance) of the given nodes without one
+    that join a cluster.
+    """
+    ids = np.array([n[0] for n in nodes], np.int64)
+    order = np.argsort(ids)
+    x, y = (order[np.searchsorted(ids, v, sorter=order)] for v in (x, y))
+    size, acc, below = [n[1] for n in nodes], [n[3] for n in nodes], [n[4] for n in nodes]
+    given = [i for i, n in enumerate(nodes) if n[2] is not None]
+    chain = [-1] * len(nodes)
+    for k, i in enumerate(given):
+        chain[i] = k
+    parent, selected = [-1] * len(given), [False] * len(given)
+    members: dict[int, list[int]] = {i: [i] for i in range(len(nodes)) if chain[i] < 0}
+    joined: dict[int, tuple[int, float]] = {}
+    label = np.arange(len(nodes))
+    at = np.maximum(np.searchsorted(levels, w, side="left"), start)
+    for level in np.unique(at).tolist():
+        lam, here = 1.0 / levels[level], at == level
+        touched, root = union_find(label[x[here]], label[y[here]])
+        by = np.argsort(root, kind="stable")
+        touched_, root_ = touched[by].tolist(), root[by].tolist()
+        lo = 0
+        while lo < len(touched_):
+            r, hi = root_[lo], lo + 1
+            while hi < len(touched_) and root_[hi] == r:
+                hi += 1
+            kids = touched_[lo:hi]
+            lo = hi
+            big = [k for k in kids if chain[k] >= 0]
+            total = sum(size[k] for k in kids)
+            new, a, v = -1, 0.0, 0.0
+            if len(big) == 1:
+                c = big[0]
+                new, a, v = chain[c], acc[c] + lam * (total - size[c]), below[c]
+            elif big or total >= least:
+                new, a = len(parent), lam * total
+                parent.append(-1)
+                selected.append(False)
+                for c in big:
+                    parent[chain[c]] = new
+                    if levels[level] > split:
+                        own = acc[c] - size[c] * lam
+                        selected[chain[c]] = own >= below[c]
+                        v += max(own, below[c])
+            loose = [m for k in kids if chain[k] < 0 for m in members.pop(k)]
+            if new >= 0:
+                for m in loose:
+                    joined[m] = (new, lam)
+            else:
+                members[r] = loose
+            size[r], acc[r], below[r], chain[r] = total, a, v, new
+        label_of = np.arange(len(nodes))
+        label_of[touched] = root
+        label = label_of[label]
+    for r in np.unique(label).tolist():
+        if chain[r] >= 0:
+            selected[chain[r]] = acc[r] >= below[r]
+    # Parents have higher numbers than their children: from the top, the uppermost selected one owns what is below it.
+    owner = [-1] * len(parent)
+    for c in range(len(parent) - 1, -1, -1):
+        above = owner[parent[c]] if parent[c] >= 0 else -1
+        owner[c] = above if above >= 0 else c if selected[c] else -1
+    name = lambda c: None if owner[c] < 0 else nodes[given[owner[c]]][2] if owner[c] < len(given) else f"top:{owner[c]}"
+    return [(nodes[i][2], name(k)) for k, i in enumerate(given)], [(nodes[m][0], name(c), lam) for m, (c, lam) in joined.items()]
+
+
+_CONDENSED = "chain string, node long, cluster string, lam double"
+
+
+def _condense(levels: list[float], start: int, least: int, split: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tabs = [b for b in batches if b.num_rows]
+        if not tabs:
+            return
+        t = pa.Table.from_batches(tabs)
+        e, n = t.filter(t.column("w").is_valid()), t.filter(t.column("w").is_null())
+        nodes = list(zip(*(n.column(c).to_pylist() for c in ("x", "size", "chain", "acc", "below"))))
+        chains, loose = condense(nodes, e.column("x").to_numpy(), e.column("y").to_numpy(), e.column("w").to_numpy(), levels, start, least, split)
+        rows = [(c, None, o, None) for c, o in chains] + [(None, m, o, lam) for m, o, lam in loose]
+        for lo in range(0, len(rows), 50_000):
+            cols = list(zip(*rows[lo : lo + 50_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["chain", "node", "cluster", "lam"])
+
+    return run
+
+
+def density_clusters(tree: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, split: float | None = None, least: int = LEAST, local_limit: int = LOCAL_EDGES) -> DataFrame:
+    """bar_id, cluster (its smallest bar), persistence (1 / the bar's shortest link) of all clustered bars.
+
+    ``tree`` is a minimum spanning forest. Bars join at growing distances; a set of at least ``least`` bars is a cluster, which
+    lasts until it meets another one. Its stability is the sum over its members of the range of 1 / distance in which they
+    belong to it; it is selected when it is at least as stable as the best choice below it. Clusters that meet at up to
+    ``split`` (the tolerance unless given) are one, and bars that join a cluster only beyond the tolerance are noise.
 
-    ``tree`` is a minimum spanning forest. Levels of the hierarchy lie at ``tolerance`` times
-    powers of ``growth``. A cluster's stability is the sum, over its members, of the range of
-    1 / distance in which they belong to it; a cluster is selected when it is at least as stable
-    as the best choice below it. Two members make a cluster.
+    A level is a round over the links left between components, until ``local_limit`` are left, which one task takes up to the top.
     """
+    split = tolerance if split is None else split
     tree = ws.keep(tree)
-    near = tree.where(F.col("w") <= tolerance)
-    base = ws.keep(connected_components(near.select("a", "b"), ws, local_limit))
-    left = near.select(F.col("a").alias("node"), "w").unionByName(near.select(F.col("b").alias("node"), "w")).groupBy("node").agg((1.0 / F.min("w")).alias("persistence"))
-    member = ws.keep(base.join(left, "node").select(F.col("node").alias("bar_id"), F.col("component").alias("c0"), "persistence"))
-    lam0 = 1.0 / tolerance
-    # One row a component of the level: its running cluster (chain), that one's stability, and the best choice below it.
-    level = ws.keep(member.groupBy("c0").agg(F.count("*").alias("size"), F.sum(F.col("persistence") - lam0).alias("own")).select(F.col("c0").alias("comp"), F.concat(F.lit("0:"), F.col("c0")).alias("chain"), "size", "own", F.lit(0.0).alias("below")))
-    chains: list[DataFrame] = []  # ended ones: chain, parent, whether selected by itself
-    ends = base.select(F.col("node").alias("a"), F.col("component").alias("ca")), base.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    far = tree.where(F.col("w") > tolerance)
-    links = ws.keep(far.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "w"))
-    most = links.agg(F.max("w")).first()[0]
-    eps, step = tolerance, 0
-    while most is not None and eps < most:
-        step += 1
-        lam, eps = 1.0 / eps, eps * growth
-        comp = ws.keep(connected_components(links.where(F.col("w") <= eps).select("a", "b"), ws, local_limit))
-        up = level.join(comp.select(F.col("node").alias("comp"), F.col("component").alias("next")), "comp", "left").withColumn("next", F.coalesce("next", "comp"))
-        merged = up.groupBy("next").agg(
-            F.count("*").alias("kids"), F.sum("size").alias("size"), F.min("chain").alias("chain"), F.sum("own").alias("own"), F.sum("below").alias("below"), F.sum(F.greatest("own", "below")).alias("value")
-        )
-        fresh = F.col("kids") > 1
+    ends = tree.select(F.col("a").alias("node"), "w").unionByName(tree.select(F.col("b").alias("node"), "w")).groupBy("node").agg((1.0 / F.min("w")).alias("persistence"))
+    found = tree.agg(F.max("w"), F.count("*")).first()
+    levels, n = levels_of(tolerance, found[0] or 0.0), found[1]
+    nodes = ends.select(F.col("node").alias("comp"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("acc"), F.lit(0.0).alias("below"))
+    links = tree.select(F.col("a").alias("x"), F.col("b").alias("y"), "w")
+    loose = ends.select("node", F.col("node").alias("comp"))
+    chains: list[DataFrame] = []  # chain, parent, whether selected by itself: those that end on a level
+    joined: list[DataFrame] = []  # node, chain, lam
+    start = 0
+    while n > local_limit:
+        lam, eps = 1.0 / levels[start], levels[start]
+        comp = ws.keep(connected_components(links.where(F.col("w") <= eps).select(F.col("x").alias("a"), F.col("y").alias("b")), ws, local_limit))
+        up = ws.keep(nodes.join(comp.select(F.col("node").alias("comp"), F.col("component").alias("next")), "comp", "left").withColumn("next", F.coalesce("next", "comp")))
+        is_big = F.col("chain").isNotNull()
+        own = F.col("acc") - F.col("size") * lam
+        best = F.when(is_big, F.greatest(own, "below") if eps > split else F.lit(0.0))
+        g = up.groupBy("next").agg(
+            F.count("*").alias("kids"), F.count("chain").alias("big"), F.sum("size").alias("size"), F.sum(F.when(is_big, F.col("size"))).alias("of_big"), F.min("chain").alias("chain"), F.sum(F.when(is_big, F.col("acc"))).alias("acc"),
+            F.sum(F.when(is_big, F.col("below"))).alias("below"), F.sum(best).alias("best"),
+        )
+        fresh = (F.col("big") > 1) | ((F.col("big") == 0) & (F.col("size") >= least))
         # A chain is named by the level at which it begins and its component there.
-        name = F.when(fresh, F.concat(F.lit(f"{step}:"), F.col("next"))).otherwise(F.col("chain"))
-        grown = F.when(fresh, 0.0).otherwise(F.col("own") + F.col("size") * (lam - 1.0 / eps))
-        nxt = ws.keep(merged.select(F.col("next").alias("comp"), name.alias("chain"), "size", grown.alias("own"), F.when(fresh, F.col("value")).otherwise(F.col("below")).alias("below"), fresh.alias("fresh")))
-        chains.append(ws.keep(up.join(nxt.where("fresh").select(F.col("comp").alias("next"), F.col("chain").alias("parent")), "next").select("chain", "parent", (F.col("own") >= F.col("below")).alias("selected"))))
-        level = nxt.drop("fresh")
-    top = level.select("chain", F.lit(None).cast("string").alias("parent"), (F.col("own") >= F.col("below")).alias("selected"))
-    # Top down: the uppermost selected chain on the way to each base component.
-    owner = top.select("chain", F.when(F.col("selected"), F.col("chain")).alias("cluster"))
-    found = owner
+        merged = g.select(
+            F.col("next").alias("comp"), "size", F.when(fresh, F.concat(F.lit(f"{start}:"), "next")).otherwise(F.col("chain")).alias("chain"),
+            F.when(fresh, lam * F.col("size")).when(F.col("big") == 1, F.col("acc") + lam * (F.col("size") - F.col("of_big"))).otherwise(0.0).alias("acc"),
+            F.when(F.col("big") > 1, F.col("best")).when(F.col("big") == 1, F.col("below")).otherwise(0.0).alias("below"), (F.col("big") > 1).alias("met"),
+        )
+        now = ws.keep(merged)
+        chosen = (own >= F.col("below")) if eps > split else F.lit(False)
+        chains.append(ws.keep(up.where(is_big).join(now.where("met").select(F.col("comp").alias("next"), F.col("chain").alias("parent")), "next").select("chain", "parent", chosen.alias("selected"))))
+        moved = ws.keep(loose.join(up.select("comp", "next"), "comp").select("node", F.col("next").alias("comp")).join(now.select("comp", "chain"), "comp"))
+        joined.append(moved.where("chain is not null").select("node", "chain", F.lit(lam).alias("lam")))
+        loose = moved.where("chain is null").select("node", "comp")
+        cx, cy = (comp.select(F.col("node").alias(v), F.col("component").alias(f"c{v}")) for v in "xy")
+        far = links.where(F.col("w") > eps).join(cx, "x", "left").join(cy, "y", "left")
+        links = ws.keep(far.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"), "w"))
+        nodes, start, n = now.drop("met"), start + 1, links.count()
+    open_ = links.select(F.col("x").alias("comp")).union(links.select("y")).distinct()
+    state = nodes.join(open_, "comp", "left_semi").select(F.col("comp").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("double").alias("w"), "size", "chain", "acc", "below")
+    edges = links.select("x", "y", "w", F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("chain"), F.lit(None).cast("double").alias("acc"), F.lit(None).cast("double").alias("below"))
+    top = ws.keep(state.unionByName(edges).coalesce(1).mapInArrow(_condense(levels, start, least, split), _CONDENSED))
+    owner = top.where("chain is not null").select("chain", "cluster")
+    done = nodes.where("chain is not null").join(open_, "comp", "left_anti")
+    owner = owner.unionByName(done.select("chain", F.when(F.col("acc") >= F.col("below"), F.col("chain")).alias("cluster")))
+    # Top down: the uppermost selected chain on the way to each chain.
+    known = owner
     for c in reversed(chains):
-        above = owner.select(F.col("chain").alias("parent"), F.col("cluster").alias("taken"))
-        here = ws.keep(c.join(above, "parent").select("chain", F.coalesce("taken", F.when(F.col("selected"), F.col("chain"))).alias("cluster")))
-        owner = owner.unionByName(here)
-        found = found.unionByName(here)
-    labels = ws.keep(found.where("chain like '0:%' and cluster is not null").select(F.substring("chain", 3, 20).cast("long").alias("c0"), F.col("cluster").alias("group")))
-    clustered = ws.keep(member.join(labels, "c0").select("bar_id", "group", "persistence"))
+        above = known.select(F.col("chain").alias("parent"), F.col("cluster").alias("taken"))
+        here = c.join(above, "parent").select("chain", F.coalesce("taken", F.when(F.col("selected"), F.col("chain"))).alias("cluster"))
+        known = ws.keep(known.unionByName(here))
+    member = loose.join(top.where("node is not null").select(F.col("node").alias("comp"), "cluster", "lam"), "comp").select("node", "cluster", "lam")
+    for j in joined:
+        member = member.unionByName(j.join(known, "chain").select("node", "cluster", "lam"))
+    member = member.where((F.col("cluster").isNotNull()) & (F.col("lam") >= 1.0 / tolerance))
+    clustered = ws.keep(member.join(ends, "node").select(F.col("node").alias("bar_id"), F.col("cluster").alias("group"), "persistence"))
     names = clustered.groupBy("group").agg(F.min("bar_id").alias("cluster"))
     return clustered.join(names, "group").select("bar_id", "cluster", "persistence")
 
@@ -449,20 +592,21 @@ def bar_cells(bars: DataFrame) -> DataFrame:
     return bars.where("bar_id is not null and features_per_bar is not null").select(F.col("bar_id").cast("long").alias("bar_id"), F.col("features_per_bar").cast("array<double>").alias("cells"))
 
 
-def cluster_bars(bars: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, local_limit: int = LOCAL_EDGES, **graph) -> DataFrame:
-    """bar_id, cluster_bar_id, persistence of every bar in a cluster of two or more bars.
+def cluster_bars(bars: DataFrame, ws: Workspace, tolerance: float = TOLERANCE, local_limit: int = LOCAL_EDGES, rounds: int = ROUNDS, split: float | None = None, least: int = LEAST, **graph) -> DataFrame:
+    """bar_id, cluster_bar_id, persistence of every bar in a cluster of two or more bars (``least``).
 
     Null, NaN, infinite and non-positive cells are missing; bars with fewer than half their
     cells are in no cluster, as are those like no other. Repeated rows are one bar; one whose
     rows differ belongs with all of them; bars with different ids and the same array are two. An
     empty table gives no rows.
     """
-    cells = bar_cells(bars)
-    tree = ws.keep(spanning_forest(neighbour_graph(cells, ws, tolerance=tolerance, **graph), ws, local_limit))
-    more = ws.keep(missing_links(cells, tree, ws, tolerance, local_limit))
+    prof = ws.keep(bar_profiles(bar_cells(bars), rounds))
+    links, cores = neighbour_graph(prof, ws, tolerance=tolerance, **graph)
+    tree = ws.keep(spanning_forest(reachability(links, cores), ws, local_limit))
+    more = ws.keep(missing_links(prof, tree, ws, tolerance, local_limit))
     if not more.isEmpty():
-        tree = spanning_forest(tree.unionByName(more), ws, local_limit)
-    return ws.finish(density_clusters(tree, ws, tolerance, local_limit=local_limit).withColumnRenamed("cluster", "cluster_bar_id"))
+        tree = spanning_forest(tree.unionByName(reachability(more, cores)), ws, local_limit)
+    return ws.finish(density_clusters(tree, ws, tolerance, split, least, local_limit).withColumnRenamed("cluster", "cluster_bar_id"))
 
 
 def describe_clusters(clustered: DataFrame, bars: DataFrame, rhythms: DataFrame, exemplars: int = 3) -> DataFrame:

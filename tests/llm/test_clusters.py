@@ -1,6 +1,7 @@
 import numpy as np
 
-from metrolith.llm.clusters import TOLERANCE, balls, between, block_tree, cluster_bars, describe_clusters, distances, may_meet, profile
+from metrolith.llm.clusters import TOLERANCE, balls, between, block_tree, cluster_bars, density_clusters, describe_clusters, distances, levels_of, may_meet, profile
+from metrolith.operators.components import union_find
 from metrolith.session import Workspace
 
 BARS = "bar_id long, bar2file long, bar_no int, bar2cluster int, features_per_bar array<double>, w double, cluster string"
@@ -52,13 +53,124 @@ def test_distances_match_brute_force():
 def test_block_tree_is_a_minimum_spanning_tree():
     from metrolith.operators.spanning import kruskal
 
-    z = profile(np.exp(np.random.default_rng(2).normal(size=(30, 16))))
-    a, b, w = block_tree(z)
+    rnd = np.random.default_rng(2)
+    z = profile(np.exp(rnd.normal(size=(3, 16))[rnd.integers(0, 3, 30)] + rnd.normal(0, 0.15, (30, 16))))
+    a, b, w, core = block_tree(z, 3)
     d = distances(z)
+    for i in range(30):
+        near = np.sort(d[i][d[i] <= TOLERANCE])
+        assert core[i] == (near[min(2, len(near) - 1)] if len(near) else 0.0)
     i, j = np.triu_indices(30, 1)
-    core = d.min(1)
     reach = np.maximum(d[i, j], np.maximum(core[i], core[j]))
-    assert abs(w.sum() - reach[kruskal(i, j, reach, i, j)].sum()) < 1e-9 and len(w) == 29
+    got = np.maximum(w, np.maximum(core[a], core[b]))
+    assert abs(got.sum() - reach[kruskal(i, j, reach, i, j)].sum()) < 1e-9 and len(w) == 29
+
+
+def plain(tree, tolerance, split, least):
+    """The condensed tree and its selection over single levels, set by set, from the top."""
+    levels = levels_of(tolerance, max([w for _, _, w in tree], default=0.0))
+    nodes = sorted({v for a, b, _ in tree for v in (a, b)})
+
+    def parts(members, level):
+        root = {v: v for v in members}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b, w in tree:
+            if a in root and w <= levels[level]:
+                root[find(a)] = find(b)
+        out = {}
+        for v in members:
+            out.setdefault(find(v), set()).add(v)
+        return list(out.values())
+
+    def cluster(members, level, end):
+        """(stability or best choice below, selected sets) of a cluster that is whole on a level and meets another at 1 / end."""
+        lam, own, now = {}, 0.0, members
+        while True:
+            big = [p for p in (parts(now, level - 1) if level else []) if len(p) >= least]
+            for v in now - set().union(*big):
+                lam[v] = 1 / levels[level]
+            if len(big) != 1:
+                break
+            now, level = big[0], level - 1
+        below, chosen = 0.0, []
+        for p in big:
+            for v in p:
+                lam[v] = 1 / levels[level]
+            value, sets = cluster(p, level - 1, 1 / levels[level])
+            below, chosen = below + value, chosen + sets
+        if levels[level] <= split:
+            below, chosen = 0.0, []
+        own = sum(x - end for x in lam.values())
+        return (own, [(members, lam)]) if own >= below else (below, chosen)
+
+    label, joins = {}, {}
+    for p in parts(set(nodes), len(levels) - 1):
+        if len(p) >= least:
+            for members, _ in cluster(p, len(levels) - 1, 0.0)[1]:
+                label.update(dict.fromkeys(members, min(members)))
+    for level in range(len(levels)):
+        for p in parts(set(nodes), level):
+            for v in p if len(p) >= least else ():
+                joins.setdefault(v, levels[level])
+    kept = {v: c for v, c in label.items() if joins.get(v, np.inf) <= tolerance}
+    names = {}
+    for v, c in kept.items():
+        names[c] = min(names.get(c, v), v)
+    return {v: names[c] for v, c in kept.items()}
+
+
+def test_condensed_tree_matches_plain_recursion(spark):
+    for seed in range(3):
+        rnd = np.random.default_rng(seed)
+        tree = [(int(rnd.integers(max(0, i - 6), i)) + 1, i + 1, float(np.exp(rnd.normal(-1.4, 0.7)))) for i in range(1, 120)]
+        tree = [e for e in tree if rnd.random() < 0.95]
+        df = spark.createDataFrame(tree, "a long, b long, w double")
+        for split, least, limit in ((0.4, 2, 10**6), (0.0, 5, 10**6), *(((0.1, 3, 40),) if seed == 0 else ())):
+            got = {r.bar_id: r.cluster for r in density_clusters(df, Workspace(spark, "t"), 0.4, split, least, limit).collect()}
+            assert got == plain(tree, 0.4, split, least), (seed, split, least, limit)
+
+
+def line(points):
+    """A path through points on a line: its links."""
+    p = sorted((x, i) for i, x in enumerate(points, 1))
+    return [(i, j, max(abs(y - x), 1e-3)) for (x, i), (y, j) in zip(p, p[1:])]
+
+
+def test_stability_cuts_a_bridge_and_a_parent_wins(spark):
+    # Two dense sets and a thin bridge between them: below the tolerance splits are none, without that rule they stay apart.
+    tree = line([0.05 * i for i in range(20)] + [1.0 + 0.3 * i for i in range(1, 4)] + [2.2 + 0.05 * i for i in range(20)])
+    df = spark.createDataFrame(tree, "a long, b long, w double")
+    got = {r.bar_id: r.cluster for r in density_clusters(df, Workspace(spark, "t"), 0.4, 0.0, 5).collect()}
+    assert {got[i] for i in range(1, 21)} == {1} and len({got[i] for i in range(24, 44)}) == 1 and got[24] != 1
+    assert {r.cluster for r in density_clusters(df, Workspace(spark, "t"), 0.4).collect()} == {1}
+    # Two sets that are hardly denser than the way between them are one cluster.
+    tree = line([0.25 * i for i in range(10)] + [2.55 + 0.25 * i for i in range(10)])
+    got = density_clusters(spark.createDataFrame(tree, "a long, b long, w double"), Workspace(spark, "t"), 0.4, 0.0, 5).collect()
+    assert {r.cluster for r in got} == {1} and len(got) == 20
+
+
+def test_bridges_and_loose_groups_whatever_the_delegates(spark):
+    rnd = np.random.default_rng(11)
+    base, way = rnd.normal(0, 0.9, 64), rnd.normal(0, 1, 64)
+    way = (way - way.mean()) / np.sqrt(((way - way.mean()) ** 2).mean())
+    x = [base + rnd.normal(0, 0.05, 64) for _ in range(300)] + [base + way * 2.0 + rnd.normal(0, 0.05, 64) for _ in range(300)]
+    x += [base + way * 2.0 * k / 11 + rnd.normal(0, 0.02, 64) for k in range(1, 11)]
+    loose = [b + rnd.normal(0, 0.26, 64) for b in rnd.normal(0, 0.9, (3, 64)) for _ in range(200)]
+    rows = [(i + 1, None, np.exp(v).tolist()) for i, v in enumerate(x + loose)]
+    z = profile(np.exp(np.array(x + loose))).astype(np.float16).astype(float)
+    d = distances(z)
+    i, j = np.nonzero(d <= TOLERANCE)
+    nodes, root = union_find(i + 1, j + 1)
+    want = dict(zip(nodes.tolist(), root.tolist()))
+    assert len({want[k] for k in range(1, 611)}) == 1 and len(set(want.values())) < 20
+    for most in (1, 8, 384):
+        got = {r.bar_id: r.cluster_bar_id for r in cluster_bars(bars(spark, rows), Workspace(spark, "t"), most=most).collect()}
+        assert got == want, most
 
 
 def test_clusters(spark):
