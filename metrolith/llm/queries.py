@@ -35,11 +35,11 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_pairs(table(spark, d, "file_list"))
+    return overlap.overlap_pairs(table(spark, d, "file_list"), Workspace(spark, "p5"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(table(spark, d, "file_list")).withColumn("least_coverage", F.round("least_coverage", 6))
+    return overlap.overlap_report(table(spark, d, "file_list"), Workspace(spark, "p5")).withColumn("least_coverage", F.round("least_coverage", 6))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +75,8 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_bars, p4_found, p4_clusters, p5_found, p5_report, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_restored)}
 
-_NOBODY = ", ".join(f"'{x}'" for x in sorted(splits.NOBODY))
-_REMARKS = "|".join(sorted(overlap.REMARKS))
+_NOBODY = "'', 'unknown', 'a n', 'na', 'n a', 'none', 'null', 'nil', 'nan', 'anon', 'anonymous', 'various', 'various artists', 'artists various', 'va', 'a v', 'v a', 'tbd', 'tba', 'tbc', 'unnamed', 'nobody', 'n n', 'nn', 'artist unknown', 'unknown artist', 'missing', 'undefined', 'not available', 'available not', 'diverse', '0', 'x', 'xx', 'xxx'"
+_REMARKS = "clean|converted|copy|denoised|edit|final|master|mono|norm|normalised|normalized|remaster|remastered|resampled|stereo|trimmed"
 
 ORACLES = {
     "p3_found": rf"""WITH RECURSIVE k AS (
@@ -101,9 +101,9 @@ m0 AS (SELECT a AS bar, least(a, min(b)) AS m FROM e GROUP BY a),
     "p5_found": rf"""WITH a AS (SELECT file_id, lower(strip_accents(regexp_replace(regexp_extract(trim(url_decode(path)), '[^/\\]*$'), '\.[A-Za-z][A-Za-z0-9]{{0,4}}$', ''))) AS s,
   regexp_extract(regexp_replace(lower(lab_fln), '\.lab\s*$', ''), '([a-z]+)[^a-z]*$', 1) AS w FROM file_list WHERE path IS NOT NULL AND lab_fln IS NOT NULL),
 b AS (SELECT file_id, CASE WHEN w IN ('train', 'training') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev', 'test', 'testing', 'eval') THEN 'eval' END AS split, list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda x: x <> '') AS t FROM a),
-c AS (SELECT file_id, split, CASE WHEN len(t) > 1 AND regexp_full_match(t[1], '[0-9]+') THEN t[2:] ELSE t END AS t FROM b WHERE split IS NOT NULL),
+c AS (SELECT file_id, split, CASE WHEN len(t) > 1 AND regexp_full_match(t[1], '[0-9]+') THEN t[2:] WHEN regexp_full_match(t[1], '[0-9]+[a-z]{{3}}.*') THEN list_concat([regexp_replace(t[1], '^[0-9]+', '')], t[2:]) ELSE t END AS t FROM b WHERE split IS NOT NULL),
 d AS (SELECT file_id, split, array_to_string(list_filter(t, lambda x: NOT regexp_full_match(x, '(take|mvt|var)[0-9]+|{_REMARKS}|[0-9]+(k|khz|hz|bit|kbps)')), '') AS name,
   array_to_string(list_sort(list_transform(list_filter(t, lambda x: regexp_full_match(x, '(take|mvt|var)[0-9]+')), lambda x: regexp_replace(x, '([a-z])0+([0-9])', '\1\2'))), ' ') AS nums FROM c),
-lim AS (SELECT *, CASE WHEN length(name) >= 13 THEN 2 WHEN length(name) >= 8 THEN 1 ELSE 0 END AS m FROM d WHERE name <> '')
-SELECT DISTINCT least(x.file_id, y.file_id) AS file_id_a, greatest(x.file_id, y.file_id) AS file_id_b FROM lim x JOIN lim y ON x.split = 'train' AND y.split = 'eval' AND x.nums = y.nums AND abs(length(x.name) - length(y.name)) <= 2 AND damerau_levenshtein(x.name, y.name) <= least(x.m, y.m)""",
+lim AS (SELECT *, CASE WHEN length(name) >= 20 THEN 4 WHEN length(name) >= 15 THEN 3 WHEN length(name) >= 5 THEN 2 WHEN length(name) >= 3 THEN 1 ELSE 0 END AS m FROM d WHERE name <> '')
+SELECT DISTINCT least(x.file_id, y.file_id) AS file_id_a, greatest(x.file_id, y.file_id) AS file_id_b FROM lim x JOIN lim y ON x.split = 'train' AND y.split = 'eval' AND x.nums = y.nums AND abs(length(x.name) - length(y.name)) <= 4 AND damerau_levenshtein(x.name, y.name) <= least(x.m, y.m)""",
 }
