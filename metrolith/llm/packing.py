@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity: hierarchical residual packing.
 
 Each partition packs its items best-fit decreasing and emits what is nearly full. Underfull
-containers become items of the next round, on fewer partitions, until one partition or the
-last round is left, which emits everything. A container carries its members along; none has more than its capacity.
+containers become items of the next round, on at most half as many partitions, as long as any
+two of them could be combined; those that fit with none of the others are emitted before. A
+container carries its members along; none has more than its capacity.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from metrolith.session import Workspace
 CAPACITY = 2048
 #: Items packed at once, and underfull containers a partition of a later round takes.
 BATCH, FAN_IN = 100_000, 8_192
-#: Rounds after the first. What has met so many others and is underfull still finds no partner.
-ROUNDS = 4
 #: Share of the capacity from which a container is nearly full.
 FULL = 0.99
 
@@ -80,12 +79,13 @@ def _pack(loads: Iterator[tuple[list[int], list[list[dict]]]], round_: int, capa
             yield pa.RecordBatch.from_arrays([pa.array(ids[z], pa.int64()), pa.array(used[z], pa.int64()), pa.array(done[z], pa.bool_()), pa.array(held[z], _ARROW.field("members").type)], schema=_ARROW)
 
 
-def pack(sized: DataFrame, ws: Workspace, capacity: int = CAPACITY, batch: int = BATCH, fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
+def pack(sized: DataFrame, ws: Workspace, capacity: int = CAPACITY, batch: int = BATCH, fan_in: int = FAN_IN) -> DataFrame:
     """container, doc_id, piece, start, tokens of every piece of every row of ``sized`` (doc_id, tokens).
 
     A text is one piece unless it alone exceeds the capacity; then all its pieces but the last
     fill a container each. Rows without tokens (also null ones) take no room and are in no
-    container. Repeated rows are packed as often as they occur; an empty table gives no rows.
+    container. Repeated rows are packed as often as they occur; an empty table gives no rows. In
+    the end no two containers could be combined, but for nearly full ones with a few tokens.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +118,20 @@ def pack(sized: DataFrame, ws: Workspace, capacity: int = CAPACITY, batch: int =
 
         return run
 
-    def rest(df: DataFrame) -> DataFrame:
-        return df.where("not done")
-
     packed = [ws.keep(sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens")).mapInArrow(first, SCHEMA))]
-    while left := rest(packed[-1]).count():
-        round_, parts = len(packed), max(1, -(-left // fan_in))
-        # A hash mixes the containers of all partitions, so that small and large rooms meet.
-        mixed = rest(packed[-1]).repartition(parts, F.xxhash64("container")).sortWithinPartitions("used", "container")
-        packed.append(ws.keep(mixed.mapInArrow(again(round_, parts == 1 or round_ == rounds), SCHEMA)))
     out = packed[0].where("done")
-    for p in packed[1:]:
-        out = out.unionByName(p.where("done"))
-    return out.select("container", F.explode("members").alias("m")).select("container", "m.doc_id", "m.piece", "m.start", "m.tokens")
+    left, parts, round_ = packed[0].where("not done"), 0, 0
+    while True:
+        least = [r.used for r in left.orderBy("used").limit(2).select("used").collect()]
+        if len(least) < 2 or sum(least) > capacity:
+            out = out.unionByName(left)
+            break
+        # What does not fit with the emptiest fits with none.
+        fits = F.col("used") + least[0] <= capacity
+        out, left, round_ = out.unionByName(left.where(~fits)), left.where(fits), round_ + 1
+        parts = min(max(1, -(-left.count() // fan_in)), max(1, parts // 2) if parts else 1 << 30)
+        # A hash mixes the containers of all partitions, so that small and large rooms meet.
+        mixed = left.repartition(parts, F.xxhash64("container", F.lit(round_))).sortWithinPartitions("used", "container")
+        packed.append(ws.keep(mixed.mapInArrow(again(round_, parts == 1), SCHEMA)))
+        out, left = out.unionByName(packed[-1].where("done")), packed[-1].where("not done")
+    return ws.finish(out.select("container", F.explode("members").alias("m")).select("container", "m.doc_id", "m.piece", "m.start", "m.tokens"))

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from metrolith.llm.packing import best_fit, pack, pieces
+from metrolith.llm.packing import FULL, best_fit, pack, pieces
 from metrolith.session import Workspace
 
 SCHEMA = "doc_id long, tokens long, container string, piece string"
@@ -46,6 +46,8 @@ def check(rows, got, capacity):
             n = sum(x == (d, t) for x in rows)
             assert sorted(texts.pop(d)) == sorted(pieces(t, capacity) * n)
     assert not texts
+    # No two containers that are not nearly full could be combined.
+    assert sum(sorted(u for u in used.values() if u < FULL * capacity)[:2]) > capacity or sum(u < FULL * capacity for u in used.values()) < 2
     return len(used)
 
 
@@ -53,7 +55,7 @@ def test_pack(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice([0, None, 5, 40, 99, 100, 101, 250, rnd.randrange(1, 100)])) for i in range(600)] + [(1000, 12_345), (1001, 7), (1001, 7)]
     total = sum(t or 0 for _, t in rows)
-    for kw in ({}, {"batch": 10, "fan_in": 4}, {"batch": 10, "fan_in": 1, "rounds": 2}):
+    for kw in ({}, {"batch": 10, "fan_in": 4}, {"batch": 10, "fan_in": 1}):
         n = check(rows, pack(sized(spark, rows), Workspace(spark, "t"), 100, **kw).collect(), 100)
         if not kw:
             assert n <= -(-total // 100) * 1.02 + 1
@@ -64,6 +66,13 @@ def test_items_that_find_no_partner(spark):
     assert check(rows, pack(sized(spark, rows), Workspace(spark, "t"), 100, batch=20, fan_in=16).collect(), 100) == 300
 
 
+def test_rounds_go_on_until_no_two_fit(spark):
+    # Every partition is left with one small container; they only meet when few partitions are left.
+    rows = [(i, 61) for i in range(120)] + [(200 + i, 40) for i in range(20)]
+    n = check(rows, pack(sized(spark, rows, 20), Workspace(spark, "t"), 100, batch=7, fan_in=2).collect(), 100)
+    assert n == 120 + 10
+
+
 def test_empty(spark):
     assert pack(sized(spark, []), Workspace(spark, "t")).count() == 0
     assert pack(sized(spark, [(1, None), (2, 0)]), Workspace(spark, "t")).count() == 0
