@@ -5,7 +5,8 @@ Two kinds of evidence are used.
 * Multi-byte encodings read a byte at a time leave sequences that no text holds otherwise. The
   sequences of all characters of the supported scripts under all pairs of encodings are
   computed once a process and matched with an automaton; runs of them are replaced, nothing else.
-* Single-byte encodings read as one another turn letters into other letters. Words are counted
+* Single-byte encodings read as one another turn letters into other letters, or into signs where no text has them: those are
+  generated from the tables of all pairs. Words are counted
   over the distinct texts of the corpus; a word is garbled when one pair of encodings turns it into a word that
   is many times as frequent, or into a word known outside the source that has it most whose pairs of letters
   are many times as common there. This is a join of distinct words, so it needs no word list.
@@ -55,10 +56,10 @@ _BETWEEN = "‐-‖‘-‚“-„…«»‹›"
 #: A word: letters and whatever else beyond ASCII hangs on to them.
 _WORD = re.compile(r"[^\s\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-#: Signs and capitals in the middle of a word, a degree sign or quotes of an old code page, read as cp1252.
-_INSIDE = re.compile("(?<=[A-Za-z])[‚ƒ†‡ˆ‰¡-¥ÃÂ](?=[a-z])|(?<=[a-z])[ŠŒŽ](?=[a-z])|(?<=[0-9])ø(?!\\w)|®[^®¯\\s][^®¯\\n]{0,60}¯")
-#: An o with diaeresis of such a page is a closing quote; it counts where nothing has been opened.
-_QUOTE_INSIDE = re.compile("(?<=[A-Za-z])”(?=[a-z])")
+#: Signs that stand between lower-case letters in clean text, besides dashes, quotes, blanks, numerals and signs of mathematics.
+_AMID = "…•·©®™°§¶˜´`^¨¯¸"
+#: Length of a text is no limit to a quotation, but a line is.
+_QUOTED = "[^\n{0}]*"
 
 
 def _bytes_of(ch: str, enc: str) -> bytes | None:
@@ -184,17 +185,15 @@ def automaton() -> _Automaton:
     return _automaton
 
 
-def repair_sequences(text: str, rounds: int = 3) -> tuple[str, bool]:
-    """The text with garbled sequences replaced, again while some are left (text may be garbled twice), and whether there was evidence at all."""
+def repair_sequences(text: str) -> tuple[str, bool]:
+    """The text with garbled sequences replaced, again while some are left (text may be garbled several times), and whether there was evidence at all."""
     evident = "�" in text or bool(_C1.search(text))
     if text.isascii():
         return text, False
     auto = automaton()
     whole = _japanese_stretches(text)
     evident, text = evident or whole != text, whole
-    for _ in range(rounds):
-        if not auto.may.search(text):
-            break
+    while auto.may.search(text):  # every replacement shortens the text
         hits = auto.matches(text)
         if not hits:
             break
@@ -236,11 +235,66 @@ def _byte(ch: str, enc: str) -> bytes:
 _byte_tables: dict[str, dict[str | None, bytes]] = {}
 
 
+class _Inside:
+    """Signs that single-byte encodings make of letters, degree signs and quotation marks, and where they show.
+
+    ``letters``: readings of lower-case letters that are no letters, or are capitals, and do not stand between letters otherwise;
+    ``closing``: those that are closing quotes; ``degree``: letters that a degree sign is read as; ``quotes``: pairs of signs that
+    angle quotes are read as.
+    """
+
+    def __init__(self):
+        letters, closing, degree, quotes = set(), set(), set(), set()
+        for m, _ in _tables():
+            back = {v: chr(k) for k, v in m.items()}
+            for k, v in m.items():
+                x = chr(k)
+                kind = unicodedata.category(x)
+                if unicodedata.category(v) == "Ll" and x > "\x9f":
+                    if kind == "Lu" and x < "\u0250" and x not in "ÀÁÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÄÅÆÇÐÑØÞŸ" or kind in ("Sc", "Po", "Ps", "Lm", "Sk", "So") and x not in _AMID + "„€" or x == "ƒ":
+                        letters.add(x)
+                    elif x in "”":
+                        closing.add(x)
+                elif v == "°" and kind[0] == "L":
+                    degree.add(x)
+            pair = back.get("«"), back.get("»")
+            if all(pair) and all(unicodedata.category(x)[0] == "S" for x in pair):
+                quotes.add(pair)
+        group = lambda xs: "[" + "".join(map(re.escape, sorted(xs))) + "]"
+        self.letter = re.compile(f"(?<=[A-Za-z]){group(letters)}(?=[a-z])")
+        self.closing = re.compile(f"(?<=[A-Za-z]){group(closing)}(?=[a-z])")
+        self.degree = re.compile(f"(?<=[0-9]){group(degree)}(?!\\w)")
+        self.quotes = [re.compile(f"{re.escape(o)}(?=[^\\s])({_QUOTED.format(re.escape(o + c))}[^\\s]){re.escape(c)}") for o, c in sorted(quotes)]
+
+    def found(self, text: str) -> bool:
+        if self.letter.search(text) or self.degree.search(text) or any(q.search(text) for q in self.quotes):
+            return True
+        # A closing quote counts where nothing has been opened.
+        return bool(self.closing.search(text)) and text.count("”") > text.count("“") + text.count("„")
+
+    def in_word(self, word: str) -> bool:
+        return bool(self.letter.search(word) or self.closing.search(word))
+
+    def restored(self, text: str) -> str:
+        text = self.degree.sub("°", text)
+        for q in self.quotes:
+            text = q.sub(r"«\1»", text)
+        return text
+
+
+_inside: _Inside | None = None
+
+
+def inside() -> _Inside:
+    global _inside
+    if _inside is None:
+        _inside = _Inside()
+    return _inside
+
+
 def inside_evidence(text: str) -> bool:
     """Whether single characters stand where no text has them, so that their encoding must be wrong."""
-    if _INSIDE.search(text):
-        return True
-    return bool(_QUOTE_INSIDE.search(text)) and text.count("”") > text.count("“") + text.count("„")
+    return inside().found(text)
 
 
 def words_of(text: str) -> list[str]:
@@ -269,20 +323,20 @@ def _tables() -> list[tuple[dict[int, str], frozenset[str]]]:
 _single: list | None = None
 
 
-def restored_forms(word: str) -> list[str]:
-    """What the word may have been under each pair of single-byte encodings; none that is no word, or too short to tell."""
+def restored_forms(word: str) -> dict[str, int]:
+    """What the word may have been, and under how many pairs of single-byte encodings; nothing that is no word, or too short to tell."""
     global _single
     if _single is None:
         _single = _tables()
     odd = {c for c in word if c > "\x7f"}
     own = bare(word)
-    out = set()
+    out: dict[str, int] = {}
     for m, known in _single:
         if odd <= known:
             w = bare(word.translate(m))
             if w != own and (len(w) >= 3 or len(w) == 2 and len(odd) == 2 and not any(c.isascii() for c in w)) and all(c.isalpha() or c in "'’" for c in w):
-                out.add(w)
-    return sorted(out)
+                out[w] = out.get(w, 0) + 1
+    return dict(sorted(out.items()))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,20 +349,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             fixed, evident = repair_sequences(t)
             hit.append(evident or inside_evidence(t))
-            words.append(words_of(fixed))
+            words.append(words_of(inside().restored(fixed)))
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "source")), pa.array(hit, pa.bool_()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "text_key", "source", "hit", "words"])
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, own, f = [], [], []
+        at, own, f, votes, sure = [], [], [], [], []
         for i, word in enumerate(b.column("word").to_pylist()):
-            for x in restored_forms(word):
+            forms, inner = restored_forms(word), inside().in_word(word)
+            for x, v in forms.items():
                 at.append(i)
                 own.append(bare(word))
                 f.append(x)
+                votes.append(v)
+                sure.append(inner)
         rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("word", "n", "docs", "top")), pa.array(own, pa.string()), pa.array(f, pa.string())], names=["word", "n", "docs", "top", "own", "fixed"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("word", "n", "docs", "top")), pa.array(own, pa.string()), pa.array(f, pa.string()), pa.array(votes, pa.int32()), pa.array(sure, pa.bool_())], names=["word", "n", "docs", "top", "own", "fixed", "votes", "sure"])
 
 
 def _bare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,11 +388,16 @@ def garbled_words(scanned: DataFrame) -> DataFrame:
     """
     once = scanned.where(F.size("words") > 0).groupBy("text_key").agg(F.min("source").alias("source"), F.first("words").alias("words"), F.count("*").alias("copies"))
     by_source = once.select("source", "copies", F.explode("words").alias("word")).groupBy("word", "source").agg(F.count("*").alias("n"), F.sum("copies").alias("docs"))
+    # Distinct words are few bytes and much work, so they are spread over all cores, whatever their size.
+    parts = 2 * scanned.sparkSession.sparkContext.defaultParallelism
     # A text without a source belongs to none that could be left out.
-    counts = by_source.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("source", F.struct("n", "source")).alias("top"))
+    counts = by_source.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("source", F.struct("n", "source")).alias("top"))
     known = by_source.mapInArrow(_bare_words, "fixed string, source string, n long, docs long").groupBy("fixed", "source").agg(F.sum("n").alias("m"), F.sum("docs").alias("m_docs"))
     common = known.groupBy("fixed").agg(F.sum("m").alias("m"), F.sum("m_docs").alias("m_docs")).where(F.col("m_docs") >= LEAST)
-    forms = counts.mapInArrow(_forms, "word string, n long, docs long, top string, own string, fixed string").join(common, "fixed")
+    every = counts.mapInArrow(_forms, "word string, n long, docs long, top string, own string, fixed string, votes int, sure boolean").join(common, "fixed", "left")
+    # A word with a sign in its middle is garbled in any case: of its forms the most frequent counts, and of unknown ones that of most pairs.
+    sure = every.where("sure").groupBy("word").agg(F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "votes", "fixed")).alias("b")).select("word", "b.fixed", "b.m")
+    forms = every.where("m is not null and not sure")
     # Documents tell where texts are too few to, but copies of the restored form must not outweigh more texts with the other.
     rare = ((F.col("m") >= LEAST) & (F.col("m") >= RATIO * F.col("n"))) | ((F.col("m_docs") >= RATIO * F.col("docs")) & (F.col("m") >= F.col("n")))
     frequent = forms.where(rare).select("word", "fixed", "m")
@@ -352,7 +414,7 @@ def garbled_words(scanned: DataFrame) -> DataFrame:
     weight = F.log(F.coalesce("k", F.lit(0)) - F.coalesce("inside", F.lit(0)) + 0.5)
     mean = lambda side: F.avg(F.when(F.col("side") == side, weight))
     likelier = told.groupBy("word", "fixed", "m").agg((mean(1) - mean(-1)).alias("gain")).where(F.col("gain") >= float(math.log(RATIO))).select("word", "fixed", "m")
-    return frequent.unionByName(likelier).groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
+    return frequent.unionByName(likelier).unionByName(sure).groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
 
 
 def _scanned(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -383,7 +445,7 @@ def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
         for b in batches:
             ids, texts = [], []
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("swaps").to_pylist()):
-                new = repair_sequences(t)[0]
+                new = inside().restored(repair_sequences(t)[0])
                 if s:
                     pairs = dict(s)
                     new = _WORD.sub(lambda m: _keep_edges(m[0], pairs[m[0]]) if m[0] in pairs else m[0], new)
@@ -392,7 +454,8 @@ def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
                     texts.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "restored"])
 
-    touched = scanned.where("hit").select("doc_id").distinct().join(swaps, "doc_id", "full")
+    touched = ws.keep(scanned.where("hit").select("doc_id").distinct().join(swaps, "doc_id", "full"))
+    ws.drop(scanned, bad)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(touched, "doc_id").mapInArrow(run, "doc_id long, restored string")
 

@@ -46,7 +46,32 @@ def test_lost_characters_are_found():
 
 
 def test_restored_forms():
-    assert "přišla" in restored_forms("pøi¹la") and "голос" in restored_forms("ЦНКНЯ") and "się" in restored_forms("siê") and restored_forms("né") == []
+    assert "přišla" in restored_forms("pøi¹la") and "голос" in restored_forms("ЦНКНЯ") and "się" in restored_forms("siê") and not restored_forms("né")
+
+
+def test_signs_inside_words_are_restored(spark):
+    texts = ["Zwei h\u201dren das p£blico ®la prima parte che non finisce¯ um 45ø", "Größe", "cinq ‚coles, deux p‚riodes", "x" * 70 + "®a " + "b " * 90 + "c¯"]
+    fixed = {r.doc_id: r.restored for r in restored_documents(docs(spark, texts), Workspace(spark, "t")).collect()}
+    assert fixed[0] == "Zwei hören das público «la prima parte che non finisce» um 45°" and 1 not in fixed and "périodes" in fixed[2] and fixed[3].endswith("c»")
+
+
+def test_texts_garbled_many_times():
+    text = "naïve…"
+    for _ in range(6):
+        text = text.encode().decode("latin-1")
+    assert repair_sequences("ok " + text) == ("ok naïve…", True)
+
+
+def test_texts_that_the_prefilter_passes_over_have_no_evidence():
+    import random
+
+    from metrolith.llm.mojibake import automaton
+
+    auto, rnd = automaton(), random.Random(1)
+    pool = [c for t in CLEAN for c in t[:60]] + [t.encode().decode("cp1252", "replace") for t in ("déjà", "größe", "“x”", "смысл", "…")] + ["Ã", "©", "â", "€", "Р", "С"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(pool) for _ in range(12))
+        assert auto.may.search(text) or not auto.matches(text), text
 
 
 def test_long_words_count():
