@@ -58,6 +58,8 @@ _WORD = re.compile(r"[^\s\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: Signs that stand between lower-case letters in clean text, besides dashes, quotes, blanks, numerals and signs of mathematics.
 _AMID = "…•·©®™°§¶˜´`^¨¯¸"
+#: í in UTF-8 is Ã and a soft hyphen, which is easily lost.
+_LONE = re.compile("(?<=[a-z])Ã(?=[a-z])")
 #: Length of a text is no limit to a quotation, but a line is.
 _QUOTED = "[^\n{0}]*"
 
@@ -90,15 +92,17 @@ def _alphabet() -> list[str]:
     return chars + [c for c in map(chr, range(0x4E00, 0xA000)) if _bytes_of(c, "shift_jis")]
 
 
-#: Kinds of evidence in a match: sure; sure inside a word only; only in a run of its like.
-SURE, INSIDE, RUN = 0, 1, 2
+#: Kinds of evidence in a match: sure; sure inside a word only; only in a run of its like; sure after a small letter; sure inside a word or after a figure.
+SURE, INSIDE, RUN, MARK, FIGURE = 0, 1, 2, 3, 4
 
 
 def _kind(seq: str, enc: str, original: str) -> int:
     if any("\x80" <= c <= "\x9f" for c in seq):
         return SURE
     if all("─" <= c <= "▟" for c in seq):
-        return RUN if seq[0] in "╨╤" else INSIDE
+        return RUN if seq[0] in "╨╤" else FIGURE if original in "°ºª²³½¼¾" else INSIDE
+    if unicodedata.combining(original) and all(unicodedata.category(c)[0] == "L" for c in seq) and unicodedata.category(seq[0]) == "Lu":
+        return MARK
     if all(unicodedata.category(c)[0] == "L" for c in seq):
         if len(seq) == 2 and seq[0] in "ÂÃÄÅ" and enc in ("cp1252", "latin-1"):
             return SURE
@@ -165,7 +169,11 @@ class _Automaton:
                 before, after = text[s - 1 : s], text[e : e + 1]
                 if kind == SURE:
                     keep.append(h)
-                elif kind == INSIDE and (sure or (before.isalpha() and (before.islower() or not before.isascii())) or after.isalpha()):
+                elif kind == MARK and (sure or "a" <= before <= "z"):
+                    keep.append(h)
+                elif kind == FIGURE and before.isdigit():
+                    keep.append(h)
+                elif kind in (INSIDE, FIGURE) and (sure or (before.isalpha() and (before.islower() or not before.isascii())) or after.isalpha()):
                     keep.append(h)
                 elif kind == RUN and not japanese and text[s] >= "Ͱ" and ((before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha())):
                     keep.append(h)  # letters of two scripts in one word
@@ -262,9 +270,11 @@ class _Inside:
                 quotes.add(pair)
         group = lambda xs: "[" + "".join(map(re.escape, sorted(xs))) + "]"
         self.letter = re.compile(f"(?<=[A-Za-z]){group(letters)}(?=[a-z])")
+        # These are the first halves of UTF-8 letters; a lone one is what a soft hyphen that got lost has left.
+        self.own = re.compile(f"(?<=[A-Za-z]){group(letters - set('ÂÃ'))}(?=[a-z])")
         self.closing = re.compile(f"(?<=[A-Za-z]){group(closing)}(?=[a-z])")
         self.degree = re.compile(f"(?<=[0-9]){group(degree)}(?!\\w)")
-        self.quotes = [re.compile(f"{re.escape(o)}(?=[^\\s])({_QUOTED.format(re.escape(o + c))}[^\\s]){re.escape(c)}") for o, c in sorted(quotes)]
+        self.quotes = [re.compile(f"{re.escape(o)}(?=\\w)({_QUOTED.format(re.escape(o + c))}[\\w.!?…’]){re.escape(c)}(?![\\w\\\\])") for o, c in sorted(quotes)]
 
     def found(self, text: str) -> bool:
         if self.letter.search(text) or self.degree.search(text) or any(q.search(text) for q in self.quotes):
@@ -273,10 +283,10 @@ class _Inside:
         return bool(self.closing.search(text)) and text.count("”") > text.count("“") + text.count("„")
 
     def in_word(self, word: str) -> bool:
-        return bool(self.letter.search(word) or self.closing.search(word))
+        return bool(self.own.search(word) or self.closing.search(word))
 
     def restored(self, text: str) -> str:
-        text = self.degree.sub("°", text)
+        text = _LONE.sub("í", self.degree.sub("°", text))
         for q in self.quotes:
             text = q.sub(r"«\1»", text)
         return text

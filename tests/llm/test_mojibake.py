@@ -1,6 +1,6 @@
 import pytest
 
-from metrolith.llm.mojibake import garbled_documents, inside_evidence, repair_sequences, restored_documents, restored_forms, words_of
+from metrolith.llm.mojibake import garbled_documents, inside, inside_evidence, repair_sequences, restored_documents, restored_forms, words_of
 from metrolith.session import Workspace
 
 CLEAN = [
@@ -55,6 +55,16 @@ def test_signs_inside_words_are_restored(spark):
     assert fixed[0] == "Zwei hören das público «la prima parte che non finisce» um 45°" and 1 not in fixed and "périodes" in fixed[2] and fixed[3].endswith("c»")
 
 
+def test_marks_figures_and_lost_hyphens():
+    import unicodedata
+
+    text = unicodedata.normalize("NFD", "a segunda gravação repete")
+    assert repair_sequences(text.encode().decode("mac-roman")) == (text, True)
+    assert repair_sequences("keep the 45° copy".encode().decode("cp437")) == ("keep the 45° copy", True)
+    assert inside().restored("padrões rÃtmicos") == "padrões rítmicos" and inside_evidence("rÃtmicos")
+    assert inside().restored("®休み ¯\\_(ツ)_/¯") == "®休み ¯\\_(ツ)_/¯" and not inside_evidence("SEÇÃO ÃÉ ®x /¯")
+
+
 def test_texts_garbled_many_times():
     text = "naïve…"
     for _ in range(6):
