@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +89,21 @@ def mixture_likelihood(frames: DataFrame, gmm: DataFrame) -> DataFrame:
     """file_id, frame, pattern, cell, lik of (file_id, frame, dim, value) under mixtures (pattern, cell, dim, comp, weight, mean, var).
 
     The likelihood is computed per cell, not per state: states share their cell's mixture.
-    Features count as independent. The mixtures are a model's, a few thousand rows.
+    Features count as independent; it is 0 where one is missing or NaN. The mixtures are a model's, a few thousand rows, and
+    become one row a cell, so that a frame meets each of them once and nothing is shuffled or summed up afterwards.
     """
-    density = F.coalesce(F.when(~F.isnan("value"), gaussian(F.col("value"), F.col("mean"), F.col("var")) * F.col("weight")), F.lit(0.0))
-    per_dim = frames.join(F.broadcast(gmm), "dim").groupBy("file_id", "frame", "pattern", "cell", "dim").agg(F.sum(density).alias("d"))
-    return per_dim.groupBy("file_id", "frame", "pattern", "cell").agg(F.product("d").alias("lik"))
+    parts: dict[tuple, dict[int, list]] = {}
+    for r in gmm.collect():
+        parts.setdefault((r.pattern, r.cell), {}).setdefault(r.dim, []).append((float(r.weight), float(r.mean), float(r["var"])))
+    dims = sorted({d for x in parts.values() for d in x})
+    most = max((len(c) for x in parts.values() for c in x.values()), default=0)
+    rows = [(p, c, [k for d in dims for k in (x.get(d, []) + [(0.0, 0.0, 1.0)] * most)[:most]]) for (p, c), x in sorted(parts.items())]
+    table = frames.sparkSession.createDataFrame(rows, "pattern int, cell int, m array<struct<w: double, m: double, v: double>>")
+    lik = F.lit(1.0)
+    for i in range(len(dims)):
+        each = [F.col("m")[i * most + k] for k in range(most)]
+        lik = lik * sum((gaussian(F.col("x")[i], e["m"], e["v"]) * e["w"] for e in each), F.lit(0.0))
+    return feature_vectors(frames, dims).crossJoin(F.broadcast(table)).select("file_id", "frame", "pattern", "cell", F.coalesce(lik, F.lit(0.0)).alias("lik"))
 
 
 def feature_vectors(frames: DataFrame, dims: list[int]) -> DataFrame:
@@ -201,21 +212,93 @@ def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> D
     return vectors.sparkSession.createDataFrame(named.collect(), named.schema)
 
 
+@dataclass
+class Mixtures:
+    """Likelihood columns of vectors under mixtures with full covariance: of component k, mean, inverse covariance, scale and column; 0 for vectors with NaN."""
+
+    mean: np.ndarray
+    inv: np.ndarray
+    scale: np.ndarray
+    column: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, gmm: DataFrame, column: Callable[[int, int], int], width: int) -> Mixtures:
+        """From the table of ``fit_joint_mixtures``; ``column(pattern, cell)`` counts from 0."""
+        rows = [r for r in gmm.collect() if r.weight > 0]
+        rows.sort(key=lambda r: column(r.pattern, r.cell))
+        d = len(rows[0].mean) if rows else 1
+        cov = np.array([r.cov for r in rows]).reshape(-1, d, d)
+        scale = np.log([r.weight for r in rows]) - 0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1])
+        return cls(np.array([r.mean for r in rows]).reshape(-1, d), np.linalg.inv(cov), scale, np.array([column(r.pattern, r.cell) for r in rows], int), width)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.width))
+        if len(self.column):
+            e = np.nan_to_num(x)[:, None, :] - self.mean
+            p = np.exp(self.scale - 0.5 * np.einsum("mki,kij,mkj->mk", e, self.inv, e))
+            first = np.flatnonzero(np.r_[True, self.column[1:] != self.column[:-1]])
+            out[:, self.column[first]] = np.add.reduceat(p, first, axis=1)
+            out[np.isnan(x).any(axis=1)] = 0.0
+        return out
+
+
+@dataclass
+class Activations:
+    """Likelihood columns of activations in 0 to 1: the value for a pattern's first cell, the rest shared by its others; ``width`` columns, 0 for cells that a pattern has not."""
+
+    first: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def of(cls, cells: list[int], most: int, extra: int = 0) -> Activations:
+        first, share = np.zeros(len(cells) * most + extra), np.zeros(len(cells) * most + extra)
+        for i, n in enumerate(cells):
+            first[i * most] = 1.0
+            share[i * most + 1 : i * most + n] = 1.0 / max(n - 1, 1)
+        return cls(first, share)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        v = np.nan_to_num(x[:, :1])
+        return np.where(np.isnan(x[:, :1]), 0.0, v * self.first + (1.0 - v) * self.share)
+
+
+def likelihood_arrays(vectors: DataFrame, columns) -> DataFrame:
+    """file_id, frame, lik: all likelihood columns of (file_id, frame, x), row by row, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for lo in range(0, len(x), 4096):
+                lik = columns(x[lo : lo + 4096])
+                at = pa.array(np.arange(len(lik) + 1, dtype=np.int32) * lik.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column("file_id").slice(lo, len(lik)), b.column("frame").slice(lo, len(lik)), pa.ListArray.from_arrays(at, pa.array(lik.ravel()))], names=["file_id", "frame", "lik"])
+
+    return vectors.select(F.col("file_id").cast("long").alias("file_id"), F.col("frame").cast("long").alias("frame"), "x").mapInArrow(run, "file_id long, frame long, lik array<double>")
+
+
 def joint_likelihood(frames: DataFrame, gmm: DataFrame) -> DataFrame:
-    """file_id, frame, pattern, cell, lik of (file_id, frame, dim, value) under the mixtures of ``fit_joint_mixtures``; 0 where a feature is missing or NaN."""
-    rows, dims = [], None
+    """file_id, frame, pattern, cell, lik of (file_id, frame, dim, value) under the mixtures of ``fit_joint_mixtures``; 0 where a feature is missing or NaN.
+
+    A cell's mixture is one row of a model table; a frame meets each of them once.
+    """
+    parts: dict[tuple, list] = {}
+    dims: list[int] = []
     for r in gmm.collect():
-        dims, d = r.dims, len(r.dims)
+        dims, d = list(r.dims), len(r.dims)
         if r.weight > 0:
             cov = np.array(r.cov).reshape(d, d)
             scale = math.log(r.weight) - 0.5 * (d * math.log(2 * math.pi) + float(np.linalg.slogdet(cov)[1]))
-            rows.append((r.pattern, r.cell, r.mean, np.linalg.inv(cov).ravel().tolist(), scale))
-    table = frames.sparkSession.createDataFrame(rows, "pattern int, cell int, mean array<double>, inv array<double>, scale double")
-    d = len(dims or [])
-    e = [F.col("x")[i] - F.col("mean")[i] for i in range(d)]
-    form = sum((e[i] * F.col("inv")[i * d + j] * e[j] for i in range(d) for j in range(d)), F.lit(0.0))
-    lik = F.coalesce(F.exp(F.col("scale") - 0.5 * form), F.lit(0.0))
-    return feature_vectors(frames, list(dims or [])).crossJoin(F.broadcast(table)).groupBy("file_id", "frame", "pattern", "cell").agg(F.sum(lik).alias("lik"))
+            parts.setdefault((r.pattern, r.cell), []).append((list(r.mean), np.linalg.inv(cov).ravel().tolist(), scale))
+    most, d = max(map(len, parts.values()), default=0), len(dims)
+    rows = [(p, c, k + [([0.0] * d, [0.0] * d * d, float("-inf"))] * (most - len(k))) for (p, c), k in sorted(parts.items())]
+    table = frames.sparkSession.createDataFrame(rows, "pattern int, cell int, m array<struct<mean: array<double>, inv: array<double>, scale: double>>")
+    lik = F.lit(0.0)
+    for k in range(most):
+        e = [F.col("x")[i] - F.col("m")[k]["mean"][i] for i in range(d)]
+        form = sum((e[i] * F.col("m")[k]["inv"][i * d + j] * e[j] for i in range(d) for j in range(d)), F.lit(0.0))
+        lik = lik + F.exp(F.col("m")[k]["scale"] - 0.5 * form)
+    return feature_vectors(frames, dims).crossJoin(F.broadcast(table)).select("file_id", "frame", "pattern", "cell", F.coalesce(lik, F.lit(0.0)).alias("lik"))
 
 
 def activation_likelihood(frames: DataFrame, cells: DataFrame) -> DataFrame:

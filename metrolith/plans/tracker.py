@@ -15,6 +15,7 @@ from metrolith.operators import particles as pf
 from metrolith.operators import patterns as pt
 from metrolith.operators import results as rs
 from metrolith.operators import tempo as tm
+from metrolith.operators.decode import Columns
 from metrolith.plans import statespace as ss
 from metrolith.plans import transitions as tr
 
@@ -101,27 +102,24 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
     return Tables(_fixed(patterns), _fixed(pr), gmm, quiet)
 
 
-def likelihood_arrays(lik: DataFrame, n_patterns: int, max_cells: int, extra: int = 0) -> DataFrame:
-    """file_id, frame, lik: likelihoods of all cells, pattern by pattern; 0 for cells that a pattern has not. ``extra`` columns follow, as cells of one more pattern."""
-    at = ((F.col("pattern") - 1) * max_cells + F.col("cell")).cast("int")
-    m = lik.groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), "lik"))).alias("m"))
-    return m.select("file_id", "frame", F.transform(F.sequence(F.lit(1), F.lit(n_patterns * max_cells + extra)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("lik"))
+def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, Columns, int]:
+    """(file_id, frame, x) of frames, what makes likelihood columns of x, and the cells of the longest pattern. Activations come as dim 1.
 
-
-def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, int]:
-    """Likelihood arrays of frames, and the cells of the longest pattern. Activations come as dim 1."""
-    cells = ob.beats_in_cells(t.patterns, p.whole_note_div)
-    most, count = cells.agg(F.max("cells"), F.count("*")).first()
+    The columns are those of all cells, pattern by pattern, and one of silence after them.
+    """
+    rows = ob.beats_in_cells(t.patterns, p.whole_note_div).orderBy("pattern").collect()
+    most, count, extra = max(r.cells for r in rows), len(rows), int(p.use_silence_state)
     if p.observation_model == "RNN":
-        lik = ob.activation_likelihood(frames.where("dim = 1").select("file_id", "frame", F.col("value").alias("x")), cells)
-    else:
-        gmm = t.gmm
-        if p.use_silence_state:
-            if t.silence is None:
-                raise ValueError("a silence state needs frames of silence in training")
-            gmm = gmm.unionByName(t.silence.withColumns({"pattern": F.lit(count + 1), "cell": F.lit(1)}).select(gmm.columns))
-        lik = ob.joint_likelihood(frames, gmm)
-    return likelihood_arrays(lik, count, most, int(p.use_silence_state)), most
+        x = frames.where("dim = 1").select("file_id", "frame", F.array(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))).alias("x"))
+        return x, ob.Activations.of([r.cells for r in rows], most, extra), most
+    gmm = t.gmm
+    if p.use_silence_state:
+        if t.silence is None:
+            raise ValueError("a silence state needs frames of silence in training")
+        gmm = gmm.unionByName(t.silence.withColumns({"pattern": F.lit(count + 1), "cell": F.lit(1)}).select(gmm.columns))
+    dims = list(gmm.first()["dims"])
+    x = ob.feature_vectors(frames, dims).select("file_id", "frame", F.coalesce("x", F.array(*[F.lit(float("nan"))] * len(dims))).alias("x"))
+    return x, ob.Mixtures.of(gmm, lambda pattern, cell: (pattern - 1) * most + cell - 1, count * most + extra), most
 
 
 def hidden_model(t: Tables, p: Params, max_cells: int) -> tuple[dc.Model, DataFrame]:
@@ -147,17 +145,17 @@ def hidden_model(t: Tables, p: Params, max_cells: int) -> tuple[dc.Model, DataFr
 
 def decode(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, DataFrame]:
     """Beats (file_id, frame, t, beat_no) and the path (file_id, frame, pattern, position, bpm, n_beats, bar, num, den)."""
-    lik, most = observe(frames, t, p)
+    seen, columns, most = observe(frames, t, p)
     if p.inference_method == "PF":
         rows = t.patterns.orderBy("pattern").collect()
         pr = [[0.0] * len(rows) for _ in rows]
         for r in t.pr.collect():
             pr[r.i - 1][r.j - 1] = r.p
         pointer = pf.BarPointer.of(rows, pr, p.whole_note_div, p.frame_length)
-        path = pf.particle_paths(lik, pointer, p).join(F.broadcast(t.patterns.select("pattern", "n_beats", "bar", "num", "den")), "pattern")
+        path = pf.particle_paths(seen, pointer, p, columns).join(F.broadcast(t.patterns.select("pattern", "n_beats", "bar", "num", "den")), "pattern")
     else:
         model, states = hidden_model(t, p, most)
-        states_of = dc.viterbi_paths(lik, model) if p.inference_method == "HMM_viterbi" else dc.forward_best(lik, model).drop("p")
+        states_of = dc.viterbi_paths(seen, model, columns) if p.inference_method == "HMM_viterbi" else dc.forward_best(seen, model, columns).drop("p")
         path = rs.decoded_states(states_of, states, t.patterns)
     beats = rs.beat_times(path, p.frame_length, p.frame_shift)
     if p.correct_beats:

@@ -146,18 +146,18 @@ def decode_full(spark, d):
 
 
 def decode_constrained(spark, d):
-    """Best paths with every third frame held to the first beat of a bar."""
-    lik, most = tracker.observe(_activations(spark, d), _tables(spark), _PARAMS)
+    """Best paths with every thirtieth frame, from the first, held to the first beat of a bar."""
+    seen, columns, most = tracker.observe(_activations(spark, d), _tables(spark), _PARAMS)
     model, states = tracker.hidden_model(_tables(spark), _PARAMS, most)
     first = states.where("pos_idx = 0").select("state")
-    return dc.constrained_paths(lik, model, lik.where("frame % 30 = 1").select("file_id", "frame").crossJoin(F.broadcast(first)))
+    return dc.constrained_paths(seen, model, seen.where("frame % 30 = 1").select("file_id", "frame").crossJoin(F.broadcast(first)), columns)
 
 
 def particle_filter(spark, d):
-    lik, _ = tracker.observe(_activations(spark, d), _tables(spark), _PARAMS)
+    seen, columns, _ = tracker.observe(_activations(spark, d), _tables(spark), _PARAMS)
     rows = _tables(spark).patterns.orderBy("pattern").collect()
     pointer = pf.BarPointer.of(rows, [[0.9, 0.1], [0.1, 0.9]], 16, 0.1)
-    return pf.particle_paths(lik, pointer, _PARAMS).select("file_id", "frame", F.round("position", 6).alias("position"), F.round("bpm", 6).alias("bpm"), "pattern")
+    return pf.particle_paths(seen, pointer, _PARAMS, columns).select("file_id", "frame", F.round("position", 6).alias("position"), F.round("bpm", 6).alias("bpm"), "pattern")
 
 
 def _d(v: float) -> str:

@@ -84,7 +84,8 @@ def test_viterbi_against_all_paths():
                     best, path = p, seq
         assert dc.viterbi(m, lik).tolist() == list(path)
         # Decoding in blocks gives the same path.
-        assert dc.viterbi(m, lik, limit=n * 8).tolist() == list(path)
+        assert dc.viterbi(m, lik, limit=n * 4).tolist() == list(path)
+        assert [p.tolist() for p in dc.viterbi_together(m, [lik, lik[:1], lik[:1]])][0] == list(path)
 
 
 def test_forward_against_matrix_product():
@@ -98,14 +99,51 @@ def test_forward_against_matrix_product():
         assert np.allclose(row, x)
 
 
+def test_lockstep_is_the_same_as_one_by_one():
+    rng = np.random.default_rng(6)
+    _, m = random_model(rng, 6)
+    series = sorted((rng.random((int(t), 6)) for t in rng.integers(0, 40, 30)), key=lambda x: -len(x))
+    series[3][2] = 0.0
+    held = [{int(i): rng.choice(6, 2, replace=False) for i in rng.integers(0, 40, 3) if i < len(x)} for x in series]
+    for x, h, got in zip(series, held, dc.viterbi_together(m, series, held)):
+        assert got.tolist() == dc.viterbi(m, x, h).tolist() == dc.viterbi(m, x, h, limit=48).tolist()
+
+
+def test_long_series_lie_in_files_and_decode_in_blocks(spark):
+    from metrolith.functions.streams import read_series
+
+    rng = np.random.default_rng(7)
+    _, m = random_model(rng, 3)
+    x = rng.random((5000, 3))
+    df = spark.createDataFrame([(1, i + 1, v.tolist()) for i, v in enumerate(x)] + [(2, 1, [0.2, 0.3, 0.4])], "file_id long, frame long, lik array<double>")
+    want = dc.viterbi(m, x) + 1
+    for kw in ({}, {"limit": 3 * 2 * 97}):
+        got = {(r.file_id, r.frame): r.state for r in dc.viterbi_paths(df.repartition(5), m, **kw).collect()}
+        assert len(got) == 5001 and [got[1, i + 1] for i in range(5000)] == want.tolist()
+    batches = df.where("file_id = 1").orderBy("frame").toArrow().to_batches(700)
+    (s,) = read_series(iter(batches), "lik", held=100)
+    assert isinstance(s.x, np.memmap) and np.array_equal(s.x, x) and s.frames[-1] == 5000
+
+
+def test_beats_reach_the_kernel_as_beats(spark):
+    p = ss.make_patterns(spark, [(1, 3, 4, 3, 0.75, 60.0, 120.0), (2, 4, 4, 4, 1.0, 60.0, 120.0)])
+    states = ss.states_2015(p, 0.1)
+    pr = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (2, 1, 0.1), (2, 2, 0.9)], "i int, j int, p double")
+    model = dc.model_from_tables(tr.transitions_2015(states, pr), ss.initial_distribution(states), ss.state_cells(states, 16, 16))
+    rng = np.random.default_rng(8)
+    frames = spark.createDataFrame([(f, i + 1, rng.random(32).tolist()) for f in (1, 2) for i in range(80)], "file_id long, frame long, lik array<double>")
+    beats = spark.createDataFrame([(f, k + 1, 0.35 + 0.7 * k, k % 4 + 1) for f in (1, 2) for k in range(11)], "file_id long, beat_idx long, t double, beat_no long")
+    for kind in ("beats", "downbeats"):
+        a = dc.constrained_paths(frames, model, dc.constraint_states(beats, states, 0.1, kind)).orderBy("file_id", "frame").collect()
+        assert a == dc.beat_constrained_paths(frames, model, states, beats, 0.1, kind).orderBy("file_id", "frame").collect()
+
+
 def test_viterbi_edge_cases():
     rng = np.random.default_rng(5)
     _, m = random_model(rng, 3)
     assert dc.viterbi(m, np.zeros((0, 3))).tolist() == []
     assert len(dc.viterbi(m, np.zeros((4, 3)))) == 4
-    allowed = np.ones((4, 3), bool)
-    allowed[2] = [False, False, True]
-    assert dc.viterbi(m, rng.random((4, 3)), allowed)[2] == 2
+    assert dc.viterbi(m, rng.random((4, 3)), {2: np.array([2])})[2] == 2
     four = dc.Model(np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]), np.ones(4), np.array([0.5, 0, 0.5, 0]), np.array([0, 0, 1, 1]))
     lik = np.array([[0.7, 0.3], [0.2, 0.8], [0.7, 0.3], [0.9, 0.1]])
     assert dc.viterbi(four, lik).tolist() == [1, 0, 1, 0]

@@ -146,11 +146,13 @@ def test_silence(spark, clicks):
     assert path.agg(F.min("frame")).first()[0] > 90
     first = beats.agg(F.min("t"), F.count("*")).first()
     assert first[0] > 4.5 and first[1] >= 34
-    lik, most = tracker.observe(late, t, q)
+    seen, columns, most = tracker.observe(late, t, q)
     model, _ = tracker.hidden_model(t, q, most)
     from metrolith.operators.decode import model_faults
 
-    assert model_faults(model, len(lik.first().lik)) == [] and "likelihood columns that do not exist" in model_faults(model, 3)
+    from metrolith.operators.observation import likelihood_arrays
+
+    assert model_faults(model, len(likelihood_arrays(seen, columns).first().lik)) == [] and "likelihood columns that do not exist" in model_faults(model, 3)
     with pytest.raises(ValueError):
         tracker.observe(late, tracker.Tables(t.patterns, t.pr, t.gmm), q)
 
@@ -165,6 +167,40 @@ def test_systematic_draws():
     assert len(pf.draw(np.zeros(5), 5, 0.5)) == 5
 
 
+def test_particles_do_not_depend_on_company_or_pruning():
+    from metrolith.functions.streams import Series
+
+    b = pf.BarPointer(np.array([0.75, 1.0]), np.array([3, 4]), np.array([0.01, 0.01]), np.array([0.02, 0.03]), np.array([12, 16]), np.full((2, 2), 0.5), 0.02)
+    rng = np.random.default_rng(3)
+    series = [Series(f, np.arange(1, t + 1), rng.random((t, 32)) ** 4) for f, t in ((7, 300), (3, 120), (9, 40), (1, 1))]
+    for scheme in range(4):
+        q = Params(n_particles=60, resampling_scheme=scheme, res_int=7, ratio_neff=0.5)
+        together = pf.particle_lines(b, series, q)
+        for s, got in zip(series, together):
+            (alone,) = pf.particle_lines(b, [s], q, kept=28 * 60 * 40)
+            for x, y in zip(got, alone):
+                assert np.array_equal(x, y) and len(x) == len(s)
+        m, v, r = together[0]
+        assert (v >= b.slow[r]).all() and (v <= b.fast[r]).all() and (m >= 1).all() and (m <= 1 + b.bar[r]).all()
+
+
+def test_groups_are_drawn_by_their_shares():
+    rng = np.random.default_rng(4)
+    g, w = rng.integers(0, 5, 400), np.log(rng.random(400))
+    w[g == 2] = -np.inf
+    q = Params(n_particles=400, n_max_clusters=3)
+    index, new = pf.resample_groups(g, w - np.log(np.exp(w).sum()), q, None, rng.random(3))
+    kept = np.unique(g[index])
+    heavy = sorted(range(5), key=lambda i: -np.exp(w[g == i]).sum())[:3]
+    assert kept.tolist() == sorted(heavy) and all(abs((g[index] == k).sum() - 400 / 3) < 1 for k in kept)
+    for k in kept:
+        share = np.exp(w[g == k]).sum() / np.exp(w).sum()
+        assert abs(np.exp(new[g[index] == k]).sum() - share) < 1e-9
+        own = np.flatnonzero(g == k)
+        n, e = np.bincount(index, minlength=400)[own], np.exp(w[own]) / np.exp(w[own]).sum() * (g[index] == k).sum()
+        assert (np.abs(n - e) <= 1 + 1e-9).all()
+
+
 def test_start_particles():
     b = pf.BarPointer(np.array([0.75, 1.0]), np.array([3, 4]), np.array([0.01, 0.01]), np.array([0.02, 0.03]), np.array([12, 16]), np.eye(2), 0.02)
     m, v, r = pf.start_particles(b, 1000, np.random.default_rng(1))
