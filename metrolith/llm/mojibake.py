@@ -389,7 +389,7 @@ def _letter_pairs(word: str):
     return F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
 
 
-def garbled_words(scanned: DataFrame) -> DataFrame:
+def garbled_words(scanned: DataFrame, ws: Workspace) -> DataFrame:
     """word, fixed of the distinct words that one pair of encodings turns into a far more frequent one, or a far likelier one.
 
     Copies of a text count once. Where the garbled form is not rare, because a whole source or many texts have it,
@@ -404,7 +404,8 @@ def garbled_words(scanned: DataFrame) -> DataFrame:
     counts = by_source.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("source", F.struct("n", "source")).alias("top"))
     known = by_source.mapInArrow(_bare_words, "fixed string, source string, n long, docs long").groupBy("fixed", "source").agg(F.sum("n").alias("m"), F.sum("docs").alias("m_docs"))
     common = known.groupBy("fixed").agg(F.sum("m").alias("m"), F.sum("m_docs").alias("m_docs")).where(F.col("m_docs") >= LEAST)
-    every = counts.mapInArrow(_forms, "word string, n long, docs long, top string, own string, fixed string, votes int, sure boolean").join(common, "fixed", "left")
+    made = counts.mapInArrow(_forms, "word string, n long, docs long, top string, own string, fixed string, votes int, sure boolean").join(common, "fixed", "left")
+    every = ws.keep(made.where("m is not null or sure"))  # the forms are much work, and read four times
     # A word with a sign in its middle is garbled in any case: of its forms the most frequent counts, and of unknown ones that of most pairs.
     sure = every.where("sure").groupBy("word").agg(F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "votes", "fixed")).alias("b")).select("word", "b.fixed", "b.m")
     forms = every.where("m is not null and not sure")
@@ -440,7 +441,7 @@ def garbled_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     (other than NEL) is one even where nothing can be restored. Texts are searched whole.
     """
     scanned = _scanned(docs, ws)
-    bad = ws.keep(garbled_words(scanned))
+    bad = ws.keep(garbled_words(scanned, ws))
     by_word = scanned.where("not hit").select("doc_id", F.explode("words").alias("word")).join(bad, "word", "left_semi").select("doc_id")
     return ws.finish(scanned.where("hit").select("doc_id").unionByName(by_word).where("doc_id is not null").distinct())
 
@@ -448,7 +449,7 @@ def garbled_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
 def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """doc_id, restored of every document whose text changes: sequences replaced, then garbled words; all other text as it was."""
     scanned = _scanned(docs, ws)
-    bad = ws.keep(garbled_words(scanned))
+    bad = ws.keep(garbled_words(scanned, ws))
     swaps = scanned.select("doc_id", F.explode("words").alias("word")).join(bad, "word").distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("swaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +466,7 @@ def restored_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "restored"])
 
     touched = ws.keep(scanned.where("hit").select("doc_id").distinct().join(swaps, "doc_id", "full"))
-    ws.drop(scanned, bad)
+    ws.drop(*(t for t in ws.kept if t is not touched))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(touched, "doc_id").mapInArrow(run, "doc_id long, restored string")
 
