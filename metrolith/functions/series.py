@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.session import Workspace
+
 
 def event_series(events: DataFrame) -> DataFrame:
     """file_id, frame (from 1, in order of time and event), x, and the event's type and time."""
@@ -27,3 +29,19 @@ def blocked(df: DataFrame, before: int, after: int = 0, block: int = 1 << 13, ke
         spread = F.sequence(F.floor((f - 1 - after) / block), F.floor((f - 1 + before) / block))
     rows = df.withColumn("_home", home).withColumn("_block", F.explode(spread)).where("_block >= 0")
     return rows.repartition(*key, "_block"), F.col("_home") == F.col("_block")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "file_id") -> DataFrame:
+    """The rows with a number from 1 in their order: counted per range of the order and shifted by the ranges before, so that no task sees all."""
+    ws = Workspace(df.sparkSession, "numbered")
+    local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    rows = ws.keep(local)
+    sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, []
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    if not starts:
+        return rows.select(F.col("_k").alias(name), *df.columns)
+    start = F.element_at(F.create_map(*[F.lit(v) for pair in starts for v in pair]), F.col("_p"))
+    return rows.select((start + F.col("_k") + 1).cast("long").alias(name), *df.columns)

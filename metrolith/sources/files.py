@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metrolith.functions.series import numbered
 from metrolith.functions.signal import resample
 
 #: Annotation types and the extension of their files.
@@ -30,15 +31,19 @@ def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def list_files(spark: SparkSession, source: str | list[str], base: str = "") -> DataFrame:
     """file_id, path, dataset of a list of paths, a ``.lab`` file (a path a line) or a single audio file.
 
-    Ids follow the order of the distinct paths; relative paths are put under ``base``; the data set is the list's name.
+    Ids follow the list, a repeated path counts where it stands first; relative paths are put under ``base``; the data set is the list's name.
     """
     if isinstance(source, str) and source.endswith(".lab"):
-        df = text_files(spark, source).where("trim(value) <> ''").select(F.trim("value").alias("path"), F.regexp_extract("path", "([^/\\\\]+)\\.lab$", 1).alias("dataset"))
+        # Lists may be long: they are read by block, and lines keep their order in it.
+        at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+        lines = spark.read.text(source).select(F.trim("value").alias("path"), *at).where("path <> ''")
+        df = lines.select("path", F.regexp_extract("_f", "([^/\\\\]+)\\.lab(/[^/]*)?$", 1).alias("dataset"), "_f", "_b", "_i")
     else:
         paths = [source] if isinstance(source, str) else list(source)
-        df = spark.createDataFrame([(p, "") for p in paths], "path string, dataset string")
+        df = spark.createDataFrame([(p, "", "", 0, i) for i, p in enumerate(paths)], "path string, dataset string, _f string, _b long, _i long")
     full = F.when(F.col("path").rlike("^([/\\\\]|[A-Za-z]+:)"), F.col("path")).otherwise(F.concat(F.lit(base.rstrip("/") + "/" if base else ""), "path"))
-    return df.select(full.alias("path"), "dataset").distinct().select(F.row_number().over(Window.orderBy("path")).cast("long").alias("file_id"), "path", "dataset")
+    first = df.select(full.alias("path"), "dataset", F.struct("_f", "_b", "_i").alias("_at")).groupBy("path", "dataset").agg(F.min("_at").alias("_at")).select("path", "dataset", "_at.*")
+    return numbered(first, "_f", "_b", "_i").select("file_id", "path", "dataset")
 
 
 def annotation_path(path: Column, kind: str) -> Column:
@@ -130,8 +135,8 @@ def align_features(*features: DataFrame) -> DataFrame:
 
 def read_fold_lists(spark: SparkSession, folder: str) -> DataFrame:
     """path, fold of files ``<name>-fold<k>.lab``."""
-    lines = text_files(spark, f"{folder.rstrip('/')}/*-fold*.lab").where("trim(value) <> ''")
-    return lines.select(F.trim("value").alias("listed"), F.regexp_extract("path", "-fold(\\d+)\\.lab$", 1).cast("int").alias("fold"), F.monotonically_increasing_id().alias("_o")).select(F.col("listed").alias("path"), "fold")
+    lines = spark.read.text(f"{folder.rstrip('/')}/*-fold*.lab").select(F.trim("value").alias("listed"), F.col("_metadata.file_path").alias("_f")).where("listed <> ''")
+    return lines.select(F.col("listed").alias("path"), F.regexp_extract("_f", "-fold(\\d+)\\.lab(/[^/]*)?$", 1).cast("int").alias("fold"))
 
 
 def read_wav(spark: SparkSession, path: str, rate: int = 44100) -> DataFrame:
