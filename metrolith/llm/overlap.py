@@ -134,7 +134,7 @@ def aligned(a: str, b: str, limit: int = 2 * SLIPS) -> int | None:
 def chained(a: str, b: str, seeds: list[tuple[int, int, int]], limit: int) -> tuple[int, int] | None:
     """(slips, seeds of the chain) of two names: the longest chain of seeds that ascend in both, extended by aligning what lies between them.
 
-    A chain may go astray where a run occurs twice, so names that it parts are aligned whole.
+    A chain may go astray where a run occurs twice, so names that it does not explain without slips are aligned whole as well.
     """
     seeds = sorted(set(seeds))
     best: list[tuple[int, int]] = []  # length of the chain that ends here, and the seed before
@@ -157,10 +157,10 @@ def chained(a: str, b: str, seeds: list[tuple[int, int, int]], limit: int) -> tu
             total = limit + 1
             break
         total, ea, eb = total + part, x + k, y + k
-    if total > limit:
-        whole = aligned(a, b, limit)
-        return None if whole is None else (whole, len(chain))
-    return total, len(chain)
+    if total:
+        whole = aligned(a, b, min(total - 1, limit))
+        total = total if whole is None else whole
+    return None if total > limit else (total, len(chain))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

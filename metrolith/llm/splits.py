@@ -91,7 +91,7 @@ def related_files(files: DataFrame, bars: DataFrame, ws: Workspace, local_limit:
     return ws.finish(connected_components(related_edges(files, bars), ws, local_limit).select(F.col("node").alias("file_id"), F.col("component").alias("group_file_id")))
 
 
-def _labels(files: DataFrame, meters: DataFrame) -> DataFrame:
+def file_labels(files: DataFrame, meters: DataFrame) -> DataFrame:
     """Labels to keep in proportion: a file's data set (so that files are, too), and the meters of all its sections (1 to 32), each once. Bars come on top, by number."""
     ds = files.select("file_id", F.concat(F.lit("dataset="), F.coalesce(F.lower(F.trim(F.col("dataset").cast("string"))), F.lit("?"))).alias("label"))
     each = meters.where("file_id is not null and num between 1 and 32").select("file_id", "num").distinct()
@@ -181,7 +181,7 @@ def assign_splits(files: DataFrame, bars: DataFrame, meters: DataFrame, ws: Work
     listed = files.where("file_id is not null").withColumn("file_id", F.col("file_id").cast("long")).dropDuplicates(["file_id"])
     groups = related_files(files, bars, ws)
     member = ws.keep(listed.join(groups, "file_id", "left").select("file_id", F.coalesce("group_file_id", "file_id").alias("component"), "dataset"))
-    labelled = _labels(member, meters).join(member.select("file_id", "component"), "file_id").groupBy("component", "label").agg(F.count("*").alias("n"))
+    labelled = file_labels(member, meters).join(member.select("file_id", "component"), "file_id").groupBy("component", "label").agg(F.count("*").alias("n"))
     with_bars = bars.where("bar2file is not null").select(F.col("bar2file").cast("long").alias("file_id"), "bar_id").distinct().join(member.select("file_id", "component"), "file_id").groupBy("component").agg(F.lit(BARS).alias("label"), F.count("*").alias("n"))
     vectors = ws.keep(labelled.unionByName(with_bars))
     totals = ws.keep(vectors.groupBy("label").agg(F.sum("n").alias("total")))
