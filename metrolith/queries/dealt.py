@@ -69,7 +69,24 @@ v AS (SELECT *, CASE WHEN s IS NULL THEN 'columns' WHEN NOT paired THEN 'quoting
   WHEN ann_type = 'beats' AND NOT regexp_full_match(s, '{_either(_T)}\t{_either(_B)}') THEN 'value' WHEN ann_type <> 'beats' AND NOT regexp_full_match(s, '{_either(_N)}(/{_either(_N)})?') THEN 'value' END AS reason,
   replace(s, '"', '') AS bare FROM f)"""
 
+#: Cases told without a filter: a beat is stray when none of three beats on either side, at the median period of nine advances there, agrees with it.
+_SIDES = ", ".join(f"abs(t - lag(t, {k}) OVER w - (i - lag(i, {k}) OVER w) * pp) <= 0.25 * pp AS c{k}, abs(lead(t, {k}) OVER w - t - (lead(i, {k}) OVER w - i) * pn) <= 0.25 * pn AS d{k}" for k in (1, 2, 3))
+_P2 = f"""WITH b AS (SELECT file_id, beat_idx AS i, min(t) AS t FROM beats WHERE file_id IS NOT NULL AND beat_idx IS NOT NULL AND isfinite(t) GROUP BY ALL),
+o AS (SELECT file_id, i, t, lag(t) OVER w AS t1, lag(i) OVER w AS i1 FROM b WHERE t >= 0 WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+a AS (SELECT *, CASE WHEN t > t1 THEN (t - t1) / (i - i1) END AS adv FROM o),
+p AS (SELECT *, median(adv) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS pp, median(adv) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN 2 FOLLOWING AND 10 FOLLOWING) AS pn FROM a),
+v AS (SELECT file_id, i, t, t1, pp, pn, {_SIDES} FROM p WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+s AS (SELECT file_id, i, abs(t - t1) <= 0.1 * coalesce(pp, pn) AS still FROM v WHERE NOT coalesce(c1 OR c2 OR c3, pp IS NULL, false) AND NOT coalesce(d1 OR d2 OR d3, pn IS NULL, false) AND (c1 IS NOT NULL OR d1 IS NOT NULL)),
+n AS (SELECT DISTINCT file_id, beat_no FROM beats WHERE beat_no IS NOT NULL), u AS (SELECT file_id, max(beat_no) AS u FROM n WHERE beat_no = 1 OR (beat_no > 1 AND (file_id, beat_no - 1) IN (FROM n)) GROUP BY 1),
+m AS (SELECT DISTINCT file_id, section_no, num, den FROM meters WHERE file_id IS NOT NULL AND section_no IS NOT NULL), h AS (SELECT file_id, num, count(DISTINCT section_no) AS n FROM m GROUP BY ALL), q AS (SELECT file_id, sum(n) AS s, max(n) FILTER (num IS NOT NULL) AS top FROM h GROUP BY 1),
+f AS (SELECT file_id, any_value(s) AS s, min(num) AS lo, max(num) AS hi FROM h JOIN q USING (file_id) WHERE num IS NOT NULL AND n = top GROUP BY 1),
+k AS (SELECT 'beat' AS ann_type, file_id, CAST(i AS BIGINT) AS item_no, CASE WHEN still THEN 'stuck' ELSE 'off_place' END AS reason FROM s UNION ALL SELECT 'beat', file_id, beat_idx, 'negative' FROM beats WHERE t < 0 AND beat_idx IS NOT NULL
+UNION ALL SELECT 'beat', b.file_id, beat_idx, CASE WHEN beat_no < 1 THEN 'number_below_1' ELSE 'number_too_high' END FROM beats b LEFT JOIN u USING (file_id) WHERE beat_no < 1 OR beat_no > 2 * u
+UNION ALL SELECT 'meter', m.file_id, section_no, CASE WHEN num NOT BETWEEN 1 AND 32 THEN 'num_range' WHEN den NOT IN (1, 2, 4, 8, 16, 32) THEN 'den' ELSE 'num_unlike' END FROM m LEFT JOIN f USING (file_id) WHERE num NOT BETWEEN 1 AND 32 OR den NOT IN (1, 2, 4, 8, 16, 32) OR (s >= 3 AND (num >= 3 * hi OR num * 3 < lo)))"""
+
 ORACLES = {
+    "p2_found": f"{_P2} SELECT DISTINCT ann_type, file_id, item_no FROM k",
+    "p2_reasons": f"{_P2} SELECT ann_type, file_id, item_no, min(reason) AS reason FROM k GROUP BY ALL",
     "p1_found": f"WITH {_P1_SRC} SELECT g.file_id, g.feat_type, g.frame FROM g ANTI JOIN o ON g.file_id = o.file_id AND g.feat_type = o.feat_type AND g.frame = o.frame",
     "p1_grid": f"""WITH {_P1_SRC},
 j AS (SELECT g.file_id, g.feat_type, g.fl, g.frame, o.value FROM g LEFT JOIN o ON g.file_id = o.file_id AND g.feat_type = o.feat_type AND g.frame = o.frame),

@@ -160,6 +160,19 @@ def particle_filter(spark, d):
     return pf.particle_paths(seen, pointer, _PARAMS, columns).select("file_id", "frame", F.round("position", 6).alias("position"), F.round("bpm", 6).alias("bpm"), "pattern")
 
 
+def particle_checks(spark, d):
+    """Files with their frames, whether all positions, tempi and patterns are within the model, and whether positions go on by the tempo but where bars end."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file_id").orderBy("frame")
+    bar, beats = F.col("pattern").cast("double") * 0.25 + 0.5, F.col("pattern") + 2
+    path = particle_filter(spark, d).withColumn("bar", bar).withColumn("step", F.col("bpm") / 60.0 * 0.1 * bar / beats)
+    path = path.withColumn("moved", F.lead("position").over(w) - F.col("position")).withColumn("next", F.lead("step").over(w)).withColumn("same", F.lead("pattern").over(w) == F.col("pattern"))
+    within = F.col("pattern").between(1, 2) & F.col("position").between(1, F.col("bar") + 1) & F.col("bpm").between(60 - 1e-6, 120 + 1e-6)
+    goes_on = F.coalesce(~F.col("same") | (F.col("moved") < 0) | (F.abs(F.col("moved") - F.col("next")) < 1e-5), F.lit(True))
+    return path.groupBy("file_id").agg(F.count("*").alias("frames"), F.min(within).alias("within"), F.min(goes_on).alias("continuous"))
+
+
 def _d(v: float) -> str:
     return f"{v!r}::DOUBLE"
 
@@ -190,7 +203,37 @@ _SST = f"""pat(pattern, b, fr) AS (VALUES (1, 3, 10), (2, 4, 10)), tp AS (SELECT
 st AS (SELECT CAST(f + k + 1 AS INTEGER) AS state, pattern, n, b, k, k / n AS q, floor(k / n + 0.5) AS z FROM (SELECT *, unnest(generate_series(0, n * b - 1)) AS k FROM tf))"""
 _IBI = "ib AS (SELECT file_id, t, beat_no, (coalesce(t - lag(t) OVER w, lead(t) OVER w - t) + coalesce(lead(t) OVER w - t, t - lag(t) OVER w)) / 2 AS ibi FROM {src} WINDOW w AS (PARTITION BY file_id ORDER BY beat_idx))"
 
+#: The bar pointer of two patterns as in ``_SMALL``: states, edges and likelihoods, and its best paths by recursion over frames.
+_POINTER = f"""{_SST}, pr(ri, rj, r) AS (VALUES (1, 1, 0.9::DOUBLE), (1, 2, 0.1::DOUBLE), (2, 1, 0.1::DOUBLE), (2, 2, 0.9::DOUBLE)),
+ch AS (SELECT a.pattern AS ri, a.n AS ni, a.b, a.f AS fi, c.pattern AS rj, c.n AS nj, c.f AS fj, exp(-100.0::DOUBLE * abs(c.n / a.n - 1)) AS w FROM tf a CROSS JOIN tf c WHERE exp(-100.0::DOUBLE * abs(c.n / a.n - 1)) > 2.220446049250313e-16::DOUBLE),
+cn AS (SELECT *, w / sum(w) OVER (PARTITION BY ri, ni, rj) AS q FROM ch), br AS (SELECT fi, fj, ni, b, q * r / sum(q * r) OVER (PARTITION BY ri, ni) AS z FROM cn JOIN pr USING (ri, rj)),
+ed AS MATERIALIZED (SELECT CAST(state AS INTEGER) AS i, CAST(state + 1 AS INTEGER) AS j, 1.0::DOUBLE AS p FROM st WHERE (k + 1) % n <> 0
+UNION ALL SELECT CAST(fi + g * ni AS INTEGER), CAST(fj + g * nj + 1 AS INTEGER), q FROM (SELECT *, unnest(generate_series(1, b - 1)) AS g FROM cn WHERE ri = rj) UNION ALL SELECT CAST(fi + b * ni AS INTEGER), CAST(fj + 1 AS INTEGER), z FROM br),
+sl AS MATERIALIZED (SELECT state, k, floor(k * (b / 4.0::DOUBLE) / (n * b) * 16 + 1e-9::DOUBLE) = 0 AS beat, b * 4 - 1 AS others FROM st),
+ob AS MATERIALIZED (SELECT file_id, frame, least(greatest(x / 200.0::DOUBLE, 0.01::DOUBLE), 0.99::DOUBLE) AS a FROM ser)"""
+
+
+def _best_path(held: str) -> str:
+    """vt(file_id, frame, state): best paths; ``held`` tells which frames are held to first positions."""
+    return f"""{_POINTER}, fw AS (SELECT o.file_id, CAST(0 AS BIGINT) AS frame, s.state, 1.0::DOUBLE / (SELECT count(*) FROM sl) AS d, 0 AS psi FROM (SELECT DISTINCT file_id FROM ob) o CROSS JOIN sl s
+UNION ALL SELECT file_id, frame, state, d / sum(d) OVER (PARTITION BY file_id), psi FROM (
+  SELECT b.file_id, b.frame, b.state, b.v * CASE WHEN s.beat THEN o.a ELSE (1 - o.a) / s.others END * CASE WHEN {held} AND s.k <> 0 THEN 0 ELSE 1 END AS d, b.psi FROM (
+    SELECT fw.file_id, fw.frame + 1 AS frame, ed.j AS state, max(fw.d * ed.p) AS v, arg_max(ed.i, ROW(fw.d * ed.p, -ed.i)) AS psi FROM fw JOIN ed ON ed.i = fw.state GROUP BY ALL) b
+  JOIN ob o ON o.file_id = b.file_id AND o.frame = b.frame JOIN sl s ON s.state = b.state)),
+fz AS MATERIALIZED (SELECT * FROM fw), mx AS (SELECT file_id, max(frame) AS n FROM fz GROUP BY 1),
+en AS (SELECT file_id, frame, state FROM (SELECT fz.*, mx.n, row_number() OVER (PARTITION BY fz.file_id ORDER BY state) AS r, count(*) OVER (PARTITION BY fz.file_id) AS c FROM fz JOIN mx ON mx.file_id = fz.file_id AND mx.n = fz.frame
+  JOIN (SELECT file_id, frame, max(d) AS d FROM fz GROUP BY ALL) t ON t.file_id = fz.file_id AND t.frame = fz.frame AND t.d = fz.d) WHERE r = (c + 1) // 2),
+vt AS (SELECT file_id, frame, state FROM en UNION ALL SELECT vt.file_id, vt.frame - 1, fz.psi FROM vt JOIN fz ON fz.file_id = vt.file_id AND fz.frame = vt.frame AND fz.state = vt.state WHERE vt.frame > 1)"""
+
+
 ORACLES = {
+    "beat_lines": f"WITH {BTS} SELECT file_id, beat_idx AS frame, printf('%.3f', t) || chr(9) || beat_no AS value FROM bts",
+    "decode_constrained": f"WITH RECURSIVE {SER}, {_best_path('o.frame % 30 = 1')} SELECT file_id, frame, CAST(state AS INTEGER) AS state FROM vt",
+    "decode_full": f"""WITH RECURSIVE {SER}, {_best_path('FALSE')}, pa AS (SELECT vt.file_id, vt.frame, st.b, b / 4.0::DOUBLE AS bar, k * (b / 4.0::DOUBLE) / (n * b) + 1 AS m FROM vt JOIN st ON st.state = vt.state),
+nx AS (SELECT *, lead(m) OVER (PARTITION BY file_id ORDER BY frame) AS x FROM pa), hb AS (SELECT *, unnest(generate_series(1, b)) AS j FROM nx WHERE x IS NOT NULL), hc AS (SELECT *, 1 + (j - 1) * (bar / b) AS q FROM hb),
+h2 AS (SELECT *, CASE WHEN m = q THEN CAST(frame AS DOUBLE) WHEN x > q AND x < m THEN frame + (bar + q - m) / (bar + x - m) WHEN m < q AND x > q THEN frame + (q - m) / (x - m) END AS "at" FROM hc)
+SELECT file_id, frame, round(floor("at" + 0.5) * 0.1::DOUBLE, 6) AS t, CAST(j AS INTEGER) AS beat_no FROM h2 WHERE "at" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, frame ORDER BY j) = 1""",
+    "particle_checks": f"WITH {SER} SELECT file_id, count(*) AS frames, true AS within, true AS continuous FROM ser GROUP BY file_id",
     "viterbi_small": f"""WITH RECURSIVE {_OBS}, {_fwd(True)}, mx AS (SELECT file_id, max(frame) AS n FROM fw GROUP BY 1),
 bt AS (SELECT fw.file_id, fw.frame, list_position(d, list_max(d)) AS state FROM fw JOIN mx ON mx.file_id = fw.file_id AND mx.n = fw.frame UNION ALL SELECT p.file_id, p.frame, CAST(c.psi[bt.state] AS INTEGER) FROM bt JOIN fw c ON c.file_id = bt.file_id AND c.frame = bt.frame JOIN fw p ON p.file_id = bt.file_id AND p.frame = bt.frame - 1 WHERE p.frame > 0)
 SELECT file_id, frame, CAST(state AS INTEGER) AS state FROM bt""",
@@ -213,5 +256,5 @@ SELECT file_id, frame, round("at", 6) AS "at", round(floor("at" + 0.5) * 0.02::D
 
 QUERIES = {
     f.__name__: f
-    for f in (viterbi_small, viterbi_native, forward_small, beat_times, tempo_summary, pattern_segments, rhythm_lines, beat_lines, fold_split_holdout, fold_pairs, leave_one_out, belief_beats, belief_downbeats, belief_meter, decode_full, decode_constrained, particle_filter)
+    for f in (viterbi_small, viterbi_native, forward_small, beat_times, tempo_summary, pattern_segments, rhythm_lines, beat_lines, fold_split_holdout, fold_pairs, leave_one_out, belief_beats, belief_downbeats, belief_meter, decode_full, decode_constrained, particle_filter, particle_checks)
 }

@@ -124,7 +124,7 @@ def constraint_scan(spark, d):
 def saved_results(spark, d):
     """All results as text files, read back: kind, file_id, line_no, value."""
     root = Workspace(spark, "results").root
-    beats = _bts(spark, d).select("file_id", F.col("beat_idx").alias("frame"), F.round(F.col("t") * 86400, 3).alias("t"), "beat_no")
+    beats = _bts(spark, d).select("file_id", F.col("beat_idx").alias("frame"), F.floor(F.col("t") * 86400 + 1e-6).cast("double").alias("t"), "beat_no")
     path = _walk(spark, d).select("file_id", "frame", (F.col("n") * 60.0 / (10 * 0.02)).alias("bpm"), (F.lit(3) + F.col("file_id") % 2).cast("int").alias("num"), F.lit(4).alias("den"))
     path = path.join(_symbols(spark, d), ["file_id", "frame"])
     names = spark.createDataFrame(NAMES, "pattern int, name string")
@@ -167,7 +167,7 @@ SELECT row_number() OVER (ORDER BY k, v) AS file_id, path, 'set' AS dataset FROM
     "saved_tables": "SELECT rhythm_id, num, den, count(*) AS bars FROM (SELECT DISTINCT bar_id, bar2cluster FROM bars) JOIN rhythms ON bar2cluster = rhythm_id GROUP BY ALL",
     "fold_lists": "SELECT 'u' || file_id || '.wav' AS path, CAST(file_id % 3 + 1 AS INTEGER) AS fold FROM file_list",
     "constraint_scan": f"WITH {BTS}, {_SST}, b2 AS (SELECT file_id, beat_idx, t * 0.5::DOUBLE AS t, beat_no FROM bts), {_IBI.format(src='b2')} SELECT file_id, CAST(floor(t / 0.1::DOUBLE) AS BIGINT) + 1 AS frame, state FROM ib JOIN st ON st.z % st.b + 1 = ib.beat_no AND abs(st.q - st.z) <= 0.1::DOUBLE WHERE ibi IS NULL OR abs(ibi / (st.n * 0.1::DOUBLE) - 1) <= 0.4::DOUBLE",
-    "saved_results": f"""WITH {_WALK.replace('WITH ', '')}, {_SEG}, {BTS.replace(SER + ', ', '')}, bt AS (SELECT file_id, beat_idx, round(t * 86400, 3) AS t, beat_no FROM bts), sq AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY f) AS seg FROM sg)
+    "saved_results": f"""WITH {_WALK.replace('WITH ', '')}, {_SEG}, {BTS.replace(SER + ', ', '')}, bt AS (SELECT file_id, beat_idx, floor(t * 86400 + 1e-6::DOUBLE) AS t, beat_no FROM bts), sq AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY f) AS seg FROM sg)
 SELECT 'beats' AS kind, file_id, row_number() OVER (PARTITION BY file_id ORDER BY beat_idx) AS line_no, printf('%.3f', t) || chr(9) || beat_no AS value FROM bt
 UNION ALL SELECT 'downbeats', file_id, row_number() OVER (PARTITION BY file_id ORDER BY beat_idx), printf('%.3f', t) FROM bt WHERE beat_no = 1
 UNION ALL SELECT 'median_tempo', file_id, 1, CASE WHEN m = floor(m) THEN CAST(CAST(m AS BIGINT) AS VARCHAR) ELSE printf('%e', m) END FROM (SELECT file_id, quantile_cont(n * 60.0::DOUBLE / 0.2::DOUBLE, 0.5) AS m FROM wk GROUP BY file_id)

@@ -88,7 +88,21 @@ _06 = f"""{_PAT}, po AS (SELECT *, CAST(floor({M} * bar / (SELECT max(bar) FROM
 t6 AS (SELECT *, CAST(coalesce(sum(m) OVER (ORDER BY pattern, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS f FROM (SELECT *, unnest(generate_series(greatest(CAST(floor(lo * (m / b) * {FL}::DOUBLE / 60) AS INTEGER), 1), CAST(ceil(hi * (m / b) * {FL}::DOUBLE / 60) AS INTEGER))) AS n FROM po)),
 s6 AS (SELECT *, f + x AS state FROM (SELECT *, unnest(generate_series(1, m)) AS x FROM t6))"""
 
+_QUIET = f"""{_TR}, n AS (SELECT count(*) AS s FROM st), q AS (SELECT i, j, p FROM ed WHERE i NOT IN (SELECT f + n * b FROM tf)
+UNION ALL SELECT i, j, p * (1 - 1e-5::DOUBLE) FROM ed WHERE i IN (SELECT f + n * b FROM tf)
+UNION ALL SELECT f + n * b, s + 1, 1e-5::DOUBLE FROM (SELECT tf.f, tf.n, tf.b, n.s FROM tf CROSS JOIN n) UNION ALL SELECT s + 1, s + 1, 1 - 1e-3::DOUBLE FROM n
+UNION ALL SELECT s + 1, f + 1, 1e-3::DOUBLE / (SELECT count(*) FROM tf) FROM (SELECT tf.f, n.s FROM tf CROSS JOIN n))"""
+_NEXT = """nb AS (SELECT st.state, st.pattern, st.ti, st.k, st.f, st.n * st.b AS z, a.f AS fa, a.n * a.b AS za, c.f AS fc, c.n * c.b AS zc FROM st LEFT JOIN tf a ON a.pattern = st.pattern AND a.ti = st.ti - 1 LEFT JOIN tf c ON c.pattern = st.pattern AND c.ti = st.ti + 1)"""
+
 ORACLES = {
+    "tempo_grid_log": f"""WITH {_PAT}, r AS (SELECT pattern, CAST(ceil(60 / (lo * {FL}::DOUBLE)) AS INTEGER) AS slow, CAST(floor(60 / (hi * {FL}::DOUBLE)) AS INTEGER) AS fast FROM pat),
+g AS (SELECT DISTINCT pattern, slow, fast, p, CAST(floor(pow(2, log2(fast) + (log2(slow) - log2(fast)) * k / (p - 1)) + 0.5) AS INTEGER) AS n FROM (SELECT r.*, p, unnest(generate_series(0, p - 1)) AS k FROM (SELECT r.*, unnest(generate_series(10, 80)) AS p FROM r) r)),
+c AS (SELECT pattern, p FROM g GROUP BY pattern, p, slow, fast HAVING count(*) >= least(slow - fast + 1, 10)), m AS (SELECT pattern, min(p) AS p FROM c GROUP BY 1)
+SELECT pattern, CAST(row_number() OVER (PARTITION BY pattern ORDER BY n DESC) AS INTEGER) AS tempo_idx, n AS frames_per_beat FROM g JOIN m USING (pattern, p)""",
+    "transitions_silence": f"WITH {_QUIET} SELECT CAST(i AS INTEGER) AS i, count(*) AS edges, round(sum(p), 9) AS total FROM q GROUP BY i",
+    "state_neighbours": f"""WITH {_ST}, {_NEXT} SELECT CAST(state AS INTEGER) AS state, CAST(f + (k + z - 1) % z + 1 AS INTEGER) AS left, CAST(f + (k + 1) % z + 1 AS INTEGER) AS right,
+CAST(fa + floor(k * za / z + 0.5) % za + 1 AS INTEGER) AS slower, CAST(fc + floor(k * zc / z + 0.5) % zc + 1 AS INTEGER) AS faster,
+CAST(fa + (floor(k * za / z + 0.5) + za - 1) % za + 1 AS INTEGER) AS down_left, CAST(fc + (floor(k * zc / z + 0.5) + 1) % zc + 1 AS INTEGER) AS up_right FROM nb""",
     "tempo_grid_2015": f"WITH {_TP} SELECT pattern, ti AS tempo_idx, n AS frames_per_beat, round(60 / (n * {FL}::DOUBLE), 9) AS bpm FROM tp",
     "state_space_2015": f"WITH {_ST} SELECT CAST(state AS INTEGER) AS state, pattern, ti AS tempo_idx, CAST(k AS INTEGER) AS pos_idx, CAST(floor(k / n) + 1 AS INTEGER) AS beat, round(k * bar / (n * b) + 1, 9) AS position, round(bar / b / n, 12) AS tempo FROM st",
     "state_cells": f"WITH {_ST}, c AS (SELECT *, CAST(floor(k * bar / (n * b) * 64 + 1e-9::DOUBLE) + 1 AS INTEGER) AS cell FROM st) SELECT CAST(state AS INTEGER) AS state, pattern, cell, (pattern - 1) * 64 + cell AS gmm FROM c",

@@ -150,6 +150,12 @@ ORACLES = {
     "pattern_prior": f"WITH {_SYM} SELECT CAST(pattern AS INTEGER) AS pattern, round(count(*) / (SELECT count(*) FROM sym), 9) AS p FROM sym GROUP BY pattern",
     "bar_transitions": "WITH d AS (SELECT DISTINCT bar2file, bar_no, bar_id, bar2cluster AS pattern FROM bars WHERE bar2file IS NOT NULL AND bar2cluster IS NOT NULL), b AS (SELECT pattern AS i, lead(pattern) OVER (PARTITION BY bar2file ORDER BY bar_no, bar_id) AS j FROM d), n AS (SELECT i, j, count(*) AS n FROM b WHERE j IS NOT NULL GROUP BY ALL) SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS p FROM n",
     "label_clusters": f"WITH {_DISTINCT} SELECT file_id, section_no, num, den, CAST(dense_rank() OVER (ORDER BY num, den) AS INTEGER) AS pattern, 'set-' || num || '-' || den || '_1' AS name FROM m",
+    "cluster_budgets": f"""WITH {_DISTINCT}, c AS (SELECT num, den, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT greatest(40, count(*)) AS k, count(*) AS c, sum(n) AS t FROM c),
+s AS (SELECT num, den, o.mode, CASE o.mode WHEN 'data' THEN n * k / t ELSE k / c.cnt END AS share, k FROM (SELECT c.*, count(*) OVER () AS cnt FROM c) c CROSS JOIN k CROSS JOIN (VALUES ('data'), ('equal')) o(mode)),
+u AS (SELECT *, greatest(1, CAST(ceil(share) AS INTEGER)) AS up, CAST(sum(greatest(1, CAST(ceil(share) AS INTEGER))) OVER (PARTITION BY mode) AS INTEGER) - k AS over FROM s),
+v AS (SELECT num, den, mode, over, row_number() OVER (PARTITION BY mode ORDER BY share - up + s, num, den) AS r FROM (SELECT *, unnest(generate_series(1, up - 1)) AS s FROM u)),
+w AS (SELECT num, den, mode, count(*) AS less FROM v WHERE r <= over GROUP BY ALL)
+SELECT num, den, CAST(up - coalesce(less, 0) AS INTEGER) AS clusters, mode FROM u LEFT JOIN w USING (num, den, mode)""",
     "kmeans_fixed_init": _lloyd_sql(),
     "gmm_density": "SELECT event_id, round(" + " + ".join(f"{w!r}::DOUBLE * {_g('value', f'{m!r}::DOUBLE', f'{v!r}::DOUBLE')}" for w, m, v in _MIX) + ", 9) AS density FROM events",
     "gmm_density_2d": f"WITH k(w, mx, my, a, b, c) AS (VALUES (0.4::DOUBLE, 10.0::DOUBLE, 0.02::DOUBLE, 40.0::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE), (0.6::DOUBLE, 30.0::DOUBLE, 0.06::DOUBLE, 90.0::DOUBLE, -0.02::DOUBLE, 0.002::DOUBLE)), l AS (SELECT l_quantity, l_discount, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_quantity, l_discount, any_value(n) AS n, round(sum({_G2}), 9) AS density FROM l CROSS JOIN k GROUP BY l_quantity, l_discount",
