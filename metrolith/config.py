@@ -60,8 +60,7 @@ class Params:
         ):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
-        for name, only in (("max_shift", 1), ("update_interval", 200), ("obs_lik_floor", 1e-7)):
-            if getattr(self, name) != only:
-                raise ValueError(f"{name} is not implemented; it can only be {only}")
+        if self.max_shift < 0 or self.update_interval < 1 or self.obs_lik_floor < 0:
+            raise ValueError("the settings of online decoding must not be negative")
         if not 0 < self.min_tempo <= self.max_tempo or self.frame_length <= 0:
             raise ValueError("tempi and frame length must be positive, and the tempi in order")

@@ -47,6 +47,8 @@ class Model:
         self.target = self.dst[self.first] if len(self.dst) else self.first
         self.slot = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(self.dst)])) if len(self.dst) else self.first
         self.n = len(self.init)
+        self.from_source = np.argsort(self.src, kind="stable")
+        self.by_source = self.src[self.from_source]
 
     def best(self, d: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Best predecessor's chance of each state (last axis), and which it is (the lowest of equals)."""

@@ -263,6 +263,17 @@ class Activations:
         return np.where(np.isnan(x[:, :1]), 0.0, v * self.first + (1.0 - v) * self.share)
 
 
+@dataclass
+class Floored:
+    """Likelihood columns of which none is below a floor, so that data unlike any seen rule nothing out."""
+
+    columns: Callable[[np.ndarray], np.ndarray]
+    floor: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(self.columns(x), self.floor)
+
+
 def likelihood_arrays(vectors: DataFrame, columns) -> DataFrame:
     """file_id, frame, lik: all likelihood columns of (file_id, frame, x), row by row, without a shuffle."""
 

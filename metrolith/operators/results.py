@@ -33,12 +33,15 @@ def beat_times(path: DataFrame, frame_length: float, frame_shift: float = 0.0) -
     return hits.select("file_id", "frame", (at * frame_length).alias("t"), F.col("x.beat_no").alias("beat_no"), F.col("x.at").alias("at"))
 
 
-def corrected_beats(beats: DataFrame, activations: DataFrame, path: DataFrame, resolution: float, frame_length: float, reach: int = 50) -> DataFrame:
+def corrected_beats(beats: DataFrame, activations: DataFrame, path: DataFrame, resolution: float, frame_length: float) -> DataFrame:
     """Beats moved to the strongest activation between themselves and the frame ``resolution`` positions on.
 
-    ``activations`` is (file_id, frame, x); of equals the earliest counts. At most ``reach`` frames are looked at.
+    ``activations`` is (file_id, frame, x); of equals the earliest counts. The path tells the slowest pace of a file, and so how
+    many frames that may be.
     """
-    span = beats.select("file_id", F.col("frame").alias("_f"), "beat_no", F.explode(F.sequence(F.col("frame"), F.col("frame") + reach)).alias("frame"))
+    pace = path.groupBy("file_id").agg(F.min(F.col("bpm") / 60.0 * frame_length * F.col("bar") / F.col("n_beats")).alias("_pace"))
+    reach = F.ceil(F.lit(resolution) / F.col("_pace")).cast("long") + 2
+    span = beats.join(pace, "file_id").select("file_id", F.col("frame").alias("_f"), "beat_no", F.explode(F.sequence(F.col("frame"), F.col("frame") + reach)).alias("frame"))
     p = path.select("file_id", "frame", "position", "n_beats", "bar")
     seen = span.join(p, ["file_id", "frame"]).join(activations, ["file_id", "frame"])
     start = 1.0 + (F.col("beat_no") - 1) * (F.col("bar") / F.col("n_beats"))

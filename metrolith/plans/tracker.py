@@ -18,6 +18,7 @@ from metrolith.operators import tempo as tm
 from metrolith.operators.decode import Columns
 from metrolith.plans import statespace as ss
 from metrolith.plans import transitions as tr
+from metrolith.streaming.online import near_states, online_forward
 
 
 @dataclass
@@ -155,7 +156,7 @@ def decode(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, DataFram
         path = pf.particle_paths(seen, pointer, p, columns).join(F.broadcast(t.patterns.select("pattern", "n_beats", "bar", "num", "den")), "pattern")
     else:
         model, states = hidden_model(t, p, most)
-        states_of = dc.viterbi_paths(seen, model, columns) if p.inference_method == "HMM_viterbi" else dc.forward_best(seen, model, columns).drop("p")
+        states_of = dc.viterbi_paths(seen, model, columns) if p.inference_method == "HMM_viterbi" else dc.forward_best(seen, model, ob.Floored(columns, p.obs_lik_floor)).drop("p")
         path = rs.decoded_states(states_of, states, t.patterns)
     beats = rs.beat_times(path, p.frame_length, p.frame_shift)
     if p.correct_beats:
@@ -164,6 +165,16 @@ def decode(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, DataFram
     return beats, path
 
 
+def decode_online(vectors: DataFrame, t: Tables, p: Params) -> DataFrame:
+    """file_id, frame, state, p of a stream of (file_id, frame, x), x the features in order (an array): the trajectory of the forward filter."""
+    cells = [r.cells for r in ob.beats_in_cells(t.patterns, p.whole_note_div).orderBy("pattern").collect()]
+    most, count = max(cells), len(cells)
+    columns = ob.Activations.of(cells, most) if p.observation_model == "RNN" else ob.Mixtures.of(t.gmm, lambda pattern, cell: (pattern - 1) * most + cell - 1, count * most)
+    model, states = hidden_model(t, p, most)
+    near = near_states(states, p.max_shift) if p.transition_model_type == "2015" else None
+    return online_forward(vectors, model, p.obs_lik_floor, columns, near, p.update_interval)
+
+
 def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1) -> Tables:
     """Viterbi training: mixtures and pattern transitions fitted again to the decoded cells."""
     for _ in range(rounds):

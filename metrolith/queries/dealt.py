@@ -61,7 +61,7 @@ def _either(pattern: str) -> str:
     return f'(" *({pattern}) *"|({pattern}))'
 
 
-_T, _B, _N = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?", r"([0-9]{1,18}\.)?0*[1-9][0-9]{0,17}", r"0*[1-9][0-9]{0,17}"
+_T, _B, _N = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?", r"([0-9]+\.)?0*[1-9][0-9]*", r"0*[1-9][0-9]*"
 _P6 = rf"""l AS (SELECT DISTINCT line_id, file_id, line_no, ann_type, CASE WHEN ann_type = 'beats' THEN regexp_replace(trim(raw_line, ' ' || chr(13) || chr(10)), ' *\t *', chr(9), 'g') ELSE regexp_replace(trim(raw_line, ' ' || chr(13) || chr(10)), ' */ *', '/', 'g') END AS s FROM annotation_lines),
 f AS (SELECT *, CASE WHEN ann_type = 'beats' THEN regexp_full_match(s, '("[^"]*"|[^"\t]*)(\t("[^"]*"|[^"\t]*))*') ELSE regexp_full_match(s, '("[^"]*"|[^"/]*)(/("[^"]*"|[^"/]*))*') END AS paired,
   len(string_split(regexp_replace(s, '"[^"]*"', 'x', 'g'), CASE WHEN ann_type = 'beats' THEN chr(9) ELSE '/' END)) AS n FROM l),
@@ -98,8 +98,8 @@ SELECT file_id, feat_type, frame, round((frame - 1) * fl, 6) AS t,
   round(CASE WHEN value IS NOT NULL THEN value WHEN nf - pf - 1 <= 5 THEN pv + (nv - pv) * (frame - pf) / (nf - pf) END, 6) AS value,
   CASE WHEN value IS NOT NULL THEN 'observed' WHEN pf IS NULL OR nf IS NULL THEN 'edge' WHEN nf - pf - 1 <= 5 THEN 'interpolated' ELSE 'gap' END AS status FROM k""",
     "p6_found": f"WITH {_P6} SELECT DISTINCT line_id, reason FROM v WHERE reason IS NOT NULL",
-    "p6_beats": f"WITH {_P6} SELECT DISTINCT line_id, file_id, line_no, CAST(split_part(bare, chr(9), 1) AS DOUBLE) AS t, TRY_CAST(nullif(regexp_extract(split_part(bare, chr(9), 2), '([0-9]+)\\.', 1), '') AS BIGINT) AS bar, CAST(regexp_extract(split_part(bare, chr(9), 2), '([0-9]+) *$', 1) AS BIGINT) AS beat_no FROM v WHERE reason IS NULL AND ann_type = 'beats'",
-    "p6_meters": f"WITH {_P6} SELECT DISTINCT line_id, file_id, line_no, CAST(trim(split_part(bare, '/', 1)) AS BIGINT) AS num, coalesce(CAST(nullif(trim(split_part(bare, '/', 2)), '') AS BIGINT), 4) AS den FROM v WHERE reason IS NULL AND ann_type = 'meter'",
+    "p6_beats": f"WITH {_P6} SELECT DISTINCT line_id, file_id, line_no, CAST(split_part(bare, chr(9), 1) AS DOUBLE) AS t, TRY_CAST(nullif(regexp_extract(split_part(bare, chr(9), 2), '([0-9]+)\\.', 1), '') AS BIGINT) AS bar, TRY_CAST(regexp_extract(split_part(bare, chr(9), 2), '([0-9]+) *$', 1) AS BIGINT) AS beat_no FROM v WHERE reason IS NULL AND ann_type = 'beats'",
+    "p6_meters": f"WITH {_P6} SELECT DISTINCT line_id, file_id, line_no, TRY_CAST(trim(split_part(bare, '/', 1)) AS BIGINT) AS num, coalesce(TRY_CAST(nullif(trim(split_part(bare, '/', 2)), '') AS BIGINT), 4) AS den FROM v WHERE reason IS NULL AND ann_type = 'meter'",
 }
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_reasons, p6_found, p6_beats, p6_meters)}

@@ -10,6 +10,7 @@ from metrolith.functions.series import event_series
 from metrolith.operators import decode as dc
 from metrolith.operators import particles as pf
 from metrolith.operators import results as rs
+from metrolith.operators import tempo
 from metrolith.plans import evaluation as ev
 from metrolith.plans import statespace as ss
 from metrolith.plans import tracker
@@ -67,7 +68,8 @@ def beat_times(spark, d):
 
 def tempo_summary(spark, d):
     bpm = _walk(spark, d).select("file_id", (F.col("n") * 60.0 / (10 * 0.02)).alias("bpm"))
-    return bpm.groupBy("file_id").agg(F.round(F.percentile("bpm", F.lit(0.5)), 6).alias("bpm"), F.round(F.min("bpm"), 6).alias("slowest"), F.round(F.max("bpm"), 6).alias("fastest"))
+    ends = bpm.groupBy("file_id").agg(F.round(F.min("bpm"), 6).alias("slowest"), F.round(F.max("bpm"), 6).alias("fastest"))
+    return tempo.median_tempo(bpm).select("file_id", F.round("bpm", 6).alias("bpm")).join(ends, "file_id")
 
 
 def _symbols(spark, d):

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TIME = re.compile(r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_COUNT = re.compile(r"[0-9]{1,18}")
-_BEAT = re.compile(r"(?:([0-9]{1,18})\.)?([0-9]{1,18})")
+_COUNT = re.compile(r"[0-9]+")
+_BEAT = re.compile(r"(?:([0-9]+)\.)?([0-9]+)")
+_LONGEST = (1 << 31) - 1  # of a field, which the reader would limit otherwise
 _PAD = {"\t": re.compile(r" *\t *"), "/": re.compile(r" */ *")}
 
 #: What one parsed line becomes; ``reason`` is null for a valid one.
@@ -29,6 +30,7 @@ def _fields(line: str, sep: str) -> list[str]:
     line = _PAD[sep].sub(sep, line.strip(" \r\n"))
     if '"' not in line:
         return line.split(sep)
+    csv.field_size_limit(_LONGEST)
     rows = list(csv.reader([line], delimiter=sep, strict=True))
     fields = rows[0] if rows else [""]
     if any('"' in f for f in fields):
@@ -36,12 +38,18 @@ def _fields(line: str, sep: str) -> list[str]:
     return [f.strip(" ") for f in fields]
 
 
+def _whole(digits: str) -> int | None:
+    """The number, null beyond 64 bits."""
+    n = digits.lstrip("0")
+    return None if len(n) > 19 or int(n or 0) >= 1 << 63 else int(n or 0)
+
+
 def parse_line(ann_type: str | None, line: str | None) -> tuple:
     """(t, bar, beat_no, num, den, reason) of a line.
 
     Reasons, the first that applies: *quoting*, *columns* (also a null or empty line), *value*
     (also an unknown annotation type). A bar is null where the line gives none, a denominator
-    likewise.
+    likewise, and any number that 64 bits do not hold; a time that a double does not hold is a wrong value.
     """
     none = (None,) * 5
     kind = (ann_type or "").strip().lower()
@@ -57,12 +65,12 @@ def parse_line(ann_type: str | None, line: str | None) -> tuple:
     if kind == "beats":
         if not _TIME.fullmatch(fields[0]) or not (m := _BEAT.fullmatch(fields[1])):
             return (*none, "value")
-        t, bar, beat = float(fields[0]), m[1] and int(m[1]), int(m[2])
-        if beat < 1 or t == float("inf"):
+        t = float(fields[0])
+        if not m[2].strip("0") or t == float("inf"):
             return (*none, "value")
-        return t, bar, beat, None, None, None
-    if kind == "meter" and all(_COUNT.fullmatch(f) and int(f) > 0 for f in fields):
-        return None, None, None, int(fields[0]), int(fields[1]) if len(fields) == 2 else None, None
+        return t, m[1] and _whole(m[1]), _whole(m[2]), None, None, None
+    if kind == "meter" and all(_COUNT.fullmatch(f) and f.strip("0") for f in fields):
+        return None, None, None, _whole(fields[0]), _whole(fields[1]) if len(fields) == 2 else None, None
     return (*none, "value")
 
 
@@ -88,9 +96,9 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def loaded_beats(parsed: DataFrame) -> DataFrame:
-    return parsed.where("reason is null and beat_no is not null").select("line_id", "file_id", "line_no", "t", "bar", "beat_no").distinct()
+    return parsed.where("reason is null and t is not null").select("line_id", "file_id", "line_no", "t", "bar", "beat_no").distinct()
 
 
 def loaded_meters(parsed: DataFrame) -> DataFrame:
     """A missing denominator is read as 4."""
-    return parsed.where("reason is null and num is not null").select("line_id", "file_id", "line_no", "num", F.coalesce("den", F.lit(4).cast("long")).alias("den")).distinct()
+    return parsed.where("reason is null and t is null").select("line_id", "file_id", "line_no", "num", F.coalesce("den", F.lit(4).cast("long")).alias("den")).distinct()

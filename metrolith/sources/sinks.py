@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrolith.operators import results
+from metrolith.operators import results, tempo
 
 
 def beat_lines(beats: DataFrame, numbered: bool = True) -> DataFrame:
@@ -20,7 +20,7 @@ def downbeat_lines(beats: DataFrame) -> DataFrame:
 
 def median_tempo_lines(path: DataFrame) -> DataFrame:
     """The median, without decimals where it is whole."""
-    m = path.groupBy("file_id").agg(F.percentile("bpm", F.lit(0.5)).alias("bpm"))
+    m = tempo.median_tempo(path)
     return m.select("file_id", F.lit(1).alias("frame"), F.when(F.col("bpm") == F.floor("bpm"), F.format_string("%d", F.col("bpm").cast("long"))).otherwise(F.format_string("%e", "bpm")).alias("value"))
 
 

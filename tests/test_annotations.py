@@ -23,6 +23,14 @@ def test_lines(kind, line, want):
         assert why is None and (want == (t, bar, beat) if kind == "beats" else want == (num, den))
 
 
+def test_long_fields_and_numbers():
+    assert parse_line("beats", '"' + "9" * 200_000 + 'x"\t1')[-1] == "value"
+    assert parse_line("beats", '1.5\t"' + "0" * 200_000 + '7"') == (1.5, None, 7, None, None, None)
+    assert parse_line("beats", "1.5\t1.12345678901234567890") == (1.5, 1, None, None, None, None)
+    assert parse_line("beats", "1.5\t9223372036854775807")[2] == 2**63 - 1
+    assert parse_line("meter", "9" * 30 + "/4") == (None, None, None, None, 4, None)
+
+
 def test_tables(spark):
     rows = [(1, 1, "beats", 1, "1.5\t2.3"), (1, 1, "beats", 1, "1.5\t2.3"), (2, 1, "meter", 1, "3"), (3, 1, "beats", 2, "x\t1"), (3, 1, "beats", 2, "x\t1"), (4, None, None, None, None), (5, 1, "beats", 3, "9" * 100_000)]
     p = parse_annotations(spark.createDataFrame([(*r, "q") for r in rows], "line_id long, file_id long, ann_type string, line_no int, raw_line string, reason string"))

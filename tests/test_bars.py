@@ -21,6 +21,11 @@ def test_bars(spark):
     assert {r.file_id: r.meter for r in br.predominant_meter(b).collect()} == {1: 3, 2: 3, 3: 3, 4: 3}
 
 
+def test_bars_of_many_beats(spark):
+    b = beats(spark, [(i * 0.5, i % 100 + 1) for i in range(302)], [(i * 0.5, i % 64 + 1) for i in range(200)])
+    assert sorted((r.file_id, r.beat_idx, r.meter) for r in br.full_bars(b).collect()) == [(1, 1, 100), (1, 101, 100), (1, 201, 100), (2, 1, 64), (2, 65, 64), (2, 129, 64)]
+
+
 def test_predominant_meter_needs_half_the_frequency(spark):
     b = beats(spark, [(0, n) for n in [1, 2] * 6 + [1, 2, 3, 4] * 2], [(0, n) for n in [1, 2, 3] * 4 + [1, 2, 3, 4] * 3])
     assert {r.file_id: r.meter for r in br.predominant_meter(b).collect()} == {1: 2, 2: 3}

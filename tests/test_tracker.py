@@ -66,7 +66,7 @@ def test_training_by_rhythm(spark, clicks):
     with pytest.raises(ValueError):
         tracker.train(*clicks, q)
     with pytest.raises(ValueError):
-        replace(P, max_shift=2)
+        replace(P, max_shift=-1)
 
 
 def check(beats, truth, share):
