@@ -201,6 +201,20 @@ def resample(x: np.ndarray, source: int, target: int = 44100) -> np.ndarray:
     return np.interp(np.arange(n) / target, np.arange(len(x)) / source, x)
 
 
+def band_feature(spectrum: DataFrame, name: str, rate: float, n_fft: int, n_bands: int, source: float | None = None, target: float | None = None) -> DataFrame:
+    """file_id, frame, y of a spectrum (file_id, frame, bin, mag): the flux of the log magnitudes of the bands between the name's
+    frequencies, the transforms that the name asks for, and another frame rate where one is given.
+    """
+    base = name.lower().split(".")[0]
+    if base not in FEATURES:
+        raise ValueError(f"unknown feature {base}")
+    bank = triangular_filterbank(n_fft // 2, n_bands)
+    table = spectrum.sparkSession.createDataFrame(bank, "bin int, band int, weight double")
+    bands = select_bands(project_bands(spectrum, table), bank, *FEATURES[base], rate, n_fft)
+    out = feature(spectral_flux(bands).withColumnRenamed("flux", "x"), name)
+    return out if target is None else change_frame_rate(out.withColumnRenamed("y", "x"), source, target)
+
+
 def feature(df: DataFrame, name: str) -> DataFrame:
     """file_id, frame, y: the column transforms that a feature's name asks for (``.mvavg``, ``.normZ``), in that order."""
     parts = name.lower().split(".")

@@ -51,8 +51,7 @@ def bar_labels(cells: DataFrame, items: DataFrame, grid: DataFrame, p: Params, d
     means = br.impute_cells(br.cell_means(cells.where("value is not null and not isnan(value)")), grid)
     key = ["file_id", "beat_idx"] if p.pattern_scope == "bar" else ["file_id"]
     z = br.zscore_cells(means if p.pattern_scope == "bar" else br.song_average(means)).withColumn("at", F.concat_ws("_", F.lit("x"), "dim", "cell"))
-    # The starting centres are spread over the first cell, so the one that varies most comes first.
-    dims = [r["at"] for r in z.groupBy("at").agg(F.round(F.coalesce(F.var_pop("value"), F.lit(0.0)), 9).alias("v")).orderBy(F.desc("v"), "at").collect()]
+    dims = sorted(r["at"] for r in z.select("at").distinct().collect())
     points = z.groupBy(*key).pivot("at", dims).agg(F.first("value")).join(items.select(*key, "num", "den").distinct(), key)
     found = pt.kmeans_per_meter(points, dims, p.n_clusters, p.dist_cluster, dataset=dataset).select(*key, F.col("pattern").alias("_p"), "name")
     # Patterns without items would leave gaps in the numbers.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metrolith.functions.series import event_series
-from metrolith.operators import bars, tempo
+from metrolith.operators import bars, patterns, tempo
 from metrolith.queries.dealt import table
 from metrolith.queries.signal import SER
 from metrolith.sources import files as src
@@ -74,6 +74,30 @@ def cell_imputation(spark, d):
     return bars.impute_cells(*_cells(spark, d)).withColumn("value", F.round("value", 6))
 
 
+def cell_arrays(spark, d):
+    """All values of a cell, beside their number."""
+    b = _bts(spark, d)
+    full = bars.full_bars(b)
+    grid = full.select("file_id", "meter").distinct().select("file_id", bars.grid_size(F.col("meter"), F.lit(4), DIV).alias("cells"))
+    v = bars.cell_arrays(bars.bar_cells(b, full, _frames(spark, d), grid, FRAME))
+    return v.select("file_id", "beat_idx", "cell", "dim", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values"), 6).alias("value"), F.round(F.col("values")[0], 6).alias("least"))
+
+
+def song_patterns(spark, d):
+    """Bars with the pattern of their file."""
+    b = bars.full_bars(_bts(spark, d))
+    songs = b.select("file_id").distinct().withColumn("pattern", (F.col("file_id") % 5 + 1).cast("int"))
+    return patterns.song_clusters_to_bars(b, songs).select("file_id", "beat_idx", "pattern")
+
+
+def cluster_tempo(spark, d):
+    """Tempo limits of clusters of files."""
+    b = _bts(spark, d)
+    of = b.select("file_id", (F.col("beat_idx") % 3 + F.col("file_id") % 2).cast("int").alias("cluster"))
+    t = tempo.cluster_tempo(tempo.tempo_range(b, 5.0), of)
+    return t.select("cluster", F.round("min_bpm", 6).alias("min_bpm"), F.round("max_bpm", 6).alias("max_bpm"))
+
+
 def song_average(spark, d):
     return bars.song_average(_cells(spark, d)[0]).withColumn("value", F.round("value", 6))
 
@@ -131,6 +155,9 @@ ORACLES = {
     "same_tempo_per_meter": f"WITH {BTS}, {_RNG}, r2 AS (SELECT file_id, 3 + file_id % 2 AS num, greatest(lo, 20.0::DOUBLE) AS lo, least(hi, 5000.0::DOUBLE) AS hi FROM rg) SELECT file_id, num, round(min(lo) OVER (PARTITION BY num), 6) AS min_bpm, round(max(hi) OVER (PARTITION BY num), 6) AS max_bpm FROM r2",
     "bar_position_cells": f"WITH {_CELL} SELECT file_id, beat_idx, cell, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM ce",
     "cell_imputation": f"WITH {_CELL}, {_IMP}",
+    "cell_arrays": f"WITH {_CELL} SELECT file_id, beat_idx, CAST(greatest(floor(pos + 0.5), 1) AS INTEGER) AS cell, CAST(dim AS INTEGER) AS dim, CAST(count(*) AS INTEGER) AS n, round(avg(value), 6) AS value, round(min(value), 6) AS least FROM ps WHERE greatest(floor(pos + 0.5), 1) <= cells GROUP BY ALL",
+    "song_patterns": f"WITH {BTS}, {_BARS} SELECT file_id, beat_idx, CAST(file_id % 5 + 1 AS INTEGER) AS pattern FROM fb",
+    "cluster_tempo": f"WITH {BTS}, {_RNG}, k AS (SELECT DISTINCT file_id, CAST(beat_idx % 3 + file_id % 2 AS INTEGER) AS cluster FROM bts) SELECT cluster, round(min(lo), 6) AS min_bpm, round(max(hi), 6) AS max_bpm FROM k JOIN rg USING (file_id) GROUP BY 1",
     "song_average": f"WITH {_CELL} SELECT file_id, cell, CAST(dim AS INTEGER) AS dim, round(avg(value), 6) AS value FROM ce GROUP BY ALL",
     "zscore_cells": f"WITH {_CELL} SELECT file_id, beat_idx, cell, CAST(dim AS INTEGER) AS dim, round((value - avg(value) OVER (PARTITION BY dim)) / stddev_samp(value) OVER (PARTITION BY dim), 6) AS value FROM ce",
     "annotation_parse": f"WITH {BTS} SELECT file_id, beat_idx, round(t, 6) AS t, CAST(floor((beat_idx - 1) / 4) AS BIGINT) AS bar, beat_no FROM bts",
@@ -139,5 +166,5 @@ ORACLES = {
 
 QUERIES = {
     f.__name__: f
-    for f in (predominant_meter, predominant_meter_beats, full_bars, full_bars_beats, bar_beats, tempo_range_trimmed, same_tempo_per_meter, bar_position_cells, cell_imputation, song_average, zscore_cells, annotation_parse, meter_parse)
+    for f in (predominant_meter, predominant_meter_beats, full_bars, full_bars_beats, bar_beats, tempo_range_trimmed, same_tempo_per_meter, bar_position_cells, cell_imputation, cell_arrays, song_patterns, cluster_tempo, song_average, zscore_cells, annotation_parse, meter_parse)
 }

@@ -66,6 +66,14 @@ def beat_times(spark, d):
     return rs.beat_times(path, 0.02).select("file_id", "frame", F.round("at", 6).alias("at"), F.round("t", 6).alias("t"), "beat_no")
 
 
+def corrected_beats(spark, d):
+    """Beats moved to the strongest value until two positions further on."""
+    path = _walk(spark, d).select("file_id", "frame", F.col("m").cast("double").alias("position"), F.lit(4).alias("n_beats"), F.lit(40.0).alias("bar"), (F.col("n") * 60.0 / (10 * 0.02)).alias("bpm"))
+    x = event_series(table(spark, d, "events")).select("file_id", "frame", "x")
+    beats = rs.beat_times(path, 0.02)
+    return rs.corrected_beats(beats.select("file_id", "frame", "beat_no"), x, path, 2.0, 0.02).select("file_id", "frame", F.round("t", 6).alias("t"), "beat_no")
+
+
 def tempo_summary(spark, d):
     bpm = _walk(spark, d).select("file_id", (F.col("n") * 60.0 / (10 * 0.02)).alias("bpm"))
     ends = bpm.groupBy("file_id").agg(F.round(F.min("bpm"), 6).alias("slowest"), F.round(F.max("bpm"), 6).alias("fastest"))
@@ -245,6 +253,12 @@ SELECT file_id, frame, CAST(state AS INTEGER) AS state FROM bt""",
 h2 AS (SELECT *, CASE WHEN m = b THEN CAST(frame AS DOUBLE) WHEN x > b AND x < m THEN frame + (40 + b - m) / CAST(40 + x - m AS DOUBLE) WHEN m < b AND x > b THEN frame + (b - m) / CAST(x - m AS DOUBLE) END AS "at" FROM hb),
 h3 AS (SELECT * FROM h2 WHERE "at" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, frame ORDER BY j) = 1)
 SELECT file_id, frame, round("at", 6) AS "at", round(floor("at" + 0.5) * 0.02::DOUBLE, 6) AS t, CAST(j AS INTEGER) AS beat_no FROM h3""",
+    "corrected_beats": f"""WITH {_WALK}, nx AS (SELECT *, lead(m) OVER (PARTITION BY file_id ORDER BY frame) AS x FROM wk), hb AS (SELECT nx.*, j.v AS j, 1 + (j.v - 1) * 10 AS b FROM nx CROSS JOIN (VALUES (1), (2), (3), (4)) j(v) WHERE x IS NOT NULL),
+h3 AS (SELECT file_id, frame, j, b FROM hb WHERE m = b OR (x > b AND x < m) OR (m < b AND x > b) QUALIFY row_number() OVER (PARTITION BY file_id, frame ORDER BY j) = 1),
+pc AS (SELECT file_id, CAST(ceil(2.0::DOUBLE / min(n)) AS BIGINT) + 2 AS reach FROM wk GROUP BY 1),
+sp AS (SELECT h3.file_id, h3.frame AS f, j, wk.frame, ser.x, (wk.m - b + 40) % 40 AS past FROM h3 JOIN pc ON pc.file_id = h3.file_id JOIN wk ON wk.file_id = h3.file_id AND wk.frame BETWEEN h3.frame AND h3.frame + reach JOIN ser ON ser.file_id = wk.file_id AND ser.frame = wk.frame),
+g AS (SELECT *, min(frame) FILTER (past >= 2 AND past < 20) OVER (PARTITION BY file_id, f) AS gone FROM sp)
+SELECT file_id, frame, round(frame * 0.02::DOUBLE, 6) AS t, CAST(j AS INTEGER) AS beat_no FROM g WHERE gone IS NULL OR frame <= gone QUALIFY row_number() OVER (PARTITION BY file_id, f ORDER BY x DESC, frame) = 1""",
     "tempo_summary": f"WITH {_WALK} SELECT file_id, round(quantile_cont(n * 60.0::DOUBLE / 0.2::DOUBLE, 0.5), 6) AS bpm, round(min(n * 60.0::DOUBLE / 0.2::DOUBLE), 6) AS slowest, round(max(n * 60.0::DOUBLE / 0.2::DOUBLE), 6) AS fastest FROM wk GROUP BY file_id",
     "pattern_segments": f"WITH {SER}, {_SEG} SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY f) AS INTEGER) AS seg, f AS first, l AS last, CAST(pattern AS INTEGER) AS pattern FROM sg",
     "rhythm_lines": f"WITH {SER}, {_SEG}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY f) AS seg FROM sg) SELECT file_id, CAST(seg AS INTEGER) AS frame, printf('%3.2f', (greatest(f - 1, 1) - 1) * 0.02::DOUBLE) || chr(9) || printf('%3.2f', (l - 1) * 0.02::DOUBLE) || chr(9) || ['click', 'error', 'purchase', 'signup', 'view'][pattern] AS value FROM o",
@@ -258,5 +272,5 @@ SELECT file_id, frame, round("at", 6) AS "at", round(floor("at" + 0.5) * 0.02::D
 
 QUERIES = {
     f.__name__: f
-    for f in (viterbi_small, viterbi_native, forward_small, beat_times, tempo_summary, pattern_segments, rhythm_lines, beat_lines, fold_split_holdout, fold_pairs, leave_one_out, belief_beats, belief_downbeats, belief_meter, decode_full, decode_constrained, particle_filter, particle_checks)
+    for f in (viterbi_small, viterbi_native, forward_small, beat_times, corrected_beats, tempo_summary, pattern_segments, rhythm_lines, beat_lines, fold_split_holdout, fold_pairs, leave_one_out, belief_beats, belief_downbeats, belief_meter, decode_full, decode_constrained, particle_filter, particle_checks)
 }

@@ -59,9 +59,54 @@ def kmeans_fixed_init(spark, d):
 
 def kmeans_per_meter(spark, d):
     p = _points(spark, d).withColumn("num", (F.col("vec_id") % 2 + 3).cast("int")).withColumn("den", F.lit(4))
-    return pt.kmeans_per_meter(p, _DIMS, 6, steps=10).select("vec_id", "pattern", "name")
+    return pt.kmeans_per_meter(p, _DIMS, 6).select("vec_id", "pattern", "name")
 
 
+def kmeans_checks(spark, d):
+    """Meters with their points and clusters, and whether every point is nearest to the mean of its own cluster."""
+    p = _points(spark, d).withColumn("num", (F.col("vec_id") % 2 + 3).cast("int")).withColumn("den", F.lit(4))
+    got = p.join(pt.kmeans_per_meter(p, _DIMS, 6).select("vec_id", "pattern"), "vec_id")
+    means = got.groupBy("num", "pattern").agg(*[F.avg(c).alias(f"m{c}") for c in _DIMS])
+    far = sum((F.col(c) - F.col(f"m{c}")) ** 2 for c in _DIMS)
+    each = got.withColumnRenamed("pattern", "own").join(F.broadcast(means), "num").groupBy("num", "vec_id", "own").agg(F.min(far).alias("least"), F.min(F.when(F.col("own") == F.col("pattern"), far)).alias("mine"))
+    return each.groupBy("num").agg(F.count("*").alias("points"), F.count_distinct("own").alias("clusters"), F.min(F.col("mine") <= F.col("least") + 1e-9).alias("nearest"))
+
+
+def _values2(spark, d):
+    v = table(spark, d, "lineitem")
+    return v.select("l_returnflag", F.array("l_quantity", F.col("l_quantity") * 0.01 + F.col("l_discount")).alias("x"))
+
+
+def gmm_joint_moments(spark, d):
+    """Mean and covariances of fitted mixtures of vectors, which are those of their values."""
+    fit = ob.fit_joint_mixtures(_values2(spark, d), ["l_returnflag"], [1, 2])
+    w = F.col("weight")
+    mean = [F.sum(w * F.col("mean")[i]) for i in (0, 1)]
+    second = lambda i, j: F.sum(w * (F.col("cov")[2 * i + j] + F.col("mean")[i] * F.col("mean")[j]))
+    s = fit.groupBy("l_returnflag").agg(F.sum("weight").alias("w"), mean[0].alias("a"), mean[1].alias("b"), second(0, 0).alias("aa"), second(0, 1).alias("ab"), second(1, 1).alias("bb"))
+    return s.select("l_returnflag", F.round("w", 6).alias("weight"), F.round("a", 4).alias("mean_a"), F.round("b", 5).alias("mean_b"), F.round(F.col("aa") - F.col("a") ** 2, 3).alias("var_a"), F.round(F.col("ab") - F.col("a") * F.col("b"), 5).alias("cov"), F.round(F.col("bb") - F.col("b") ** 2, 5).alias("var_b"))
+
+
+#: Mixtures of two features: pattern, cell, comp, weight, mean, covariance.
+_JOINT = [(p, c, k, w, [20.0 * c + 30.0 * k, 10.0 * p + 25.0 * k], [400.0 * k, 60.0 * c, 60.0 * c, 250.0 + 50.0 * p]) for p in (1, 2) for c in (1, 2) for k, w in ((1, 0.4), (2, 0.6))]
+
+
+def _joint(spark, d):
+    s = event_series(table(spark, d, "events")).select("file_id", "frame", F.explode(F.array(F.struct(F.lit(1).alias("dim"), F.col("x").alias("value")), F.struct(F.lit(2).alias("dim"), (F.col("x") * 0.5 + 10).alias("value")))).alias("f")).select("file_id", "frame", "f.*")
+    return s, spark.createDataFrame([(*r, [1, 2]) for r in _JOINT], "pattern int, cell int, comp int, weight double, mean array<double>, cov array<double>, dims array<int>")
+
+
+def joint_likelihood(spark, d):
+    return ob.joint_likelihood(*_joint(spark, d)).withColumn("lik", F.round(F.col("lik") * 1000, 9))
+
+
+def likelihood_tensor(spark, d):
+    """All likelihood columns of a frame in one array, from the kernel of the decoder."""
+    s, gmm = _joint(spark, d)
+    x = ob.feature_vectors(s, [1, 2])
+    lik = ob.likelihood_arrays(x, ob.Mixtures.of(gmm, lambda p, c: (p - 1) * 2 + c - 1, 4))
+    return lik.select("file_id", "frame", F.posexplode("lik").alias("pos", "lik")).select("file_id", "frame", (F.floor(F.col("pos") / 2) + 1).cast("int").alias("pattern"), (F.col("pos") % 2 + 1).alias("cell"), F.round(F.col("lik") * 1000, 9).alias("lik"))
+
 _MIX = [(0.3, 20.0, 90.0), (0.7, 60.0, 900.0)]
 
 
@@ -145,7 +190,15 @@ def _em_sql(last: str) -> str:
 
 _G2 = "w * exp(-0.5::DOUBLE * (c * (l_quantity - mx) * (l_quantity - mx) - 2 * b * (l_quantity - mx) * (l_discount - my) + a * (l_discount - my) * (l_discount - my)) / (a * c - b * b)) / (2 * pi() * sqrt(a * c - b * b))"
 
+_JOINT_SQL = f"""WITH {SER}, k(pattern, cell, w, ma, mb, a, b, c) AS (VALUES {", ".join(f"({p}, {c}, {w!r}::DOUBLE, {m[0]!r}::DOUBLE, {m[1]!r}::DOUBLE, {v[0]!r}::DOUBLE, {v[1]!r}::DOUBLE, {v[3]!r}::DOUBLE)" for p, c, _, w, m, v in _JOINT)}),
+e AS (SELECT file_id, frame, pattern, cell, w, a, b, c, x - ma AS da, x * 0.5::DOUBLE + 10 - mb AS db FROM ser CROSS JOIN k)
+SELECT file_id, frame, pattern, cell, round(1000 * sum(w * exp(-0.5::DOUBLE * (c * da * da - 2 * b * da * db + a * db * db) / (a * c - b * b)) / (2 * pi() * sqrt(a * c - b * b))), 9) AS lik FROM e GROUP BY ALL"""
+
 ORACLES = {
+    "joint_likelihood": _JOINT_SQL,
+    "likelihood_tensor": _JOINT_SQL,
+    "kmeans_checks": "SELECT CAST(vec_id % 2 + 3 AS INTEGER) AS num, count(*) AS points, CAST(3 AS BIGINT) AS clusters, true AS nearest FROM embeddings GROUP BY 1",
+    "gmm_joint_moments": "WITH v AS (SELECT l_returnflag, l_quantity AS a, l_quantity * 0.01::DOUBLE + l_discount AS b FROM lineitem) SELECT l_returnflag, 1.0::DOUBLE AS weight, round(avg(a), 4) AS mean_a, round(avg(b), 5) AS mean_b, round(var_pop(a), 3) AS var_a, round(covar_pop(a, b), 5) AS cov, round(var_pop(b), 5) AS var_b FROM v GROUP BY 1",
     "pattern_transitions": f"WITH {_SYM}, b AS (SELECT pattern AS i, lead(pattern) OVER (PARTITION BY file_id ORDER BY frame) AS j FROM sym), n AS (SELECT i, j, count(*) AS n FROM b WHERE j IS NOT NULL GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(n / sum(n) OVER (PARTITION BY i), 9) AS p FROM n",
     "pattern_prior": f"WITH {_SYM} SELECT CAST(pattern AS INTEGER) AS pattern, round(count(*) / (SELECT count(*) FROM sym), 9) AS p FROM sym GROUP BY pattern",
     "bar_transitions": "WITH d AS (SELECT DISTINCT bar2file, bar_no, bar_id, bar2cluster AS pattern FROM bars WHERE bar2file IS NOT NULL AND bar2cluster IS NOT NULL), b AS (SELECT pattern AS i, lead(pattern) OVER (PARTITION BY bar2file ORDER BY bar_no, bar_id) AS j FROM d), n AS (SELECT i, j, count(*) AS n FROM b WHERE j IS NOT NULL GROUP BY ALL) SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS p FROM n",
@@ -172,5 +225,5 @@ SELECT file_id, pid, CAST(least(greatest(ceil(q * n - 0.5::DOUBLE - 1e-9::DOUBLE
 
 QUERIES = {
     f.__name__: f
-    for f in (pattern_transitions, pattern_prior, bar_transitions, label_clusters, cluster_budgets, kmeans_fixed_init, kmeans_per_meter, gmm_density, gmm_density_2d, gmm_em_1d, mixture_means, rnn_likelihood, gmm_likelihood, systematic_resample, ess_logsumexp, weight_topk_groups)
+    for f in (pattern_transitions, pattern_prior, bar_transitions, label_clusters, cluster_budgets, kmeans_fixed_init, kmeans_per_meter, kmeans_checks, gmm_joint_moments, joint_likelihood, likelihood_tensor, gmm_density, gmm_density_2d, gmm_em_1d, mixture_means, rnn_likelihood, gmm_likelihood, systematic_resample, ess_logsumexp, weight_topk_groups)
 }

@@ -81,6 +81,20 @@ def dft_magnitude(spark, d):
     return signal.dft_frames(_ser(spark, d), 16, 8, 8).select("file_id", "frame", "bin", F.round("mag", 5).alias("mag"))
 
 
+def feature_low_band(spark, d):
+    return _out(signal.band_feature(_spectrum(spark, d), "lo230_superflux.mvavg", 1000.0, 2 * BINS, BANDS))
+
+
+def feature_high_band(spark, d):
+    """The upper band, normalised, at half the frame rate."""
+    return _out(signal.band_feature(_spectrum(spark, d), "hi250_superflux.mvavg.normZ", 1000.0, 2 * BINS, BANDS, 2.0, 1.0))
+
+
+def frame_rate_same(spark, d):
+    """Rates that differ by no more than a thousandth are the same."""
+    return _out(signal.change_frame_rate(_ser(spark, d), 50.0, 50.0009))
+
+
 def feature_dispatch(spark, d):
     return _out(signal.feature(_ser(spark, d), "lo230_superflux.mvavg.normZ"))
 
@@ -120,7 +134,21 @@ def _kept() -> str:
     return ", ".join(str(k) for k, (_, b) in best.items() if 2 <= b <= 10)
 
 
+def _band(lo: int, hi: int) -> str:
+    """rm(file_id, frame, y): flux of the bands whose heaviest bin is between two, less its moving average."""
+    flux = _flux("ps", "band")
+    return f"""{_SPEC}, {_FB}, {_PROJ}, pk AS (SELECT band, min(bin) AS bin FROM (SELECT *, max(weight) OVER (PARTITION BY band) AS m FROM fb) WHERE weight = m GROUP BY band),
+ps AS (SELECT pr.* FROM pr JOIN pk USING (band) WHERE pk.bin BETWEEN {lo} AND {hi}), {flux[: flux.rindex("SELECT file_id, frame, round")]}, ser AS (SELECT file_id, frame, sum(dd) AS x FROM df GROUP BY ALL), {_SIZE}, {_mv(100, "1.0::DOUBLE")},
+rm AS (SELECT s.file_id, s.frame, s.x - coalesce(lag(mv.y) OVER (PARTITION BY s.file_id ORDER BY s.frame), 0.0::DOUBLE) AS y FROM ser s LEFT JOIN mv ON mv.file_id = s.file_id AND mv.frame = s.frame)"""
+
+
 ORACLES = {
+    "feature_low_band": f"WITH {_band(2, 29)} SELECT file_id, frame, round(y, 6) AS y FROM rm",
+    "feature_high_band": f"""WITH {_band(32, 64)}, z AS (SELECT file_id, frame, (y - avg(y) OVER w) / nullif(var_samp(y) OVER w, 0) AS x FROM rm WINDOW w AS (PARTITION BY file_id)),
+n AS (SELECT file_id, CAST(floor(count(*) / 2.0::DOUBLE + 0.5) AS BIGINT) AS n, avg(x) AS y FROM z GROUP BY 1), i AS (SELECT n.file_id, unnest(generate_series(1, n.n - 1)) AS i FROM n)
+SELECT i.file_id, i AS frame, round(max(x), 6) AS y FROM i JOIN z ON z.file_id = i.file_id AND (z.frame - 1) / 2.0::DOUBLE > i - 1 - 0.001::DOUBLE AND (z.frame - 1) / 2.0::DOUBLE < i + 0.001::DOUBLE GROUP BY ALL
+UNION ALL SELECT file_id, n, round(y, 6) FROM n""",
+    "frame_rate_same": f"WITH {SER} SELECT file_id, frame, round(x, 6) AS y FROM ser",
     "frame_rate_down_max": f"""WITH {SER}, {_SIZE}, tg AS (SELECT file_id, CAST(floor(n / 4.0::DOUBLE * 1.0::DOUBLE + 0.5) AS BIGINT) AS last, m FROM sz),
 g AS (SELECT file_id, last, unnest(generate_series(1, last - 1)) AS i FROM tg WHERE last > 1)
 SELECT g.file_id, g.i AS frame, round(max(x), 6) AS y FROM g JOIN ser s ON s.file_id = g.file_id AND (s.frame - 1) / 4.0::DOUBLE - (g.i - 1) > -0.001 AND (s.frame - 1) / 4.0::DOUBLE - g.i < 0.001 GROUP BY ALL
@@ -150,5 +178,5 @@ SELECT file_id, frame, round((y - avg(y) OVER w) / nullif(var_samp(y) OVER w, 0)
 
 QUERIES = {
     f.__name__: f
-    for f in (frame_rate_down_max, frame_rate_up_interp, moving_average_trailing, moving_average_halfmean, mean_removed_onset, norm_zero_mean_var, norm_zscore, norm_minmax, log_band_flux, filterbank_project, band_selected_flux, dft_magnitude, feature_dispatch)
+    for f in (frame_rate_down_max, frame_rate_up_interp, moving_average_trailing, moving_average_halfmean, mean_removed_onset, norm_zero_mean_var, norm_zscore, norm_minmax, log_band_flux, filterbank_project, band_selected_flux, dft_magnitude, feature_low_band, feature_high_band, frame_rate_same, feature_dispatch)
 }

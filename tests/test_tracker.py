@@ -56,6 +56,28 @@ def test_training_by_kmeans(clicks, scope):
     assert t.gmm.select("pattern").distinct().count() == 4
 
 
+def test_kmeans_of_several_starts(spark):
+    from metrolith.operators import patterns as pt
+
+    rng = np.random.default_rng(9)
+    rows, truth = [], {}
+    for i in range(400):
+        meter, c = i % 2, i % 2 + 2 * (i % 3)
+        x = np.array([(0, 0), (0, 9), (4, 0), (4, 9), (9, 5), (5, 5)][c]) + rng.normal(0, 0.3, 2)
+        rows.append((i, 3 + meter, 4, float(x[0]), None if i in (10, 40) else float(x[1])))
+        truth[i] = (meter, c, i in (10, 40))
+    df = spark.createDataFrame(rows, "id long, num int, den int, a double, b double")
+    got = {r.id: (r.pattern, r.name) for r in pt.kmeans_per_meter(df, ["a", "b"], 7, "equal").collect()}
+    assert len(got) == 400
+    of = {}
+    for i, g in got.items():
+        of.setdefault(g, set()).add(truth[i][::2])
+    # A meter's patterns are its own, and bars that lack a cell are not with those that have it.
+    assert all(len(v) == 1 for v in of.values()) and {p for p, _ in of} == set(range(1, 8))
+    again = {r.id: (r.pattern, r.name) for r in pt.kmeans_per_meter(df.repartition(5), ["a", "b"], 7, "equal").collect()}
+    assert got == again
+
+
 def test_training_by_rhythm(spark, clicks):
     from dataclasses import replace
 
