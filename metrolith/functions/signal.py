@@ -191,14 +191,28 @@ def dft_frames(df: DataFrame, size: int, hop: int, n_bins: int) -> DataFrame:
 
 
 def resample(x: np.ndarray, source: int, target: int = 44100) -> np.ndarray:
-    """A signal at another rate, by linear interpolation after averaging where the rate falls."""
+    """A signal at another rate: a polyphase low-pass filter (sinc under a Kaiser window, ten zero crossings on both sides) at the lower of the rates."""
     if source == target or not len(x):
         return x
-    if target < source:
-        width = max(1, int(round(source / target)))
-        x = np.convolve(x, np.ones(width) / width, mode="same")
-    n = int(math.floor(len(x) / source * target + 0.5))
-    return np.interp(np.arange(n) / target, np.arange(len(x)) / source, x)
+    up, down = target // math.gcd(source, target), source // math.gcd(source, target)
+    widest = max(up, down)
+    half = 10 * widest
+    m = np.arange(-half, half + 1)
+    h = np.sinc(m / widest) * np.kaiser(2 * half + 1, 5.0)
+    h *= up / h.sum()
+    n = -(-len(x) * up // down)
+    # Output k lies at k * down of the raised rate, input i at i * up; each output has the inputs within half of it.
+    taps = 2 * half // up + 1
+    out = np.zeros(n)
+    for lo in range(0, n, 1 << 16):
+        at = np.arange(lo, min(lo + (1 << 16), n)) * down
+        first = -((half - at) // up)
+        for j in range(taps):
+            i = first + j
+            k = at - i * up + half
+            ok = (i >= 0) & (i < len(x)) & (k >= 0) & (k <= 2 * half)
+            out[lo : lo + len(at)][ok] += x[i[ok]] * h[k[ok]]
+    return out
 
 
 def band_feature(spectrum: DataFrame, name: str, rate: float, n_fft: int, n_bands: int, source: float | None = None, target: float | None = None) -> DataFrame:

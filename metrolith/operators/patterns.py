@@ -56,7 +56,7 @@ def label_clusters(items: DataFrame, kind: str = "meter", dataset: str = "set")
     distinct = items.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct().withColumn("pattern", F.dense_rank().over(Window.orderBy(*[f"_{c}" for c in by])))
     name = pattern_name(F.lit(dataset), F.col("num"), F.col("den"), F.lit(1)) if kind == "meter" else F.concat(F.lit(dataset + "-"), F.col("rhythm"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return items.join(F.broadcast(distinct), on[0] if len(on) == 1 else on[0] & on[1]).drop(*[f"_{c}" for c in by]).withColumn("name", name)
+    return items.join(distinct, on[0] if len(on) == 1 else on[0] & on[1]).drop(*[f"_{c}" for c in by]).withColumn("name", name)
 
 
 def cluster_budget(counts: dict, k: int, mode: str = "data") -> dict:

@@ -18,6 +18,7 @@ from metrolith.operators import tempo as tm
 from metrolith.operators.decode import Columns
 from metrolith.plans import statespace as ss
 from metrolith.plans import transitions as tr
+from metrolith.session import Workspace
 from metrolith.streaming.online import near_states, online_forward
 
 
@@ -71,11 +72,12 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
     ``silent`` has frames of silence (dim, value; file_id and frame as well if there are several features), from which its mixture is fitted.
     """
     usable = br.beats_within(beats, frames, p.frame_length).join(br.files_with_bars(beats), "file_id", "left_semi")
-    full = br.full_bars(usable)
+    ws = Workspace(frames.sparkSession, "train")
+    full = ws.keep(br.full_bars(usable))  # read for patterns, transitions and mixtures
     grid = meters.select("file_id", br.grid_size(F.col("num"), F.col("den"), p.whole_note_div).alias("cells"))
     cells = br.bar_cells(usable, full, frames, grid, p.frame_length)
     items = full.join(meters, "file_id").select("file_id", "beat_idx", "meter", "num", "den", *(c for c in meters.columns if c == "rhythm"))
-    labelled = bar_labels(cells, items, grid, p, dataset)
+    labelled = ws.keep(bar_labels(cells, items, grid, p, dataset))
     ranges = tm.restrict(tm.tempo_range(beats, p.tempo_outlier_percentile), p.min_tempo, p.max_tempo) if p.learn_tempo_ranges else beats.select("file_id").distinct().withColumns({"min_bpm": F.lit(p.min_tempo), "max_bpm": F.lit(p.max_tempo)})
     limits = tm.cluster_tempo(ranges, labelled.select("file_id", F.col("pattern").alias("cluster")))
     shape = labelled.groupBy("pattern").agg(F.first("num").alias("num"), F.first("den").alias("den"), F.max("meter").alias("n_beats"), F.first("name").alias("name"))
@@ -99,7 +101,9 @@ def train(frames: DataFrame, beats: DataFrame, meters: DataFrame, p: Params, dat
         else:
             raise ValueError("silence of several features needs file_id and frame")
         quiet = ob.fit_joint_mixtures(x.select(F.lit(1).alias("all"), "x"), ["all"], dims).drop("all")
-    return Tables(_fixed(patterns), _fixed(pr), gmm, quiet)
+    out = Tables(_fixed(patterns), _fixed(pr), gmm, quiet)
+    ws.drop(*ws.kept)
+    return out
 
 
 def observe(frames: DataFrame, t: Tables, p: Params) -> tuple[DataFrame, Columns, int]:
@@ -174,8 +178,8 @@ def decode_online(vectors: DataFrame, t: Tables, p: Params) -> DataFrame:
     return online_forward(vectors, model, p.obs_lik_floor, columns, near, p.update_interval)
 
 
-def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1) -> Tables:
-    """Viterbi training: mixtures and pattern transitions fitted again to the decoded cells."""
+def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1, only: set[int] | None = None) -> Tables:
+    """Viterbi training: mixtures and pattern transitions fitted again to the decoded cells; ``only`` has the patterns whose mixtures are."""
     for _ in range(rounds):
         _, path = decode(frames, t, p)
         cell = (F.floor((F.col("position") - 1) * p.whole_note_div + 1e-9) + 1).cast("int")
@@ -183,7 +187,10 @@ def refine(frames: DataFrame, t: Tables, p: Params, rounds: int = 1) -> Tables:
         if gmm is not None:
             dims = list(gmm.first()["dims"])
             placed = path.select("file_id", "frame", F.col("pattern").cast("int").alias("pattern"), cell.alias("cell")).join(ob.feature_vectors(frames, dims), ["file_id", "frame"])
-            gmm = ob.fit_joint_mixtures(placed.select("pattern", "cell", "x"), ["pattern", "cell"], dims)
+            again = F.lit(True) if only is None else F.col("pattern").isin(*only)
+            new = ob.fit_joint_mixtures(placed.where(again).select("pattern", "cell", "x"), ["pattern", "cell"], dims)
+            # Cells that no frame was decoded into keep their mixture.
+            gmm = _fixed(new.unionByName(gmm.join(new.select("pattern", "cell").distinct(), ["pattern", "cell"], "left_anti").select(new.columns)))
         runs = rs.segments(path).select("file_id", F.col("seg").alias("bar_no"), "pattern")
         pr = _fixed(pt.complete_matrix(pt.transition_matrix(runs), pt.pattern_prior(runs))) if t.patterns.count() > 1 else t.pr
         t = Tables(t.patterns, pr, gmm, t.silence)

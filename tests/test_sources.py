@@ -119,3 +119,15 @@ def test_meters_and_cached_features(spark):
     made = spark.createDataFrame([(1, 1, 9.0), (2, 1, 9.0)], "file_id long, frame long, y double")
     got = {(r.file_id, r.frame, r.dim, r.value) for r in files.load_features(cache, ["a", "b"], lambda n: made).collect()}
     assert got == {(1, 1, 1, 1.0), (1, 1, 2, 2.0), (2, 1, 1, 9.0), (2, 1, 2, 9.0)}
+
+
+def test_resampling_keeps_what_fits_and_drops_the_rest():
+    for source, target in ((48000, 44100), (44100, 8000), (8000, 44100), (22050, 44100)):
+        t, u = np.arange(source // 4) / source, np.arange(target // 4) / target
+        y = signal.resample(np.sin(2 * np.pi * 900 * t), source, target)
+        assert abs(len(y) - len(u)) <= 1
+        inner = slice(target // 40, len(u) - target // 40)
+        assert np.abs(y[: len(u)][inner] - np.sin(2 * np.pi * 900 * u)[inner]).max() < 0.01, (source, target)
+    # Beyond half of the new rate nothing is left.
+    y = signal.resample(np.sin(2 * np.pi * 7000 * np.arange(11025) / 44100), 44100, 8000)
+    assert np.abs(y[200:-200]).max() < 0.02
