@@ -197,8 +197,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlapping_names(named: DataFrame) -> DataFrame:
     """name_a (training), name_b (val or test), numbers, seeds of the chain, slips, coverage (the aligned share of the longer name) of names of one recording."""
 
+    # Names are few bytes and much work, so they are spread over all cores, whatever their size.
+    parts = 2 * named.sparkSession.sparkContext.defaultParallelism
+
     def prints(listed: bool) -> DataFrame:
-        own = named.where("split = 'train'" if listed else "split <> 'train'").select("name", "numbers").distinct()
+        own = named.where("split = 'train'" if listed else "split <> 'train'").select("name", "numbers").repartition(parts, "name", "numbers").distinct()
         return own.mapInArrow(functools.partial(_prints, listed), "name string, numbers string, h long, o int, k int")
 
     a = prints(True).withColumnsRenamed({"name": "name_a", "o": "oa"})
