@@ -14,12 +14,12 @@ def event_series(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("file_id"), F.row_number().over(w).cast("long").alias("frame"), F.col("value").alias("x"), "event_type", "ts", "event_id")
 
 
-def blocked(df: DataFrame, before: int, after: int = 0, block: int = 1 << 13, key: tuple[str, ...] = ("file_id",), order: str = "frame") -> tuple[DataFrame, Column]:
+def blocked(df: DataFrame, before: int, after: int = 0, block: int = 1 << 13, key: tuple[str, ...] = ("file_id",), order: str = "frame", cut: Column | None = None) -> tuple[DataFrame, Column]:
     """The rows with a column ``_block``, repeated into a neighbouring block where it needs them, and which rows are a block's own.
 
     Windows over (key, _block) that look at most ``before`` rows back and ``after`` ahead then
     see what windows over the key would; one series may hold any share of the rows. Orders must
-    be dense within a key.
+    be dense within a key. Series for which ``cut`` is false stay whole.
     """
     f = F.col(order)
     home = F.floor((f - 1) / block)
@@ -27,6 +27,8 @@ def blocked(df: DataFrame, before: int, after: int = 0, block: int = 1 << 13, ke
     reach = (before + block - 1) // block
     if reach > 1:
         spread = F.sequence(F.floor((f - 1 - after) / block), F.floor((f - 1 + before) / block))
+    if cut is not None:
+        home, spread = F.when(cut, home).otherwise(0), F.when(cut, spread).otherwise(F.array(F.lit(0).cast("long")))
     rows = df.withColumn("_home", home).withColumn("_block", F.explode(spread)).where("_block >= 0")
     return rows.repartition(*key, "_block"), F.col("_home") == F.col("_block")
 

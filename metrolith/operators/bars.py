@@ -38,18 +38,13 @@ def full_bars(beats: DataFrame) -> DataFrame:
     rise again. Beats before a pause are marked first, which breaks the bars they are in. Bars may have any number of beats.
     """
     every = beats.join(predominant_meter(beats), "file_id")
-    rows, own = blocked(every.where(F.col("meter") <= MOST_BEATS), MOST_BEATS + 2, 3, order="beat_idx")
-    whole = every.where(F.col("meter") > MOST_BEATS).withColumn("_block", F.lit(0).cast("long"))
-    return _bars_in(rows, own, -MOST_BEATS).unionByName(_bars_in(whole, F.lit(True), Window.unboundedPreceding))
-
-
-def _bars_in(rows: DataFrame, own: Column, back: int) -> DataFrame:
+    rows, own = blocked(every, MOST_BEATS + 2, 3, order="beat_idx", cut=F.col("meter") <= MOST_BEATS)
     w = Window.partitionBy("file_id", "_block").orderBy("beat_idx")
     gap, last = F.lead("t").over(w) - F.col("t"), F.col("t") - F.lag("t").over(w)
     rows = rows.withColumn("_no", F.when(gap > PAUSE * last, PAUSED).otherwise(F.col("beat_no")))
     rows = rows.withColumn("_d", F.col("_no") - F.lag("_no").over(w))
-    # Rows since the numbers last failed to rise by one (counted up to the longest bar).
-    broken = F.last(F.when(F.coalesce(F.col("_d") != 1, F.lit(True)), F.col("beat_idx")), True).over(w.rowsBetween(back, 0))
+    # Rows since the numbers last failed to rise by one.
+    broken = F.last(F.when(F.coalesce(F.col("_d") != 1, F.lit(True)), F.col("beat_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_run", F.col("beat_idx") - broken)
     ends = (F.lag("_run").over(w) >= F.col("meter") - 1) & (F.col("_d") == 1 - F.col("meter")) & (F.lead("_d").over(w) == 1)
     found = rows.withColumn("_bar", F.coalesce(ends, F.lit(False))).where(own & F.col("_bar"))
