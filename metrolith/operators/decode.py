@@ -216,9 +216,17 @@ def _together(model: Model, series: Iterator[Series], limit: int) -> Iterator[li
             yield lot[lo : lo + most]
 
 
-def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(columns[0]), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + ROWS]) for c in columns], names=names)
+def _rows(names: list[str], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Columns of many series as batches of about ``ROWS`` rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
 
 def _value(frames: DataFrame) -> str:
@@ -228,7 +236,7 @@ def _value(frames: DataFrame) -> str:
 def _paths(frames: DataFrame, model: Model, columns: Columns, limit: int, marks: tuple[str, ...] = (), states=None) -> DataFrame:
     value, names = _value(frames), ["file_id", "frame", "state"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for lot in _together(model, read_series(batches, value, marks), limit):
             held = [{i: states(m) for i, m in s.marks} for s in lot]
             held = [{i: a for i, a in h.items() if a is not None} for h in held]
@@ -237,9 +245,9 @@ def _paths(frames: DataFrame, model: Model, columns: Columns, limit: int, marks:
             for s, p in zip(lot, paths):
                 for lo in range(0, len(p), ROWS):
                     part = p[lo : lo + ROWS]
-                    yield from _rows(names, np.full(len(part), s.file_id, np.int64), np.asarray(s.frames[lo : lo + ROWS]), part + np.int32(1))
+                    yield np.full(len(part), s.file_id, np.int64), np.asarray(s.frames[lo : lo + ROWS]), part + np.int32(1)
 
-    return in_series(frames, value, *marks).mapInArrow(run, "file_id long, frame long, state int")
+    return in_series(frames, value, *marks).mapInArrow(lambda batches: _rows(names, solved(batches)), "file_id long, frame long, state int")
 
 
 def viterbi_paths(frames: DataFrame, model: Model, columns: Columns = _plain, limit: int = BACKPOINTER_BYTES) -> DataFrame:
@@ -248,11 +256,11 @@ def viterbi_paths(frames: DataFrame, model: Model, columns: Columns = _plain, li
 
 
 def _filtered(frames: DataFrame, model: Model, columns: Columns, schema: str, emit) -> DataFrame:
-    """``emit(file_id, frame numbers, chances)`` of blocks of every series, which are advanced in lockstep."""
-    value = _value(frames)
+    """``emit(file_id, frame numbers, chances)``, columns, of blocks of every series, which are advanced in lockstep."""
+    value, names = _value(frames), ["file_id", "frame", "state", "p"]
     width = max(1, TOGETHER // max(model.n, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for lot in by_length(read_series(batches, value), 1, 1 << 18):
             most = max(1, TOGETHER // max(len(model.p), 1))
             for first in range(0, len(lot), most):
@@ -272,16 +280,16 @@ def _filtered(frames: DataFrame, model: Model, columns: Columns, schema: str, em
                         out[:k, i] = a
                     for j in range(len(out)):
                         n = min(width, int(sizes[j]) - lo)
-                        yield from emit(some[j].file_id, np.asarray(some[j].frames[lo : lo + n]), out[j, :n])
+                        yield emit(some[j].file_id, np.asarray(some[j].frames[lo : lo + n]), out[j, :n])
 
-    return in_series(frames, value).mapInArrow(run, schema)
+    return in_series(frames, value).mapInArrow(lambda batches: _rows(names, solved(batches)), schema)
 
 
 def forward_chances(frames: DataFrame, model: Model, columns: Columns = _plain) -> DataFrame:
     """file_id, frame, state, p: the filtered chance of every state of a small model."""
 
     def emit(file_id, f, a):
-        yield from _rows(["file_id", "frame", "state", "p"], np.full(a.size, file_id, np.int64), np.repeat(f, model.n), np.tile(np.arange(1, model.n + 1, dtype=np.int32), len(f)), a.ravel())
+        return np.full(a.size, file_id, np.int64), np.repeat(f, model.n), np.tile(np.arange(1, model.n + 1, dtype=np.int32), len(f)), a.ravel()
 
     return _filtered(frames, model, columns, "file_id long, frame long, state int, p double", emit)
 
@@ -291,7 +299,7 @@ def forward_best(frames: DataFrame, model: Model, columns: Columns = _plain) ->
 
     def emit(file_id, f, a):
         s = a.argmax(axis=1)
-        yield from _rows(["file_id", "frame", "state", "p"], np.full(len(f), file_id, np.int64), f, (s + 1).astype(np.int32), a[np.arange(len(s)), s])
+        return np.full(len(f), file_id, np.int64), f, (s + 1).astype(np.int32), a[np.arange(len(s)), s]
 
     return _filtered(frames, model, columns, "file_id long, frame long, state int, p double", emit)
 

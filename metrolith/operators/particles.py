@@ -294,7 +294,7 @@ def particle_paths(frames: DataFrame, b: BarPointer, p: Params, columns: Columns
     """file_id, frame, position, bpm, pattern (from 1) of (file_id, frame, lik), lik the likelihoods of all patterns' cells, pattern by pattern; or of (file_id, frame, x) with ``columns`` of x."""
     value, names = _value(frames), ["file_id", "frame", "position", "bpm", "pattern"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for lot in by_length(read_series(batches, value), 28 * p.n_particles, kept):
             most = max(1, TOGETHER // p.n_particles)
             for first in range(0, len(lot), most):
@@ -303,6 +303,6 @@ def particle_paths(frames: DataFrame, b: BarPointer, p: Params, columns: Columns
                     bpm = 60.0 * v / (b.bar[r] / b.beats[r] * b.frame_length)
                     for lo in range(0, len(m), ROWS):
                         z = slice(lo, lo + ROWS)
-                        yield from _rows(names, np.full(len(m[z]), s.file_id, np.int64), np.asarray(s.frames[z]), m[z], bpm[z], (r[z] + 1).astype(np.int32))
+                        yield np.full(len(m[z]), s.file_id, np.int64), np.asarray(s.frames[z]), m[z], bpm[z], (r[z] + 1).astype(np.int32)
 
-    return in_series(frames, value).mapInArrow(run, "file_id long, frame long, position double, bpm double, pattern int")
+    return in_series(frames, value).mapInArrow(lambda batches: _rows(names, solved(batches)), "file_id long, frame long, position double, bpm double, pattern int")
