@@ -88,18 +88,16 @@ def regular_grid(frames: DataFrame, max_gap: int = 5, block: int = 1 << 14, obse
     )
     w = Window.partitionBy(*key, "block").orderBy("frame")
     linked = present.select(*key, "block", "fl", "frame", "value", F.lead("frame").over(w).alias("next"), F.lead("value").over(w).alias("next_value"), F.lag("frame").over(w).alias("prev"))
-    inside = linked.where("next is not null").select(*key, "fl", "frame", "value", "next", "next_value")
-
-    ends = linked.where("next is null or prev is null").select(*key, "fl", "frame", "value", F.col("next").isNull().alias("closes"))
-    bounds = src.select(*key, "fl", F.explode(F.array(F.col("first_frame") - 1, F.col("last_frame") + 1)).alias("frame"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("closes"))
-    v = Window.partitionBy(*key).orderBy("frame")
-    crossing = (
-        ends.unionByName(bounds)
-        .select(*key, "fl", "frame", "value", F.lead("frame").over(v).alias("next"), F.lead("value").over(v).alias("next_value"), "closes")
-        .where("next is not null and closes")
-        .drop("closes")
-    )
-    gaps = inside.unionByName(crossing).where("next - frame > 1").select(*key, "fl", "frame", "value", "next", "next_value")
+    # One pass gives the gaps inside blocks and the outer rows of blocks; only the latter are paired again, across blocks.
+    outer = F.filter(F.array(F.when(F.col("next") - F.col("frame") > 1, False), F.when(F.col("next").isNull() | F.col("prev").isNull(), True)), lambda x: x.isNotNull())
+    found = linked.select(*key, "block", "fl", "frame", "value", "next", "next_value", F.explode(outer).alias("outer"), F.col("next").isNull().alias("closes"))
+    bounds = src.select(
+        *key, F.lit(None).cast("long").alias("block"), "fl", F.explode(F.array(F.col("first_frame") - 1, F.col("last_frame") + 1)).alias("frame"), F.lit(None).cast("double").alias("value"),
+        F.lit(None).cast("long").alias("next"), F.lit(None).cast("double").alias("next_value"), F.lit(True).alias("outer"), F.lit(True).alias("closes"),
+    )
+    v = Window.partitionBy(*key, F.when(~F.col("outer"), F.col("block"))).orderBy("frame")
+    paired = found.unionByName(bounds).select(*key, "fl", "frame", "value", F.when(F.col("outer"), F.lead("frame").over(v)).otherwise(F.col("next")).alias("next"), F.when(F.col("outer"), F.lead("value").over(v)).otherwise(F.col("next_value")).alias("next_value"), "closes", "outer")
+    gaps = paired.where("(closes or not outer) and next - frame > 1").select(*key, "fl", "frame", "value", "next", "next_value")
     span = F.col("next") - F.col("frame")
     # A gap of any length is generated in pieces, so that no row holds an unbounded array.
     pieces = gaps.withColumn("lo", F.explode(F.sequence(F.col("frame") + 1, F.col("next") - 1, F.lit(block))))
