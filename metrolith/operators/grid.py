@@ -79,7 +79,8 @@ def regular_grid(frames: DataFrame, max_gap: int = 5, block: int = 1 << 14, obse
     key = ["file_id", "feat_type"]
     usable = readings.where("t is not null and act is not null").select(*key, "t", "act")
     # Beyond the broadcast limit this is a shuffle join; the repartition below lets the engine split its skewed keys.
-    placed = usable.join(src.select(*key, "fl"), key).select(*key, "fl", _frame("t").alias("frame"), "act")
+    # All readings lie between the first and the last frame; asking for it lets both uses of the sources share one scan.
+    placed = usable.join(src, key).select(*key, "fl", _frame("t").alias("frame"), "act", "first_frame", "last_frame").where("frame between first_frame and last_frame")
     present = (
         placed.withColumn("block", F.floor(F.col("frame") / block))
         .repartition(F.col("file_id"), F.col("feat_type"), F.col("block"))
