@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one series that are held in memory; longer ones lie in a file.
+#: Rows of one series that are held in memory; longer ones lie in a file of the task, as a sort spills; nothing else reads it.
 HELD = 1 << 20
 
 
