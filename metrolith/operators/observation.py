@@ -125,18 +125,28 @@ def _log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.
     return out
 
 
-def fit_vectors(x: np.ndarray, seed: int = 1, starts: int = STARTS, steps: int = STEPS, floor: float = REGULARISATION) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_vectors(x: np.ndarray, seed: int = 1, starts: int = STARTS, steps: int = STEPS, floor: float = REGULARISATION, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Weights, means, full covariances and log likelihood of the best two-component mixture of the rows of x (EM to convergence).
 
-    The first start lies a deviation to both sides of the mean, the others at two rows drawn; all with the deviations of the features.
+    A row counts as often as ``times`` says (once without it), and the fit is that of the rows so repeated. The first start lies a
+    deviation to both sides of the mean, the others at two rows drawn; all with the deviations of the features.
     """
-    n, d = x.shape
-    parts = range(0, n, CHUNK)
-    mid = sum(x[i : i + CHUNK].sum(0) for i in parts) / n
-    var = sum(((x[i : i + CHUNK] - mid) ** 2).sum(0) for i in parts) / n
+    d = x.shape[1]
+    parts = range(0, len(x), CHUNK)
+    often = (lambda i: np.ones((len(x[i : i + CHUNK]), 1))) if times is None else (lambda i: times[i : i + CHUNK, None].astype(float))
+    ends = np.cumsum([often(i).sum() for i in parts]).astype(np.int64)
+    n = int(ends[-1])
+
+    def row(at: int) -> np.ndarray:
+        p = int(np.searchsorted(ends, at, "right"))
+        inside = np.cumsum(often(p * CHUNK)) + (ends[p - 1] if p else 0)
+        return x[p * CHUNK + np.searchsorted(inside, at, "right")]
+
+    mid = sum((often(i) * x[i : i + CHUNK]).sum(0) for i in parts) / n
+    var = sum((often(i) * (x[i : i + CHUNK] - mid) ** 2).sum(0) for i in parts) / n
     rng, best = np.random.default_rng(seed), None
     for start in range(starts):
-        mean = np.stack([mid - np.sqrt(var), mid + np.sqrt(var)]) if start == 0 else np.array(x[np.sort(rng.choice(n, 2, replace=n < 2))])
+        mean = np.stack([mid - np.sqrt(var), mid + np.sqrt(var)]) if start == 0 else np.stack([row(at) for at in np.sort(rng.choice(n, 2, replace=n < 2))])
         weight, cov, before = np.full(2, 0.5), np.stack([np.diag(var + floor)] * 2), -np.inf
         for _ in range(steps):
             total, s0, s1, s2 = 0.0, np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -146,8 +156,8 @@ def fit_vectors(x: np.ndarray, seed: int = 1, starts: int = STARTS, steps: int =
                 top = p.max(1, keepdims=True)
                 r = np.exp(p - top)
                 both = r.sum(1, keepdims=True)
-                total += float((top + np.log(both)).sum())
-                r /= both
+                total += float((often(i) * (top + np.log(both))).sum())
+                r *= often(i) / both
                 y = y - mid
                 s0, s1, s2 = s0 + r.sum(0), s1 + r.T @ y, s2 + np.einsum("nk,ni,nj->kij", r, y, y)
             if best is None or total > best[3]:
@@ -167,7 +177,8 @@ def fit_vectors(x: np.ndarray, seed: int = 1, starts: int = STARTS, steps: int =
 def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> DataFrame:
     """key, comp (1, 2), weight, mean (array), cov (array, row by row), dims: two-component mixtures of the vectors x of each key.
 
-    The rows of a key reach one task in order; above a limit they are held in a file, so a key may be of any size. Null vectors are left out.
+    Equal vectors of a key are counted first and weigh in the fit as often as they occur, so that steps take as long as there are distinct ones.
+    Those of a key reach one task in order; above a limit they are held in a file, so a key may be of any size. Null vectors are left out.
     """
     d = len(dims)
     fields = [f for f in vectors.select(*key).schema.fields]
@@ -178,8 +189,8 @@ def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> D
         now, held, file, count = None, [], None, 0
 
         def emit(types):
-            x = np.concatenate(held) if file is None else np.memmap(file, np.float64, "r", shape=(count, d))
-            w, m, c, _ = fit_vectors(x)
+            x = np.concatenate(held) if file is None else np.memmap(file, np.float64, "r", shape=(count, d + 1))
+            w, m, c, _ = fit_vectors(x[:, :d], times=x[:, d])
             return pa.RecordBatch.from_arrays([*(pa.array([v] * 2, t) for v, t in zip(now, types)), pa.array([1, 2], pa.int32()), pa.array(w), pa.array(m.tolist(), pa.list_(pa.float64())), pa.array(c.reshape(2, -1).tolist(), pa.list_(pa.float64()))], names=[*names, "comp", "weight", "mean", "cov"])
 
         types = None
@@ -188,7 +199,7 @@ def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> D
                 continue
             types = [b.column(n).type for n in names]
             keys = list(zip(*(b.column(n).to_pylist() for n in names)))
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = np.column_stack([b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d), b.column("times").to_numpy()])
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if now is not None and keys[lo] != now:
@@ -206,8 +217,9 @@ def fit_joint_mixtures(vectors: DataFrame, key: list[str], dims: list[int]) -> D
         if now is not None:
             yield emit(types)
 
-    rows = vectors.where("x is not null").select(*[F.col(k).alias(n) for k, n in zip(key, names)], "x")
-    fitted = rows.repartition(*names).sortWithinPartitions(*names, "x").mapInArrow(run, out)
+    rows = vectors.where("x is not null").select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("x").cast("array<double>").alias("x"))
+    distinct = rows.groupBy(*names, "x").agg(F.count("*").alias("times"))
+    fitted = distinct.repartition(*names).sortWithinPartitions(*names, "x").mapInArrow(run, out)
     named = fitted.select(*[F.col(n).alias(k) for k, n in zip(key, names)], "comp", "weight", "mean", "cov", F.array(*[F.lit(int(v)) for v in dims]).alias("dims"))
     return vectors.sparkSession.createDataFrame(named.collect(), named.schema)
 
