@@ -128,10 +128,9 @@ def saved_results(spark, d):
     path = _walk(spark, d).select("file_id", "frame", (F.col("n") * 60.0 / (10 * 0.02)).alias("bpm"), (F.lit(3) + F.col("file_id") % 2).cast("int").alias("num"), F.lit(4).alias("den"))
     path = path.join(_symbols(spark, d), ["file_id", "frame"])
     names = spark.createDataFrame(NAMES, "pattern int, name string")
-    sinks.save_results(beats, path, names, 0.02, root, frozenset({"beats", "downbeats", "median_tempo", "tempo", "meter", "rhythm"}))
-    lines = src.text_files(spark, f"{root}/*/*/*.txt")
-    kind, file_id = (F.regexp_extract("path", f"/([a-z_]+)/file_id=(\\d+)/", k) for k in (1, 2))
-    return lines.select(kind.alias("kind"), file_id.cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), "value")
+    kinds = frozenset({"beats", "downbeats", "median_tempo", "tempo", "meter", "rhythm"})
+    sinks.save_results(beats, path, names, 0.02, root, kinds)
+    return sinks.load_results(spark, root, kinds)
 
 
 def decoded_path(spark, d):

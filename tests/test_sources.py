@@ -1,5 +1,6 @@
 import math
 import struct
+import time
 import wave
 
 import numpy as np
@@ -131,3 +132,31 @@ def test_resampling_keeps_what_fits_and_drops_the_rest():
     # Beyond half of the new rate nothing is left.
     y = signal.resample(np.sin(2 * np.pi * 7000 * np.arange(11025) / 44100), 44100, 8000)
     assert np.abs(y[200:-200]).max() < 0.02
+
+
+def test_results_of_many_files_are_written_and_read_back(spark, tmp_path):
+    """Spark's writer starts a process a file, so thousands took minutes."""
+    n, t = 2500, time.time()
+    ids = spark.range(-2, n).selectExpr("if(id = -1, null, id) as file_id")
+    beats = ids.selectExpr("file_id", "explode(sequence(1L, 3L)) as frame").selectExpr("file_id", "frame", "frame / 2.0d as t", "cast(frame % 2 + 1 as bigint) as beat_no")
+    path = ids.selectExpr("file_id", "explode(sequence(1L, 6L)) as frame").selectExpr("file_id", "frame", "60d as bpm", "3 as num", "4 as den", "cast(frame > 4 as int) + 1 as pattern")
+    names = spark.createDataFrame([(1, "früh"), (2, "late one")], "pattern int, name string")
+    what = frozenset({"beats", "downbeats", "tempo", "rhythm"})
+    for _ in range(2):  # the second time the results replace the first
+        sinks.save_results(beats, path.where("file_id is not null"), names, 0.5, f"file://{tmp_path}", what)
+    got = sinks.load_results(spark, str(tmp_path), what).toPandas()
+    assert time.time() - t < 90
+    assert {k: len(v) for k, v in got.groupby("kind")} == {"beats": 3 * (n + 2), "downbeats": n + 2, "rhythm": 2 * (n + 1), "tempo": 6 * (n + 1)}
+    for f, x in ((-2, got[got.file_id == -2]), (7, got[got.file_id == 7]), (None, got[got.file_id.isna()])):
+        of = lambda k, x=x: x[x.kind == k].sort_values("line_no")
+        assert of("beats").value.tolist() == ["0.500\t2", "1.000\t1", "1.500\t2"] and of("beats").line_no.tolist() == [1, 2, 3] and of("downbeats").value.tolist() == ["1.000"]
+        assert of("tempo").value.tolist() == ([f"{i / 2:.2f},60.00" for i in range(6)] if f else []) and of("rhythm").value.tolist() == (["0.00\t1.50\tfrüh", "1.50\t2.50\tlate one"] if f else [])
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(what) and [p.name for p in (tmp_path / "rhythm/file_id=7").iterdir()] == ["part-00000.txt"]
+    assert [tuple(r) for r in spark.read.text(f"{tmp_path}/tempo").where("file_id = 5").select("value").limit(1).collect()] == [("0.00,60.00",)]
+
+
+def test_a_long_result_is_read_in_parts(spark, tmp_path):
+    path = spark.range(1, 300_001).selectExpr("1L as file_id", "id as frame", "double(id) as bpm")
+    sinks.save_results(path.selectExpr("file_id", "frame", "bpm as t", "1L as beat_no"), path, None, 0.5, str(tmp_path), frozenset({"tempo"}))
+    assert sinks.load_results(spark, str(tmp_path), {"tempo"}).where("value <> format_string('%.2f,%.2f', (line_no - 1) * 0.5d, double(line_no))").count() == 0
+    assert sinks.load_results(spark, str(tmp_path), {"tempo"}).selectExpr("count(distinct line_no)", "max(line_no)").first() == (300_000, 300_000)
